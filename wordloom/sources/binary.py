@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wordloom.operators.kernels import list_column
 
@@ -44,25 +43,27 @@ def read_binary_vectors(spark: SparkSession, path: str, encoding: str = "utf-8",
     words, dimensions, start, size = _header(path)
     split_bytes = max(split_bytes, -(-(size - start) // MAX_SPLITS), _row_bytes(dimensions))
     count = max(1, -(-(size - start) // split_bytes))
-    bounds = [(s, start + s * split_bytes, min(size, start + (s + 1) * split_bytes)) for s in range(count)]
-    splits = spark.createDataFrame(bounds, "split int, from long, until long").repartition(count, "split")
-    answers = splits.mapInArrow(_walk_splits(path, dimensions, size), "split int, leaves binary, rows binary").collect()
+    answers = spark.range(0, count, 1, count).mapInArrow(
+        _walk_splits(path, dimensions, start, size, split_bytes), "split long, leaves binary, rows binary"
+    )
+    walks = {r["split"]: (np.frombuffer(r["leaves"], np.int64), np.frombuffer(r["rows"], np.int64)) for r in answers.collect()}
     plan, place, index = [], start, 0
-    leaves = {r["split"]: (np.frombuffer(r["leaves"], np.int64), np.frombuffer(r["rows"], np.int64)) for r in answers}
-    for split, begin, until in bounds:
-        if place >= until or index >= words:
-            continue
-        end, rows = leaves[split][0][place - begin], int(leaves[split][1][place - begin])
-        rows = min(rows, words - index)
-        plan.append((place, index, rows))
-        place, index = int(end), index + rows
+    for split in range(count):
+        begin, until = _bounds(split, start, size, split_bytes)
+        if place < until and index < words:
+            leaves, rows = walks[split]
+            held = min(int(rows[place - begin]), words - index)
+            plan.append((place, index, held))
+            place, index = int(leaves[place - begin]), index + held
     if index < words:
         raise ValueError(f"{path}: the header says {words} words, the file holds {index}")
     if not plan:
         return spark.createDataFrame([], ROWS)
-    # One row per task: the number of partitions equals the number of rows.
-    tasks = spark.createDataFrame(plan, "place long, first_index long, rows long").repartitionByRange(len(plan), "place")
-    return tasks.mapInArrow(_decode_splits(path, dimensions, encoding), ROWS)
+    return spark.range(0, len(plan), 1, len(plan)).mapInArrow(_decode_splits(path, dimensions, encoding, plan), ROWS)
+
+
+def _bounds(split: int, start: int, size: int, split_bytes: int) -> tuple[int, int]:
+    return start + split * split_bytes, min(size, start + (split + 1) * split_bytes)
 
 
 def _row_bytes(dimensions: int) -> int:
@@ -101,18 +102,19 @@ def _word_end(data: bytes, place: int) -> tuple[int, int]:
     return begin, min(ends, default=-1)
 
 
-def _walk_splits(path: str, dimensions: int, size: int):
+def _walk_splits(path: str, dimensions: int, start: int, size: int, split_bytes: int):
     longest, numbers = _row_bytes(dimensions), FLOAT_BYTES * dimensions
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _open(path) as file:
             for batch in batches:
-                for split, begin, until in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                for split in batch.column("id").to_pylist():
+                    begin, until = _bounds(split, start, size, split_bytes)
                     file.seek(begin)
                     data = file.read(min(size, until + longest) - begin)
                     leaves, rows = _leaves(data, until - begin, longest, numbers)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([split], pa.int32()), pa.array([(leaves + begin).tobytes()]), pa.array([rows.tobytes()])],
+                        [pa.array([split]), pa.array([(leaves + begin).tobytes()]), pa.array([rows.tobytes()])],
                         ["split", "leaves", "rows"],
                     )
 
@@ -122,7 +124,7 @@ def _walk_splits(path: str, dimensions: int, size: int):
 def _leaves(data: bytes, until: int, longest: int, numbers: int) -> tuple[np.ndarray, np.ndarray]:
     """For each starting place in the first row length: the first row start at or past ``until``, and the rows before it.
 
-    Places are visited from the last to the first along each walk, and a walk stops where an earlier one has been.
+    A walk stops where an earlier one has been.
     """
     known: dict[int, tuple[int, int]] = {}
     for first in range(min(longest, until)):
@@ -139,15 +141,14 @@ def _leaves(data: bytes, until: int, longest: int, numbers: int) -> tuple[np.nda
     return np.array([s[0] for s in starts], dtype=np.int64), np.array([s[1] for s in starts], dtype=np.int64)
 
 
-def _decode_splits(path: str, dimensions: int, encoding: str):
-    numbers = FLOAT_BYTES * dimensions
-
+def _decode_splits(path: str, dimensions: int, encoding: str, plan: list[tuple[int, int, int]]):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _open(path) as file:
             for batch in batches:
-                for place, index, rows in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                for number in batch.column("id").to_pylist():
+                    place, index, rows = plan[number]
                     file.seek(place)
-                    yield from _rows(file.read, index, rows, numbers, encoding, path)
+                    yield from _rows(file.read, index, rows, FLOAT_BYTES * dimensions, encoding, path)
 
     return decode
 
@@ -177,7 +178,7 @@ def _rows(read, index: int, rows: int, numbers: int, encoding: str, path: str) -
             words.append(data[begin:end].decode(encoding))
             vectors.append(data[end + 1 : end + 1 + numbers])
             place = end + 1 + numbers
-        values = np.frombuffer(b"".join(vectors), dtype="<f4").astype(np.float64).reshape(len(words), -1)
+        values = np.frombuffer(b"".join(vectors), dtype="<f4").astype(np.float64).reshape(len(words), numbers // FLOAT_BYTES)
         positions = np.arange(index + done, index + done + len(words), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(positions), pa.array(words), list_column(values)], ["index", "word", "vector"])
         done += len(words)

@@ -82,10 +82,14 @@ def statistics_report(stats: DataFrame) -> DataFrame:
     """One row per model from the rows of ``analyze``: the statistics of every dimension in order, and of the lengths."""
     rows = stats.select("model", "words", "dimensionality", "dimension", _nested_statistics().alias("s"))
     dimension = F.when(F.col("dimension").isNotNull(), F.struct("dimension", "s"))
+
+    def by_dimension(a, b):
+        return a["dimension"] - b["dimension"]
+
     return rows.groupBy("model").agg(
         F.first("words").alias("words"),
         F.first("dimensionality").alias("dimensionality"),
-        F.transform(F.array_sort(F.collect_list(dimension)), lambda d: d["s"]).alias("dimension_stats"),
+        F.transform(F.array_sort(F.collect_list(dimension), by_dimension), lambda d: d["s"]).alias("dimension_stats"),
         F.first(F.when(F.col("dimension").isNull(), F.col("s")), ignorenulls=True).alias("norm_stats"),
     )
 
