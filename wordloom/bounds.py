@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +37,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def rows_within(df: DataFrame, limit: int) -> list | None:
-    """The rows when there are at most ``limit`` of them, else None."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def rows_within(df: DataFrame, limit: int) -> pa.Table | None:
+    """The rows as Arrow data when there are at most ``limit`` of them, else None."""
+    rows = df.limit(limit + 1).toArrow()
+    return rows if rows.num_rows <= limit else None
 
 
-def gathered(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, list | None]:
+def gathered(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """The table computed once, with its rows when there are at most ``limit`` of them.
 
     A table within the limit comes back as a broadcast copy. A larger one is settled and carries no hint, so Spark

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wordloom.bounds import BROADCAST_BYTES, settled
 from wordloom.functions.vectors import UNIT_TOLERANCE, query_vector, vec_norm
 from wordloom.operators.lookup import find_words, folded
-from wordloom.operators.nearest import find_nearest_multi
+from wordloom.operators.nearest import collected_within, find_nearest_multi, vector_size
 from wordloom.operators.stats import PERCENTILES, describe
 
 METRICS = ("euclidean", "cosine")
@@ -29,15 +29,22 @@ def problem_words(problems: DataFrame) -> DataFrame:
 
 def query_vectors(df: DataFrame, problems: DataFrame) -> DataFrame:
     """``problem_id, vector`` with vector ``b - a + c``, for the problems whose first three words are all known."""
-    found = settled(find_words(df, problem_words(problems)))
+    found = _copied_or_settled(find_words(df, problem_words(problems)), vector_size(df))
     joined = problems.select("problem_id", "a", "b", "c")
     for name in ("a", "b", "c"):
-        # Spark copies the looked-up words when they are few and shuffles otherwise, splitting frequent words.
         side = found.select(F.col("query").alias(name), F.col("vector").alias(f"{name}_vector"))
         joined = joined.join(side, name)
     return joined.select("problem_id", query_vector("a_vector", "b_vector", "c_vector").alias("vector"))
 
 
+def _copied_or_settled(found: DataFrame, dimensions: int) -> DataFrame:
+    """The looked-up words as a broadcast copy when they fit, else settled: Spark then shuffles and splits hot words."""
+    rows = collected_within(found, BROADCAST_BYTES, dimensions)
+    if rows is None:
+        return settled(found)
+    return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
+
+
 def unsolvable_problems(df: DataFrame, problems: DataFrame) -> DataFrame:
     """The problems of which at least one of the first three words is unknown."""
     return problems.join(query_vectors(df, problems).select("problem_id"), "problem_id", "left_anti")
@@ -63,7 +70,7 @@ def solve_analogies(
     ``exclude_inputs`` is set. With ``normalized``, a table of unit vectors is scored by inner product alone.
     """
     cosine = "normalized_cosine" if normalized and use_normalized_path(df) else "cosine"
-    queries = settled(query_vectors(df, problems)).withColumnRenamed("problem_id", "qid")
+    queries = query_vectors(df, problems).withColumnRenamed("problem_id", "qid")
     # The three input rows fill at most three places, so the fourth best is enough to answer without them.
     depth = 4 if exclude_inputs else 1
     nearest = find_nearest_multi(df, queries, depth, ["euclidean", cosine], broadcast_bytes).withColumnRenamed("qid", "problem_id")

@@ -15,7 +15,7 @@ from pyspark.storagelevel import StorageLevel
 from wordloom.bounds import BROADCAST_BYTES, settled, small_or_settled
 from wordloom.functions.vectors import cosine_similarity, euclidean
 from wordloom.operators.kernels import lengths, list_column, matrix, nearest_centre
-from wordloom.operators.nearest import collected_within, find_nearest_multi
+from wordloom.operators.nearest import collected_within, find_nearest_multi, vector_size
 
 # Largest number of cluster members written as one text line.
 LINE_MEMBERS = 500_000
@@ -25,7 +25,8 @@ CENTROIDS = "cluster int, center array<double>"
 
 def _centre_matrix(centroids: DataFrame, broadcast_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Cluster ids in ascending order with their centres, or None when they are too large to copy to every task."""
-    table = collected_within(centroids.select("cluster", F.col("center").alias("vector")), broadcast_bytes)
+    named = centroids.select("cluster", F.col("center").alias("vector"))
+    table = collected_within(named, broadcast_bytes, vector_size(named))
     if table is None:
         return None
     ids = table.column("cluster").to_numpy()

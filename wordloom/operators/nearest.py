@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.bounds import BROADCAST_BYTES
+from wordloom.bounds import BROADCAST_BYTES, rows_within, settled
 from wordloom.functions.vectors import cosine_similarity, euclidean, literal_vector, normalized_cosine, squared_distance
 from wordloom.operators.kernels import LOWER_IS_BETTER, Best, Block, matrix, scan_block
 from wordloom.operators.topn import top_n_per_group
@@ -73,29 +73,32 @@ def find_nearest_multi(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    small = collected_within(queries, broadcast_bytes)
+    dimensions = vector_size(table)
+    small = collected_within(queries, broadcast_bytes, dimensions)
     if small is not None:
         candidates = table.mapInArrow(_scan_with_queries(df, small, n, metrics), schema)
         return _ranked(candidates, n)
-    small = collected_within(table, broadcast_bytes)
+    queries = settled(queries)
+    small = collected_within(table, broadcast_bytes, dimensions)
     if small is not None:
         # Every query meets the whole table in one task: nothing is left to merge.
         return queries.mapInArrow(_scan_with_table(df, small, n, metrics), schema)
     return _ranked(_block_pairs(table, queries, n, metrics, schema, broadcast_bytes), n)
 
 
-def collected_within(df: DataFrame, limit_bytes: int) -> pa.Table | None:
-    """The table as Arrow data when its rows fit in ``limit_bytes``, else None.
+def vector_size(df: DataFrame, column: str = "vector") -> int:
+    """Size of the first vector, 0 for an empty table."""
+    head = df.select(F.size(column).alias("d")).head()
+    return head["d"] if head is not None else 0
 
-    The row limit follows from the width of the first vector, so no more than the limit is ever fetched.
+
+def collected_within(df: DataFrame, limit_bytes: int, dimensions: int) -> pa.Table | None:
+    """The table as Arrow data when its rows of ``dimensions`` numbers fit in ``limit_bytes``, else None.
+
+    No more rows than fit are ever fetched.
     """
-    head = df.select(F.size("vector").alias("d")).head()
-    if head is None:
-        return df.limit(0).toArrow()
-    width = 8 * max(1, head["d"]) + 64
-    limit = max(1, limit_bytes // width)
-    rows = df.limit(limit + 1).toArrow()
-    return rows if rows.num_rows <= limit else None
+    limit = max(1, limit_bytes // (8 * max(1, dimensions) + 64))
+    return rows_within(df, limit)
 
 
 def _ranked(candidates: DataFrame, n: int) -> DataFrame:

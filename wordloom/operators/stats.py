@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,11 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    v = F.col("_v")
+    return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin of a value; the highest value belongs to the last bin, and to the first when all are equal."""
     width = (high - low) / bins
@@ -69,57 +75,63 @@ def _refining_bin(value: Column, low: Column, high: Column) -> Column:
     return F.when(value >= high, REFINE_BINS - 1).otherwise(F.greatest(inner, F.lit(0))).cast("int")
 
 
+def _placed(groups: DataFrame, positions: Mapping[str, Column]) -> tuple[DataFrame, pa.Table | None]:
+    """The group table computed once, with the wanted positions and the ranks next to them as arrays.
+
+    Positions count from 1 and are expressions of the group size ``n``; they are clamped to 1..n.
+    """
+    clamped = [F.when(at.isNotNull(), F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), at))) for at in positions.values()]
+    placed = groups.withColumn("_at", F.array(*clamped))
+    ends = F.flatten(F.transform(F.array_compact("_at"), lambda at: F.array(F.floor(at), F.ceil(at))))
+    return gathered(placed.withColumn("_ranks", F.array_distinct(ends.cast("array<bigint>"))))
+
+
 def _values_at(
     rows: DataFrame,
     keys: list[str],
-    groups: tuple[DataFrame, list | None],
-    positions: Mapping[str, Column],
+    groups: tuple[DataFrame, pa.Table | None],
+    names: Sequence[str],
     crowded_rows: int,
 ) -> DataFrame:
-    """The value at each fractional position (from 1) of the sorted group, linear between neighbouring ranks.
+    """The value at each position of the sorted group, linear between neighbouring ranks; NULL for a NULL position.
 
-    ``groups`` holds ``n, min, max`` per group; positions are expressions of ``n`` and are clamped to 1..n, a NULL
-    position gives NULL. The result has the columns of ``groups`` and one more per position.
+    ``groups`` comes from ``_placed`` and holds ``n, min, max``. The result has one more column per position.
     """
     table, known = groups
-    n = F.col("n")
-    spots = {name: F.when(at.isNotNull(), F.greatest(F.lit(1.0), F.least(n.cast("double"), at))) for name, at in positions.items()}
-    ends = [rounded(spot).cast("long") for spot in spots.values() for rounded in (F.floor, F.ceil)]
-    wanted = table.select(*keys, F.array_distinct(F.array_compact(F.array(*ends))).alias("ranks"))
+    wanted = table.select(*keys, "_ranks")
 
     # Ranges of values that hold a wanted rank, with the count of values below the range and inside it.
     ranges = table.select(
-        *keys, F.col("min").alias("low"), F.col("max").alias("high"), F.lit(0).cast("long").alias("below"), n.alias("held")
+        *keys, F.col("min").alias("low"), F.col("max").alias("high"), F.lit(0).cast("long").alias("below"), F.col("n").alias("held")
     )
-    if known is not None:
-        crowd = max((r["n"] for r in known if r["min"] != r["max"]), default=0)
-    else:
-        crowd = _largest(ranges)
+    crowd = _largest(ranges, known, "n", "min", "max")
     while crowd > crowded_rows:
-        ranges, rows_known = gathered(_split(rows, keys, ranges, wanted, crowded_rows))
-        if rows_known is None:
-            crowd = _largest(ranges)
-        else:
-            crowd = max((r["held"] for r in rows_known if r["low"] != r["high"]), default=0)
+        ranges, known = gathered(_split(rows, keys, ranges, wanted, crowded_rows))
+        crowd = _largest(ranges, known, "held", "low", "high")
 
     inside = join_groups(rows, ranges, keys).filter(F.col("_v").between(F.col("low"), F.col("high")))
     counted = inside.groupBy(*keys, "below", "_v").agg(F.count(F.lit(1)).alias("copies"))
     running = Window.partitionBy(*keys, "below").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     last = counted.withColumn("last", F.col("below") + F.sum("copies").over(running))
-    hits = F.filter("ranks", lambda r: (r <= F.col("last")) & (r > F.col("last") - F.col("copies")))
+    hits = F.filter("_ranks", lambda r: (r <= F.col("last")) & (r > F.col("last") - F.col("copies")))
     found = join_groups(last, wanted, keys).select(*keys, F.explode(hits).alias("rank"), F.col("_v").alias("value"))
     by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at_rank"))
-    out = join_groups(by_rank, table, keys)
-    for name, spot in spots.items():
-        lower = F.try_element_at("at_rank", F.floor(spot).cast("long"))
-        upper = F.try_element_at("at_rank", F.ceil(spot).cast("long"))
-        between = lower + (spot - F.floor(spot)) * (upper - lower)
-        out = out.withColumn(name, F.when(lower == upper, lower).otherwise(between))
-    return out.select(*table.columns, *spots)
+
+    def interpolated(at: Column) -> Column:
+        lower, upper = F.col("at_rank")[F.floor(at).cast("long")], F.col("at_rank")[F.ceil(at).cast("long")]
+        return F.when(lower == upper, lower).otherwise(lower + (at - F.floor(at)) * (upper - lower))
+
+    out = join_groups(by_rank, table, keys).withColumn("_found", F.transform("_at", interpolated))
+    kept = [c for c in table.columns if c not in ("_at", "_ranks")]
+    return out.select(*kept, *[F.col("_found")[i].alias(name) for i, name in enumerate(names)])
 
 
-def _largest(ranges: DataFrame) -> int:
-    return ranges.filter("low < high").agg(F.max("held").alias("m")).head()["m"] or 0
+def _largest(ranges: DataFrame, known: pa.Table | None, held: str, low: str, high: str) -> int:
+    """The most values in a range that is not a single value."""
+    if known is None:
+        return ranges.filter("low < high").agg(F.max("held").alias("m")).head()["m"] or 0
+    counts, lows, highs = (known.column(c).to_pylist() for c in (held, low, high))
+    return max((n for n, a, b in zip(counts, lows, highs) if a != b), default=0)
 
 
 def _split(rows: DataFrame, keys: list[str], ranges: DataFrame, wanted: DataFrame, crowded_rows: int) -> DataFrame:
@@ -137,14 +149,19 @@ def _split(rows: DataFrame, keys: list[str], ranges: DataFrame, wanted: DataFram
     )
     running = Window.partitionBy(*keys, "base").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     placed = bins.withColumn("below", F.col("base") + F.sum("held").over(running) - F.col("held"))
-    holds_rank = F.exists("ranks", lambda r: (r > F.col("below")) & (r <= F.col("below") + F.col("held")))
+    holds_rank = F.exists("_ranks", lambda r: (r > F.col("below")) & (r <= F.col("below") + F.col("held")))
     columns = [*keys, "low", "high", "below", "held"]
     kept = join_groups(placed, wanted, keys).filter(holds_rank).select(*columns)
     return ranges.filter(~is_crowded).select(*columns).unionByName(kept)
 
 
+def point(percentile: float) -> str:
+    """Column name of a percentile: ``p25``, ``p0_5``."""
+    return f"p{percentile:g}".replace(".", "_")
+
+
 def _percentile_positions(percentiles: Sequence[float]) -> dict[str, Column]:
-    return {f"p{p:g}": (F.col("n") + 1) * float(p) / 100.0 for p in percentiles}
+    return {point(p): (F.col("n") + 1) * float(p) / 100.0 for p in percentiles}
 
 
 def exact_percentiles(
@@ -156,8 +173,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Percentiles at position ``p (n + 1) / 100``, linear between ranks, clamped to the extremes: ``group..., n, p2, ...``."""
     rows, keys = _keyed(df, group, value)
-    sizes = rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
-    out = _values_at(rows, keys, gathered(sizes), _percentile_positions(percentiles), crowded_rows)
+    positions = _percentile_positions(percentiles)
+    out = _values_at(rows, keys, _placed(_sizes(rows, keys), positions), list(positions), crowded_rows)
     return _unkeyed(out.drop("min", "max"))
 
 
@@ -170,19 +187,21 @@ def summary(
 ) -> DataFrame:
     """``group..., n, max, min, mean, stdev, variance`` and one column per percentile."""
     rows, keys = _keyed(df, group, value)
-    return _unkeyed(_summary(rows, keys, gathered(_moments(rows, keys)), percentiles, crowded_rows))
+    positions = _percentile_positions(percentiles)
+    return _unkeyed(_summary(rows, keys, _placed(_moments(rows, keys), positions), list(positions), crowded_rows))
 
 
-def _summary(rows, keys, moments, percentiles=PERCENTILES, crowded_rows=CROWDED_ROWS) -> DataFrame:
-    out = _values_at(rows, keys, moments, _percentile_positions(percentiles), crowded_rows)
-    points = [f"p{p:g}" for p in percentiles]
+def _summary(
+    rows: DataFrame, keys: list[str], moments: tuple[DataFrame, pa.Table | None], points: Sequence[str], crowded_rows: int
+) -> DataFrame:
+    out = _values_at(rows, keys, moments, points, crowded_rows)
     return out.select(*keys, "n", "max", "min", "mean", F.sqrt("variance").alias("stdev"), "variance", *points)
 
 
 def histogram(df: DataFrame, group: Sequence[str], value: str | Column, bins: int = 10) -> DataFrame:
     """``group..., bin, low, high, count`` for equal-width bins from the group's minimum to its maximum, empty bins included."""
     rows, keys = _keyed(df, group, value)
-    ends, _ = gathered(rows.groupBy(*keys).agg(F.min("_v").alias("min"), F.max("_v").alias("max")))
+    ends, _ = gathered(_sizes(rows, keys))
     return _unkeyed(_histogram(rows, keys, ends, bins))
 
 
@@ -214,9 +233,10 @@ def describe(
 ) -> DataFrame:
     """The summary of each group with its histogram as an array."""
     rows, keys = _keyed(df, group, value)
-    moments = gathered(_moments(rows, keys))
+    positions = _percentile_positions(PERCENTILES)
+    moments = _placed(_moments(rows, keys), positions)
     counts = histogram_array(_histogram(rows, keys, moments[0], bins), keys)
-    return _unkeyed(join_groups(_summary(rows, keys, moments, PERCENTILES, crowded_rows), counts, keys))
+    return _unkeyed(join_groups(_summary(rows, keys, moments, list(positions), crowded_rows), counts, keys))
 
 
 def quartiles_exclusive(
@@ -227,12 +247,12 @@ def quartiles_exclusive(
     A group of one has empty halves, whose medians are NULL.
     """
     rows, keys = _keyed(df, group, value)
-    sizes = rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
     n = F.col("n")
     half = F.floor(n / 2)
     inner = F.when(half > 0, (half + 1) / 2)
     positions = {"q1": inner, "median": (n + 1) / 2, "q3": n - half + inner}
-    return _unkeyed(_values_at(rows, keys, gathered(sizes), positions, crowded_rows).drop("min", "max"))
+    groups = _placed(_sizes(rows, keys), positions)
+    return _unkeyed(_values_at(rows, keys, groups, list(positions), crowded_rows).drop("min", "max"))
 
 
 def model_shape(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
