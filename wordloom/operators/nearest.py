@@ -16,20 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.bounds import BROADCAST_BYTES, rows_within, settled
-from wordloom.functions.vectors import cosine_similarity, euclidean, literal_vector, normalized_cosine, squared_distance
 from wordloom.operators.kernels import LOWER_IS_BETTER, Best, Block, matrix, scan_block
 from wordloom.operators.topn import top_n_per_group
 
-_SCORES = {
-    "euclidean": euclidean,
-    "squared_euclidean": squared_distance,
-    "cosine": cosine_similarity,
-    "normalized_cosine": normalized_cosine,
-}
-
 _ANSWER_COLUMNS = ["qid", "metric", "rank", "index", "word", "score"]
 
 
+def _schema(qid: T.DataType) -> T.StructType:
+    types = [qid, T.StringType(), T.IntegerType(), T.LongType(), T.StringType(), T.DoubleType()]
+    return T.StructType([T.StructField(name, kind) for name, kind in zip(_ANSWER_COLUMNS, types)])
+
+
 def best_first(metric: str, score: str = "score") -> Column:
     """Sort order that puts the best score first."""
     if metric not in LOWER_IS_BETTER:
@@ -40,8 +37,11 @@ def best_first(metric: str, score: str = "score") -> Column:
 def find_nearest(df: DataFrame, query: Sequence[float], n: int, metric: str = "cosine") -> DataFrame:
     """The ``n`` best rows for one vector: ``index, word, score``, best first, lowest index first among equals."""
     order = best_first(metric)
-    scored = df.select("index", "word", _SCORES[metric](F.col("vector"), literal_vector(query)).alias("score"))
-    return scored.filter(F.col("score").isNotNull()).orderBy(order, "index").limit(n)
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    asked = pa.table({"qid": pa.array([0], pa.int64()), "vector": pa.array([[float(x) for x in query]], pa.list_(pa.float64()))})
+    candidates = df.select("index", "word", "vector").mapInArrow(_scan_with_queries(df, asked, n, [metric]), _schema(T.LongType()))
+    return candidates.select("index", "word", "score").orderBy(order, "index").limit(n)
 
 
 def find_nearest_multi(
@@ -63,16 +63,7 @@ def find_nearest_multi(
         raise ValueError("n must be at least 1")
     table = df.select("index", "word", "vector")
     queries = queries.select("qid", "vector")
-    schema = T.StructType(
-        [
-            T.StructField("qid", queries.schema["qid"].dataType),
-            T.StructField("metric", T.StringType()),
-            T.StructField("rank", T.IntegerType()),
-            T.StructField("index", T.LongType()),
-            T.StructField("word", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    schema = _schema(queries.schema["qid"].dataType)
     dimensions = vector_size(table)
     small = collected_within(queries, broadcast_bytes, dimensions)
     if small is not None:

@@ -11,51 +11,130 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.bounds import BROADCAST_ROWS, gathered, join_groups
+from wordloom.bounds import gathered, join_groups, settled
 from wordloom.functions.vectors import vec_norm
+from wordloom.operators import dimension_kernels as kernels
 
 # The percentiles of a summary.
 PERCENTILES = (2, 9, 25, 50, 75, 91, 98)
 
-# Bins per refinement step, and the values of one range that a single task may sort.
+# Bins per refinement step.
 REFINE_BINS = 1024
+# Values of one range that a single task may sort, and values that are sorted in all before ranges are split for speed.
 CROWDED_ROWS = 1_000_000
+SORT_ROWS = 250_000
+# Ranges that are split to save sorting must hold this many values per bin, or counting them would cost as much.
+VALUES_PER_BIN = 32
 
 _ONE = "_one_group"
 
 
-def _keyed(df: DataFrame, group: Sequence[str], value: str | Column) -> tuple[DataFrame, list[str]]:
-    """``group..., _v`` without missing values; a constant key stands in when there is no group."""
-    value = F.col(value) if isinstance(value, str) else value
-    if group:
-        return df.select(*group, value.cast("double").alias("_v")).filter("_v is not null"), list(group)
-    return df.select(F.lit(1).alias(_ONE), value.cast("double").alias("_v")).filter("_v is not null"), [_ONE]
+class _Scalars:
+    """Values in rows: ``keys..., _v``."""
+
+    def __init__(self, df: DataFrame, group: Sequence[str], value: str | Column):
+        """Missing values are left out; a constant key stands in when there is no group."""
+        value = (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")
+        self.keys = list(group) or [_ONE]
+        self.rows = df.select(*(group or [F.lit(1).alias(_ONE)]), value).filter("_v is not null")
+
+    def sizes(self) -> DataFrame:
+        v = F.col("_v")
+        return self.rows.groupBy(*self.keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+    def moments(self) -> DataFrame:
+        """Size, extremes, mean and sample spread of each group; a single value has no spread."""
+        v = F.col("_v")
+        return self.rows.groupBy(*self.keys).agg(
+            F.count(v).alias("n"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.avg(v).alias("mean"),
+            F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
+        )
+
+    def bins_of(self, ranges: DataFrame, known: pa.Table | None) -> DataFrame:
+        """``keys..., base, bin, low, high, held`` for ranges ``keys..., from, to, base``."""
+        inside = join_groups(self.rows, ranges, self.keys).filter(F.col("_v").between(F.col("from"), F.col("to")))
+        place = _refining_bin(F.col("_v"), F.col("from"), F.col("to"))
+        return inside.groupBy(*self.keys, "base", place.alias("bin")).agg(
+            F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("held")
+        )
+
+    def values_in(self, ranges: DataFrame, known: pa.Table | None) -> DataFrame:
+        """``keys..., below, _v, copies``: the distinct values in the ranges ``keys..., low, high, below``."""
+        inside = join_groups(self.rows, ranges, self.keys).filter(F.col("_v").between(F.col("low"), F.col("high")))
+        return inside.groupBy(*self.keys, "below", "_v").agg(F.count(F.lit(1)).alias("copies"))
+
+    def bin_counts(self, ends: DataFrame, known: pa.Table | None, bins: int) -> DataFrame:
+        """``keys..., bin, count`` for equal-width bins between ``min`` and ``max``."""
+        place = _bin(F.col("_v"), F.col("min"), F.col("max"), bins)
+        placed = join_groups(self.rows, ends.select(*self.keys, "min", "max"), self.keys)
+        return placed.groupBy(*self.keys, place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+
+
+class _Dimensions(_Scalars):
+    """The elements of a vector column by dimension. Tasks count their own elements as long as the tables of ranges
+    are small enough to copy to them; otherwise the elements become rows."""
+
+    def __init__(self, df: DataFrame):
+        self.vectors = df.select("vector").filter("vector is not null")
+        super().__init__(dimension_values(df), ["dimension"], "value")
+
+    def moments(self) -> DataFrame:
+        parts = self.vectors.mapInArrow(
+            kernels.moments, "dimension int, n long, mean double, squares double, min double, max double"
+        )
+        own = Window.partitionBy("dimension")
+        grand = F.sum(F.col("mean") * F.col("n")).over(own) / F.sum("n").over(own)
+        parts = parts.withColumn("grand", grand)
+        spread = F.sum(F.col("squares") + F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2))
+        return parts.groupBy("dimension").agg(
+            F.sum("n").alias("n"),
+            F.min("min").alias("min"),
+            F.max("max").alias("max"),
+            F.first("grand").alias("mean"),
+            F.when(F.sum("n") > 1, spread / (F.sum("n") - 1)).otherwise(0.0).alias("variance"),
+        )
+
+    def bins_of(self, ranges: DataFrame, known: pa.Table | None) -> DataFrame:
+        if known is None:
+            return super().bins_of(ranges, known)
+        counted = self.vectors.mapInArrow(
+            kernels.refining_counts(kernels.Ranges(known, "from", "to", "base"), REFINE_BINS),
+            "dimension int, base long, bin int, low double, high double, held long",
+        )
+        return counted.groupBy("dimension", "base", "bin").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("held").alias("held")
+        )
+
+    def values_in(self, ranges: DataFrame, known: pa.Table | None) -> DataFrame:
+        if known is None:
+            return super().values_in(ranges, known)
+        picked = self.vectors.mapInArrow(
+            kernels.values_inside(kernels.Ranges(known, "low", "high", "below")), "dimension int, below long, _v double, copies long"
+        )
+        return picked.groupBy("dimension", "below", "_v").agg(F.sum("copies").alias("copies"))
+
+    def bin_counts(self, ends: DataFrame, known: pa.Table | None, bins: int) -> DataFrame:
+        if known is None:
+            return super().bin_counts(ends, known, bins)
+        known = known.sort_by("dimension")
+        counted = self.vectors.mapInArrow(
+            kernels.equal_width_counts(known.column("min").to_numpy(), known.column("max").to_numpy(), bins),
+            "dimension int, bin int, count long",
+        )
+        return counted.groupBy("dimension", "bin").agg(F.sum("count").alias("count"))
 
 
 def _unkeyed(df: DataFrame) -> DataFrame:
     return df.drop(_ONE)
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One pass: size, extremes, mean and sample spread of each group; a single value has no spread."""
-    v = F.col("_v")
-    return rows.groupBy(*keys).agg(
-        F.count(v).alias("n"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.avg(v).alias("mean"),
-        F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
-    )
-
-
-def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    v = F.col("_v")
-    return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
-
-
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin of a value; the highest value belongs to the last bin, and to the first when all are equal."""
     width = (high - low) / bins
@@ -87,35 +166,33 @@ def _placed(groups: DataFrame, positions: Mapping[str, Column]) -> tuple[DataFra
 
 
 def _values_at(
-    rows: DataFrame,
-    keys: list[str],
-    groups: tuple[DataFrame, pa.Table | None],
-    names: Sequence[str],
-    crowded_rows: int,
+    source: _Scalars, groups: tuple[DataFrame, pa.Table | None], names: Sequence[str], crowded_rows: int
 ) -> DataFrame:
     """The value at each position of the sorted group, linear between neighbouring ranks; NULL for a NULL position.
 
     ``groups`` comes from ``_placed`` and holds ``n, min, max``. The result has one more column per position.
     """
-    table, known = groups
-    wanted = table.select(*keys, "_ranks")
+    keys, (table, known) = source.keys, groups
+    wanted = table.select(*keys, F.explode("_ranks").alias("rank"))
 
     # Ranges of values that hold a wanted rank, with the count of values below the range and inside it.
     ranges = table.select(
         *keys, F.col("min").alias("low"), F.col("max").alias("high"), F.lit(0).cast("long").alias("below"), F.col("n").alias("held")
     )
-    crowd = _largest(ranges, known, "n", "min", "max")
-    while crowd > crowded_rows:
-        ranges, known = gathered(_split(rows, keys, ranges, wanted, crowded_rows))
-        crowd = _largest(ranges, known, "held", "low", "high")
+    if known is not None:
+        below = pa.array([0] * known.num_rows, pa.int64())
+        parts = [known.column(c) for c in (*keys, "min", "max")] + [below, known.column("n")]
+        known = pa.table(parts, [*keys, "low", "high", "below", "held"])
+    limit = _split_above(ranges, known, crowded_rows)
+    while limit is not None:
+        ranges, known = gathered(_split(source, ranges, known, wanted, limit))
+        limit = _split_above(ranges, known, crowded_rows)
 
-    inside = join_groups(rows, ranges, keys).filter(F.col("_v").between(F.col("low"), F.col("high")))
-    counted = inside.groupBy(*keys, "below", "_v").agg(F.count(F.lit(1)).alias("copies"))
     running = Window.partitionBy(*keys, "below").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = counted.withColumn("last", F.col("below") + F.sum("copies").over(running))
-    hits = F.filter("_ranks", lambda r: (r <= F.col("last")) & (r > F.col("last") - F.col("copies")))
-    found = join_groups(last, wanted, keys).select(*keys, F.explode(hits).alias("rank"), F.col("_v").alias("value"))
-    by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at_rank"))
+    last = source.values_in(ranges, known).withColumn("last", F.col("below") + F.sum("copies").over(running))
+    is_here = (F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("copies"))
+    found = join_groups(last, wanted, keys).filter(is_here)
+    by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("at_rank"))
 
     def interpolated(at: Column) -> Column:
         lower, upper = F.col("at_rank")[F.floor(at).cast("long")], F.col("at_rank")[F.ceil(at).cast("long")]
@@ -126,32 +203,44 @@ def _values_at(
     return out.select(*kept, *[F.col("_found")[i].alias(name) for i, name in enumerate(names)])
 
 
-def _largest(ranges: DataFrame, known: pa.Table | None, held: str, low: str, high: str) -> int:
-    """The most values in a range that is not a single value."""
+def _split_above(ranges: DataFrame, known: pa.Table | None, crowded_rows: int) -> int | None:
+    """The size above which ranges should be split before sorting them, or None when all can be sorted as they are.
+
+    A range must not outgrow a task, and when the sorting as a whole is large, the ranges worth splitting are split.
+    A range of one value is never split: its copies are counted, not sorted.
+    """
+    worth = min(crowded_rows, VALUES_PER_BIN * REFINE_BINS)
     if known is None:
-        return ranges.filter("low < high").agg(F.max("held").alias("m")).head()["m"] or 0
-    counts, lows, highs = (known.column(c).to_pylist() for c in (held, low, high))
-    return max((n for n, a, b in zip(counts, lows, highs) if a != b), default=0)
+        held = F.when(F.col("low") < F.col("high"), F.col("held")).otherwise(0)
+        found = ranges.agg(F.max(held).alias("m"), F.sum(F.when(held > worth, held).otherwise(0)).alias("t")).head()
+        largest, total = found["m"] or 0, found["t"] or 0
+    else:
+        counts, lows, highs = (known.column(c).to_numpy() for c in ("held", "low", "high"))
+        sizes = counts[lows != highs]
+        largest, total = int(sizes.max(initial=0)), int(sizes[sizes > worth].sum())
+    if total > min(crowded_rows, SORT_ROWS):
+        return worth
+    return crowded_rows if largest > crowded_rows else None
 
 
-def _split(rows: DataFrame, keys: list[str], ranges: DataFrame, wanted: DataFrame, crowded_rows: int) -> DataFrame:
-    """Divide the crowded ranges into bins and keep the bins that hold a wanted rank.
+def _split(source: _Scalars, ranges: DataFrame, known: pa.Table | None, wanted: DataFrame, limit: int) -> DataFrame:
+    """Divide the ranges of more than ``limit`` values into bins and keep the bins that hold a wanted rank.
 
     A bin's new range is the span of the values really in it, so an outlier is shed in one step.
     """
-    is_crowded = (F.col("held") > crowded_rows) & (F.col("low") < F.col("high"))
+    keys, columns = source.keys, [*source.keys, "low", "high", "below", "held"]
+    is_crowded = (F.col("held") > limit) & (F.col("low") < F.col("high"))
     crowded = ranges.filter(is_crowded).select(
         *keys, F.col("low").alias("from"), F.col("high").alias("to"), F.col("below").alias("base")
     )
-    inside = join_groups(rows, crowded, keys).filter(F.col("_v").between(F.col("from"), F.col("to")))
-    bins = inside.groupBy(*keys, "base", _refining_bin(F.col("_v"), F.col("from"), F.col("to")).alias("bin")).agg(
-        F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("held")
-    )
+    if known is not None:
+        known = known.filter((pc.field("held") > limit) & (pc.field("low") < pc.field("high")))
+        known = known.select([*keys, "low", "high", "below"]).rename_columns([*keys, "from", "to", "base"])
     running = Window.partitionBy(*keys, "base").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = source.bins_of(crowded, known)
     placed = bins.withColumn("below", F.col("base") + F.sum("held").over(running) - F.col("held"))
-    holds_rank = F.exists("_ranks", lambda r: (r > F.col("below")) & (r <= F.col("below") + F.col("held")))
-    columns = [*keys, "low", "high", "below", "held"]
-    kept = join_groups(placed, wanted, keys).filter(holds_rank).select(*columns)
+    holds_rank = (F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("held"))
+    kept = join_groups(placed, wanted, keys).filter(holds_rank).select(*columns).distinct()
     return ranges.filter(~is_crowded).select(*columns).unionByName(kept)
 
 
@@ -172,9 +261,8 @@ def exact_percentiles(
     crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """Percentiles at position ``p (n + 1) / 100``, linear between ranks, clamped to the extremes: ``group..., n, p2, ...``."""
-    rows, keys = _keyed(df, group, value)
-    positions = _percentile_positions(percentiles)
-    out = _values_at(rows, keys, _placed(_sizes(rows, keys), positions), list(positions), crowded_rows)
+    source, positions = _Scalars(df, group, value), _percentile_positions(percentiles)
+    out = _values_at(source, _placed(source.sizes(), positions), list(positions), crowded_rows)
     return _unkeyed(out.drop("min", "max"))
 
 
@@ -186,31 +274,28 @@ def summary(
     crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """``group..., n, max, min, mean, stdev, variance`` and one column per percentile."""
-    rows, keys = _keyed(df, group, value)
-    positions = _percentile_positions(percentiles)
-    return _unkeyed(_summary(rows, keys, _placed(_moments(rows, keys), positions), list(positions), crowded_rows))
+    source, positions = _Scalars(df, group, value), _percentile_positions(percentiles)
+    return _unkeyed(_summary(source, _placed(source.moments(), positions), list(positions), crowded_rows))
 
 
 def _summary(
-    rows: DataFrame, keys: list[str], moments: tuple[DataFrame, pa.Table | None], points: Sequence[str], crowded_rows: int
+    source: _Scalars, moments: tuple[DataFrame, pa.Table | None], points: Sequence[str], crowded_rows: int
 ) -> DataFrame:
-    out = _values_at(rows, keys, moments, points, crowded_rows)
-    return out.select(*keys, "n", "max", "min", "mean", F.sqrt("variance").alias("stdev"), "variance", *points)
+    out = _values_at(source, moments, points, crowded_rows)
+    return out.select(*source.keys, "n", "max", "min", "mean", F.sqrt("variance").alias("stdev"), "variance", *points)
 
 
 def histogram(df: DataFrame, group: Sequence[str], value: str | Column, bins: int = 10) -> DataFrame:
     """``group..., bin, low, high, count`` for equal-width bins from the group's minimum to its maximum, empty bins included."""
-    rows, keys = _keyed(df, group, value)
-    ends, _ = gathered(_sizes(rows, keys))
-    return _unkeyed(_histogram(rows, keys, ends, bins))
+    source = _Scalars(df, group, value)
+    return _unkeyed(_histogram(source, gathered(source.sizes()), bins))
 
 
-def _histogram(rows: DataFrame, keys: list[str], ends: DataFrame, bins: int) -> DataFrame:
+def _histogram(source: _Scalars, groups: tuple[DataFrame, pa.Table | None], bins: int) -> DataFrame:
     if bins < 1:
         raise ValueError("bins must be at least 1")
-    ends = ends.select(*keys, "min", "max")
-    placed = join_groups(rows, ends, keys).groupBy(*keys, _bin(F.col("_v"), F.col("min"), F.col("max"), bins).alias("bin"))
-    counts = placed.agg(F.count(F.lit(1)).alias("count"))
+    keys, (ends, known) = source.keys, groups
+    counts = source.bin_counts(ends, known, bins)
     every = ends.select(*keys, "min", "max", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("max") - F.col("min")) / bins
     return join_groups(every, counts, [*keys, "bin"], "left").select(
@@ -232,11 +317,14 @@ def describe(
     df: DataFrame, group: Sequence[str], value: str | Column, bins: int = 10, crowded_rows: int = CROWDED_ROWS
 ) -> DataFrame:
     """The summary of each group with its histogram as an array."""
-    rows, keys = _keyed(df, group, value)
+    return _unkeyed(_described(_Scalars(df, group, value), bins, crowded_rows))
+
+
+def _described(source: _Scalars, bins: int, crowded_rows: int) -> DataFrame:
     positions = _percentile_positions(PERCENTILES)
-    moments = _placed(_moments(rows, keys), positions)
-    counts = histogram_array(_histogram(rows, keys, moments[0], bins), keys)
-    return _unkeyed(join_groups(_summary(rows, keys, moments, list(positions), crowded_rows), counts, keys))
+    moments = _placed(source.moments(), positions)
+    counts = histogram_array(_histogram(source, moments, bins), source.keys)
+    return join_groups(_summary(source, moments, list(positions), crowded_rows), counts, source.keys)
 
 
 def quartiles_exclusive(
@@ -246,49 +334,51 @@ def quartiles_exclusive(
 
     A group of one has empty halves, whose medians are NULL.
     """
-    rows, keys = _keyed(df, group, value)
-    n = F.col("n")
+    source, n = _Scalars(df, group, value), F.col("n")
     half = F.floor(n / 2)
     inner = F.when(half > 0, (half + 1) / 2)
     positions = {"q1": inner, "median": (n + 1) / 2, "q3": n - half + inner}
-    groups = _placed(_sizes(rows, keys), positions)
-    return _unkeyed(_values_at(rows, keys, groups, list(positions), crowded_rows).drop("min", "max"))
+    out = _values_at(source, _placed(source.sizes(), positions), list(positions), crowded_rows)
+    return _unkeyed(out.drop("min", "max"))
 
 
-def model_shape(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+def model_shape(df: DataFrame) -> DataFrame:
     """``words, dimensionality`` of the table; fails when the vectors differ in size."""
-    shape = df.groupBy(*group).agg(
+    shape = df.agg(
         F.count(F.lit(1)).alias("words"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")
     )
     size = F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("vector sizes differ"))).otherwise(F.col("low"))
-    return shape.select(*group, "words", size.cast("int").alias("dimensionality"))
+    return shape.select("words", size.cast("int").alias("dimensionality"))
 
 
-def dimension_values(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """One row per vector element: ``group..., dimension, value``."""
-    return df.select(*group, F.posexplode("vector").alias("dimension", "value"))
+def dimension_values(df: DataFrame) -> DataFrame:
+    """One row per vector element: ``dimension, value``."""
+    return df.select(F.posexplode("vector").alias("dimension", "value"))
 
 
-def dimension_stats(df: DataFrame, bins: int = 20, group: Sequence[str] = ()) -> DataFrame:
-    """Statistics and histogram of each vector dimension: ``group..., dimension, n, max, ..., histogram``."""
-    return describe(dimension_values(df, group), [*group, "dimension"], "value", bins)
+def dimension_stats(df: DataFrame, bins: int = 20, crowded_rows: int = CROWDED_ROWS) -> DataFrame:
+    """Statistics and histogram of each vector dimension: ``dimension, n, max, ..., histogram``."""
+    return _described(_Dimensions(df), bins, crowded_rows)
 
 
-def norm_stats(df: DataFrame, bins: int = 20, group: Sequence[str] = ()) -> DataFrame:
-    """Statistics and histogram of the vector lengths."""
-    return describe(df, group, vec_norm("vector"), bins)
+def norm_stats(df: DataFrame, bins: int = 20) -> DataFrame:
+    """Statistics and histogram of the vector lengths, which are computed once and stored as a narrow table."""
+    return describe(settled(df.select(vec_norm("vector").alias("length"))), [], "length", bins)
 
 
 def analyze(models: Mapping[str, DataFrame], bins: int = 20) -> DataFrame:
-    """Shape, dimension and length statistics of several models in one job.
+    """Shape, dimension and length statistics of several models as one table.
 
     One row per model and dimension, and one per model with dimension NULL for the lengths.
     """
-    table = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("model"), "vector") for name, df in models.items()])
-    lengths = norm_stats(table, bins, ["model"]).withColumn("dimension", F.lit(None).cast("int"))
-    rows = dimension_stats(table, bins, ["model"]).unionByName(lengths)
-    shape = model_shape(table, ["model"])
-    return rows.join(F.broadcast(shape) if len(models) <= BROADCAST_ROWS else shape, "model")
+    parts = []
+    for name, df in models.items():
+        lengths = norm_stats(df, bins).withColumn("dimension", F.lit(None).cast("int"))
+        rows = dimension_stats(df, bins).unionByName(lengths)
+        shape = model_shape(df).head()
+        facts = [F.lit(name).alias("model"), F.lit(shape["words"]).cast("long").alias("words"), F.lit(shape["dimensionality"]).alias("dimensionality")]
+        parts.append(rows.select(*facts, "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 OUTLIER_RULES = ("full", "p2_p98", "median_iqr")
