@@ -24,7 +24,8 @@ def _columns(batches: Batches) -> Iterator[np.ndarray]:
 
 
 def moments(batches: Batches) -> Batches:
-    """``dimension, n, mean, squares, min, max`` of the task, squares being the squared deviations from the mean."""
+    """``dimension, size, n, mean, squares, min, max`` of the task: the size of its vectors, and the sum of squared
+    deviations from its mean."""
     n, mean, squares, low, high = 0, 0.0, 0.0, np.inf, -np.inf
     for columns in _columns(batches):
         m = columns.shape[1]
@@ -38,8 +39,9 @@ def moments(batches: Batches) -> Batches:
         n += m
     if n:
         d = len(mean)
-        arrays = [pa.array(np.arange(d), pa.int32()), pa.array(np.full(d, n)), *map(pa.array, (mean, squares, low, high))]
-        yield pa.RecordBatch.from_arrays(arrays, ["dimension", "n", "mean", "squares", "min", "max"])
+        counts = [pa.array(np.arange(d), pa.int32()), pa.array(np.full(d, d), pa.int32()), pa.array(np.full(d, n))]
+        arrays = [*counts, *map(pa.array, (mean, squares, low, high))]
+        yield pa.RecordBatch.from_arrays(arrays, ["dimension", "size", "n", "mean", "squares", "min", "max"])
 
 
 def equal_width_counts(low: np.ndarray, high: np.ndarray, bins: int) -> Callable[[Batches], Batches]:

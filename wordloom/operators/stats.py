@@ -87,14 +87,15 @@ class _Dimensions(_Scalars):
 
     def moments(self) -> DataFrame:
         parts = self.vectors.mapInArrow(
-            kernels.moments, "dimension int, n long, mean double, squares double, min double, max double"
+            kernels.moments, "dimension int, size int, n long, mean double, squares double, min double, max double"
         )
         own = Window.partitionBy("dimension")
         grand = F.sum(F.col("mean") * F.col("n")).over(own) / F.sum("n").over(own)
         parts = parts.withColumn("grand", grand)
+        ragged = F.min("size") != F.max("size")
         spread = F.sum(F.col("squares") + F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2))
         return parts.groupBy("dimension").agg(
-            F.sum("n").alias("n"),
+            F.when(ragged, F.raise_error(F.lit("vector sizes differ"))).otherwise(F.sum("n")).cast("long").alias("n"),
             F.min("min").alias("min"),
             F.max("max").alias("max"),
             F.first("grand").alias("mean"),
