@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 # Largest table that is copied to every executor, in bytes.
 BROADCAST_BYTES = 128 * 1024 * 1024
-# Largest narrow table (a few numbers per row) that is copied to every executor, in rows.
-BROADCAST_ROWS = 100_000
+# Largest narrow table (at most some 250 bytes per row) that is copied to every executor, in rows.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -23,10 +23,10 @@ LINE_MEMBERS = 500_000
 CENTROIDS = "cluster int, center array<double>"
 
 
-def _centre_matrix(centroids: DataFrame, broadcast_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
+def _centre_matrix(df: DataFrame, centroids: DataFrame, broadcast_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Cluster ids in ascending order with their centres, or None when they are too large to copy to every task."""
     named = centroids.select("cluster", F.col("center").alias("vector"))
-    table = collected_within(named, broadcast_bytes, vector_size(named))
+    table = collected_within(named, broadcast_bytes, vector_size(df))
     if table is None:
         return None
     ids = table.column("cluster").to_numpy()
@@ -35,6 +35,11 @@ def _centre_matrix(centroids: DataFrame, broadcast_bytes: int) -> tuple[np.ndarr
     return ids[order], centres
 
 
+def _centroid_table(spark: SparkSession, held: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    ids, centres = held
+    return spark.createDataFrame(pa.table({"cluster": pa.array(ids, pa.int32()), "center": list_column(centres)}), CENTROIDS)
+
+
 def assign_clusters(df: DataFrame, centroids: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``index, word, cluster, sq_distance``: the nearest centre of each row, lowest cluster among equals."""
     return _assigned(df, centroids, broadcast_bytes).select("index", "word", "cluster", "sq_distance")
@@ -42,7 +47,7 @@ def assign_clusters(df: DataFrame, centroids: DataFrame, broadcast_bytes: int =
 
 def _assigned(df: DataFrame, centroids: DataFrame, broadcast_bytes: int) -> DataFrame:
     """The assignment with the cosine distance to the own centre."""
-    held = _centre_matrix(centroids, broadcast_bytes)
+    held = _centre_matrix(df, centroids, broadcast_bytes)
     if held is None:
         return _assigned_by_blocks(df, centroids, broadcast_bytes)
     shared = df.sparkSession.sparkContext.broadcast(held)
@@ -108,9 +113,10 @@ def lloyd_step(df: DataFrame, centroids: DataFrame, broadcast_bytes: int = BROAD
 
     Each task sums its own rows per cluster, so only one row per cluster and task is shuffled however large a cluster is.
     """
-    held = _centre_matrix(centroids, broadcast_bytes)
+    held = _centre_matrix(df, centroids, broadcast_bytes)
     if held is not None:
         means = _means(_partial_sums(df, held))
+        centroids = _centroid_table(df.sparkSession, held)
     else:
         assigned = _assigned_by_blocks(df, centroids, broadcast_bytes).select("index", "cluster")
         means = _means(df.join(assigned, "index").select("cluster", F.lit(1).alias("members"), F.col("vector").alias("sums")))
@@ -168,7 +174,7 @@ def kmeans_train(df: DataFrame, k: int, iterations: int, runs: int = 1, seed: in
 
 def kmeans_warm_start(df: DataFrame, centroids: DataFrame, iterations: int, tolerance: float = 1e-4) -> DataFrame:
     """Continue from given centres for ``iterations`` steps, or until no centre moves by more than ``tolerance``."""
-    held = _centre_matrix(centroids, BROADCAST_BYTES)
+    held = _centre_matrix(df, centroids, BROADCAST_BYTES)
     if held is None:
         return _warm_start_by_blocks(df, centroids, iterations, tolerance)
     ids, centres = held
@@ -185,7 +191,7 @@ def kmeans_warm_start(df: DataFrame, centroids: DataFrame, iterations: int, tole
                 break
     finally:
         points.unpersist()
-    return df.sparkSession.createDataFrame(pa.table({"cluster": pa.array(ids, pa.int32()), "center": list_column(centres)}), CENTROIDS)
+    return _centroid_table(df.sparkSession, (ids, centres))
 
 
 def _warm_start_by_blocks(df: DataFrame, centroids: DataFrame, iterations: int, tolerance: float) -> DataFrame:

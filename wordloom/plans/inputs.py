@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.vectors import as_vector, vec_add, vec_scale
+from wordloom.operators.kernels import matrix
+from wordloom.sources.binary import located
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +66,35 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def binary_files(df: DataFrame, folder: str, rows_per_file: int = 1_000_000) -> list[tuple[int, str]]:
+    """The word table as binary vector files of ``rows_per_file`` consecutive rows each: their numbers and paths."""
+    file = F.floor(F.col("index") / rows_per_file).cast("long")
+    numbered = df.withColumn("file", file)
+    held = {r["file"]: r["count"] for r in numbered.groupBy("file").count().collect()}
+    system, inner = located(folder)
+    system.create_dir(inner)
+    sorted_rows = numbered.repartition(len(held) or 1, "file").sortWithinPartitions("file", "index")
+
+    def write(batches):
+        system, inner = located(folder)
+        current, out = None, None
+        for batch in batches:
+            vectors = matrix(batch.column("vector")).astype("<f4")
+            for number, word, vector in zip(batch.column("file").to_pylist(), batch.column("word").to_pylist(), vectors):
+                if number != current:
+                    if out is not None:
+                        out.close()
+                    current, out = number, system.open_output_stream(f"{inner}/{number}.bin")
+                    out.write(f"{held[number]} {len(vector)}\n".encode())
+                out.write(word.encode() + b" " + vector.tobytes() + b"\n")
+        if out is not None:
+            out.close()
+        yield from ()
+
+    sorted_rows.mapInArrow(write, "file long").count()
+    return [(number, f"{folder}/{number}.bin") for number in sorted(held)]
+
+
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean vector of each label as a centroid table."""
     elements = table(spark, sf_dir, "embeddings").select("label", F.posexplode(as_vector("embedding")).alias("pos", "x"))

@@ -475,6 +475,11 @@ ORACLE: dict[str, str] = {
   FROM assigned GROUP BY cluster""",
     ),
     "text_vectors": with_(WORDS, elements("words", "index", "word")),
+    "binary_vectors": with_(
+        """words AS (SELECT CAST(vec_id // 1000000 AS BIGINT) AS file, CAST(vec_id % 1000000 AS BIGINT) AS index,
+  concat('w', vec_id) AS word, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings)""",
+        elements("words", "file", "index", "word"),
+    ),
     "loaded_models": with_(
         WORDS,
         STRETCHED,

@@ -12,7 +12,7 @@ from wordloom.bounds import shared_dir
 from wordloom.functions import vectors as V
 from wordloom.operators import analogy, clustering, lookup, nearest, stats, topn
 from wordloom.plans import inputs
-from wordloom.sources import analogies, tables, text
+from wordloom.sources import analogies, binary, tables, text
 
 POINTS = [f"p{p}" for p in stats.PERCENTILES]
 NUMBERS = ["max", "min", "mean", "stdev", "variance", *POINTS]
@@ -380,6 +380,15 @@ def text_vectors(spark, d):
     return elements(text.read_text_vectors(spark, path), "index", "word")
 
 
+def binary_vectors(spark, d):
+    """Stored in the binary form and read back, each file with its own index from 0."""
+    found = None
+    for number, path in inputs.binary_files(inputs.words(spark, d), scratch(spark, "binary")):
+        rows = binary.read_binary_vectors(spark, path, split_bytes=32 * 1024 * 1024).withColumn("file", F.lit(number).cast("long"))
+        found = rows if found is None else found.unionByName(rows)
+    return elements(found, "file", "index", "word")
+
+
 def loaded_models(spark, d):
     """Text lines loaded into a raw and a unit-length model, both read back."""
     path, out = scratch(spark, "input.txt"), scratch(spark, "models")
@@ -506,6 +515,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cluster_members,
         cluster_lines,
         text_vectors,
+        binary_vectors,
         loaded_models,
         stored_vectors,
         vector_lines,

@@ -71,12 +71,16 @@ def _row_bytes(dimensions: int) -> int:
     return 1 + MAX_WORD_BYTES + 1 + FLOAT_BYTES * dimensions
 
 
-def _open(path: str):
-    """A random-access file on a local or mounted path, or on a file system named by the URL."""
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a local or mounted path or of a URL, and the path in it."""
     parsed = urlparse(str(path))
     if parsed.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file(unquote(parsed.path) if parsed.scheme else str(path))
-    system, inner = fs.FileSystem.from_uri(path)
+        return fs.LocalFileSystem(), unquote(parsed.path) if parsed.scheme else str(path)
+    return fs.FileSystem.from_uri(path)
+
+
+def _open(path: str):
+    system, inner = located(path)
     return system.open_input_file(inner)
 
 
