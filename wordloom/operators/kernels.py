@@ -10,10 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-# Scores held at once by one task, as a count of doubles.
-BLOCK_CELLS = 4_000_000
+# Scores worked on at once by one task, as a count of doubles: small enough to stay in a core's cache.
+BLOCK_CELLS = 262_144
+# Numbers gathered at once for exact scores.
+EXACT_CELLS = 4_000_000
 NO_INDEX = np.iinfo(np.int64).max
 
+DISTANCES = ("euclidean", "squared_euclidean")
 LOWER_IS_BETTER = {"euclidean": True, "squared_euclidean": True, "cosine": False, "normalized_cosine": False}
 
 
@@ -54,7 +57,21 @@ class Block:
             index, words, vectors = index[order], words[order], vectors[order]
         self.index, self.words, self.vectors = index, words, vectors
         self.norms = lengths(vectors)
+        self.longest = self.norms.max(initial=0.0)
         self._distinct: dict[int, Block] = {}
+        self._factors: dict[str, np.ndarray] = {}
+
+    def factor(self, metric: str) -> np.ndarray:
+        """The rows as the factor of a matrix product that grows as rows get better under the metric."""
+        if metric not in self._factors:
+            if metric in DISTANCES:
+                factor = np.c_[self.vectors, -0.5 * self.norms**2]
+            elif metric == "cosine":
+                factor = self.vectors / np.where(self.norms > 0, self.norms, np.nan)[:, None]
+            else:
+                factor = self.vectors
+            self._factors[metric] = np.ascontiguousarray(factor.T)
+        return self._factors[metric]
 
     def take(self, rows: np.ndarray) -> Block:
         return Block(self.index[rows], self.words[rows], self.vectors[rows])
@@ -80,6 +97,15 @@ def rank_in_group(group: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return rank
 
 
+def places_set(flags: np.ndarray) -> np.ndarray:
+    """Flat positions of the true elements, looking at eight at a time as nearly all are false."""
+    flags = flags.ravel()
+    whole = len(flags) - len(flags) % 8
+    eights = np.flatnonzero(flags[:whole].view(np.uint64))
+    which, offset = np.nonzero(flags[:whole].reshape(-1, 8)[eights])
+    return np.r_[eights[which] * 8 + offset, whole + np.flatnonzero(flags[whole:])]
+
+
 class Best:
     """The best ``n`` rows seen so far for each query, under one metric. Keys are ordered so that lower is better."""
 
@@ -87,51 +113,39 @@ class Best:
         if metric not in LOWER_IS_BETTER:
             raise ValueError(f"unknown metric {metric!r}")
         self.metric, self.n, self.queries = metric, n, queries
+        self.is_distance = metric in DISTANCES
         self.norms = lengths(queries)
-        self.answerable = np.ones(len(queries), dtype=bool) if self._is_distance() else self.norms > 0
         self.key = np.full((len(queries), n), np.inf)
         self.index = np.full((len(queries), n), NO_INDEX, dtype=np.int64)
         self.word = np.full((len(queries), n), None, dtype=object)
-
-    def _is_distance(self) -> bool:
-        return self.metric in ("euclidean", "squared_euclidean")
+        if self.is_distance:
+            self.factor = np.c_[queries, np.ones(len(queries))]
+        else:
+            # A zero vector has no angle; comparisons with NaN are false, so it is never ranked.
+            self.factor = queries / np.where(self.norms > 0, self.norms, np.nan)[:, None]
 
     def _margin(self, block: Block, chosen: slice) -> np.ndarray:
+        """More than the rounding error of a product."""
         scale = 16.0 * (block.vectors.shape[1] + 8) * np.finfo(np.float64).eps
-        if self._is_distance():
-            return scale * (block.norms.max() + self.norms[chosen]) ** 2
-        if self.metric == "cosine":
-            return np.full(len(self.norms[chosen]), scale)
-        return np.full(len(self.norms[chosen]), scale * max(block.norms.max(), 1.0))
-
-    def _rough_keys(self, products: np.ndarray, block: Block, chosen: slice) -> np.ndarray:
-        """Keys for queries x rows, from their inner products."""
-        if self._is_distance():
-            keys = block.norms[None, :] ** 2 - 2.0 * products
-            keys += self.norms[chosen][:, None] ** 2
-            return keys
-        with np.errstate(divide="ignore", invalid="ignore"):
-            keys = products / -self.norms[chosen][:, None]
-            if self.metric == "cosine":
-                keys /= block.norms[None, :]
-        # Zero vectors have no angle; they are never ranked.
-        keys[~self.answerable[chosen]] = np.inf
-        if self.metric == "cosine":
-            keys[:, block.norms == 0] = np.inf
-        return keys
+        if self.is_distance:
+            return scale * (block.longest + self.norms[chosen]) ** 2
+        return np.full(len(self.norms[chosen]), scale * (1.0 if self.metric == "cosine" else max(block.longest, 1.0)))
 
-    def _threshold(self, chosen: slice) -> np.ndarray:
+    def _least(self, chosen: slice) -> np.ndarray:
+        """The product that the worst row held would have, minus infinity while places are free."""
         worst = self.key[chosen, -1]
-        return worst * worst if self.metric == "euclidean" else worst
+        if not self.is_distance:
+            return -worst
+        return 0.5 * (self.norms[chosen] ** 2 - (worst * worst if self.metric == "euclidean" else worst))
 
     def _exact_keys(self, queries: np.ndarray, rows: np.ndarray, block: Block) -> np.ndarray:
         keys = np.empty(len(rows))
-        step = max(1, BLOCK_CELLS // max(1, block.vectors.shape[1]))
+        step = max(1, EXACT_CELLS // max(1, block.vectors.shape[1]))
         for start in range(0, len(rows), step):
             part = slice(start, start + step)
             q, r = queries[part], rows[part]
             x, y = self.queries[q], block.vectors[r]
-            if self._is_distance():
+            if self.is_distance:
                 squares = ((x - y) ** 2).sum(axis=1)
                 keys[part] = np.sqrt(squares) if self.metric == "euclidean" else squares
             elif self.metric == "cosine":
@@ -140,20 +154,19 @@ class Best:
                 keys[part] = -((x / self.norms[q][:, None]) * y).sum(axis=1)
         return keys
 
-    def add(self, products: np.ndarray, block: Block, chosen: slice) -> bool:
+    def add(self, block: Block, chosen: slice) -> bool:
         """Take in a block. False when it holds so many equal rows that surplus copies should be dropped first."""
-        keys = self._rough_keys(products, block, chosen)
+        products = self.factor[chosen] @ block.factor(self.metric)
         margin = self._margin(block, chosen)
-        candidates = keys <= (self._threshold(chosen) + margin)[:, None]
-        candidates &= np.isfinite(keys)
-        enough = 4 * self.n * len(keys) + 1024
-        if np.count_nonzero(candidates) > enough and keys.shape[1] > self.n:
-            cut = np.partition(keys, self.n - 1, axis=1)[:, self.n - 1]
-            candidates &= keys <= (cut + margin)[:, None]
-            if np.count_nonzero(candidates) > enough and len(block.index) > self.n:
-                if block.without_surplus_copies(self.n) is not block:
-                    return False
-        query, row = np.nonzero(candidates)
+        candidates = products >= (self._least(chosen) - margin)[:, None]
+        enough = 4 * self.n * len(products) + 1024
+        if np.count_nonzero(candidates) > enough and products.shape[1] > self.n:
+            # NaN sorts last and would pass for the best.
+            ordered = np.partition(np.nan_to_num(products, nan=-np.inf), -self.n, axis=1)
+            candidates &= products >= (ordered[:, -self.n] - margin)[:, None]
+            if np.count_nonzero(candidates) > enough and block.without_surplus_copies(self.n) is not block:
+                return False
+        query, row = np.divmod(places_set(candidates), products.shape[1])
         if len(query):
             self._merge(query + chosen.start, row, block)
         return True
@@ -179,23 +192,20 @@ class Best:
         """Query position, rank from 1, index, word and score of every row held."""
         query, slot = np.nonzero(self.index != NO_INDEX)
         key = self.key[query, slot]
-        score = key if self._is_distance() else -key
+        score = key if self.is_distance else -key
         return query, slot + 1, self.index[query, slot], self.word[query, slot], score
 
 
 def scan_block(bests: list[Best], block: Block) -> None:
-    """Score one block of rows for every query; the metrics share one matrix product."""
+    """Score one block of rows for every query."""
     if not len(block.index):
         return
-    queries = bests[0].queries
     step = max(1, BLOCK_CELLS // len(block.index))
-    for start in range(0, len(queries), step):
-        chosen = slice(start, min(start + step, len(queries)))
-        products = queries[chosen] @ block.vectors.T
-        for best in bests:
-            if not best.add(products, block, chosen):
-                fewer = block.without_surplus_copies(best.n)
-                best.add(queries[chosen] @ fewer.vectors.T, fewer, chosen)
+    for best in bests:
+        for start in range(0, len(best.queries), step):
+            chosen = slice(start, min(start + step, len(best.queries)))
+            if not best.add(block, chosen):
+                best.add(block.without_surplus_copies(best.n), chosen)
 
 
 def nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +227,7 @@ def nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray
         # Rows with several centres inside the rounding margin are decided by the exact distance.
         row, option = np.nonzero(close & (close.sum(axis=1) > 1)[:, None])
         distance = np.empty(len(row))
-        pairs = max(1, BLOCK_CELLS // max(1, vectors.shape[1]))
+        pairs = max(1, EXACT_CELLS // max(1, vectors.shape[1]))
         for first in range(0, len(row), pairs):
             some = slice(first, first + pairs)
             distance[some] = ((x[row[some]] - centres[option[some]]) ** 2).sum(axis=1)
