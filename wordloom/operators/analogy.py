@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.bounds import BROADCAST_BYTES, settled
+from wordloom.bounds import BROADCAST_BYTES, settled, small_or_settled
 from wordloom.functions.vectors import UNIT_TOLERANCE, query_vector, vec_norm
 from wordloom.operators.lookup import find_words, folded
 from wordloom.operators.nearest import collected_within, find_nearest_multi, vector_size
@@ -29,7 +29,10 @@ def problem_words(problems: DataFrame) -> DataFrame:
 
 def query_vectors(df: DataFrame, problems: DataFrame) -> DataFrame:
     """``problem_id, vector`` with vector ``b - a + c``, for the problems whose first three words are all known."""
-    found = _copied_or_settled(find_words(df, problem_words(problems)), vector_size(df))
+    return _query_vectors(_looked_up(df, problem_words(problems)), problems)
+
+
+def _query_vectors(found: DataFrame, problems: DataFrame) -> DataFrame:
     joined = problems.select("problem_id", "a", "b", "c")
     for name in ("a", "b", "c"):
         side = found.select(F.col("query").alias(name), F.col("vector").alias(f"{name}_vector"))
@@ -37,9 +40,10 @@ def query_vectors(df: DataFrame, problems: DataFrame) -> DataFrame:
     return joined.select("problem_id", query_vector("a_vector", "b_vector", "c_vector").alias("vector"))
 
 
-def _copied_or_settled(found: DataFrame, dimensions: int) -> DataFrame:
-    """The looked-up words as a broadcast copy when they fit, else settled: Spark then shuffles and splits hot words."""
-    rows = collected_within(found, BROADCAST_BYTES, dimensions)
+def _looked_up(df: DataFrame, words: DataFrame) -> DataFrame:
+    """The words with their rows, as a broadcast copy when that fits, else settled: Spark then shuffles and splits hot words."""
+    found = find_words(df, words)
+    rows = collected_within(found, BROADCAST_BYTES, vector_size(df))
     if rows is None:
         return settled(found)
     return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
@@ -69,13 +73,20 @@ def solve_analogies(
     an unknown word gets an empty answer of score 0. The words of the problem may be the answer unless
     ``exclude_inputs`` is set. With ``normalized``, a table of unit vectors is scored by inner product alone.
     """
+    return _solved(df, problems, problem_words(problems), normalized, exclude_inputs, broadcast_bytes)
+
+
+def _solved(
+    df: DataFrame, problems: DataFrame, words: DataFrame, normalized: bool, exclude_inputs: bool, broadcast_bytes: int
+) -> DataFrame:
     cosine = "normalized_cosine" if normalized and use_normalized_path(df) else "cosine"
-    queries = query_vectors(df, problems).withColumnRenamed("problem_id", "qid")
+    found = _looked_up(df, words)
+    queries = _query_vectors(found, problems).withColumnRenamed("problem_id", "qid")
     # The three input rows fill at most three places, so the fourth best is enough to answer without them.
     depth = 4 if exclude_inputs else 1
     nearest = find_nearest_multi(df, queries, depth, ["euclidean", cosine], broadcast_bytes).withColumnRenamed("qid", "problem_id")
     if exclude_inputs:
-        nearest = _without_inputs(df, problems, nearest)
+        nearest = _without_inputs(found, problems, nearest)
     answers = nearest.select(
         "problem_id",
         F.when(F.col("metric") == "euclidean", "euclidean").otherwise("cosine").alias("metric"),
@@ -101,9 +112,9 @@ def solve_analogies(
     )
 
 
-def _without_inputs(df: DataFrame, problems: DataFrame, nearest: DataFrame) -> DataFrame:
-    found = find_words(df, problem_words(problems)).select(F.col("query").alias("input"), F.col("index").alias("input_index"))
-    inputs = problems.select("problem_id", F.explode(F.array("a", "b", "c")).alias("input")).join(found, "input")
+def _without_inputs(found: DataFrame, problems: DataFrame, nearest: DataFrame) -> DataFrame:
+    known = found.select(F.col("query").alias("input"), F.col("index").alias("input_index"))
+    inputs = problems.select("problem_id", F.explode(F.array("a", "b", "c")).alias("input")).join(known, "input")
     inputs = inputs.select("problem_id", F.col("input_index").alias("index")).distinct()
     best = nearest.join(inputs, ["problem_id", "index"], "left_anti")
     first = F.min(F.struct("rank", "word", "score")).alias("first")
@@ -153,8 +164,10 @@ def evaluate(
     models: Mapping[str, DataFrame], problems: DataFrame, normalized: bool = False, exclude_inputs: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Every model against every category: the performance table and the wrongly answered problems."""
+    words = small_or_settled(problem_words(problems))
     solved = [
-        solve_analogies(df, problems, normalized, exclude_inputs).withColumn("model", F.lit(name)) for name, df in models.items()
+        _solved(df, problems, words, normalized, exclude_inputs, BROADCAST_BYTES).withColumn("model", F.lit(name))
+        for name, df in models.items()
     ]
     results = settled(reduce(DataFrame.unionByName, solved))
     group = ("model", "category")
