@@ -21,5 +21,22 @@ placed AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 epochs AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS e FROM placed)
 SELECT doc_id, size, source_size, target, (e * size + greatest(0, least(size, goal - e * source_size - before)))::BIGINT AS taken FROM epochs
+""",
+    "op3_quality": r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
+counted AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM windows),
+covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM counted, range(0, 3) AS r(j) WHERE c > 1 GROUP BY rid),
+lines AS (SELECT *, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+  FROM lines LEFT JOIN covered USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 40 * n_lines) AS kept
+FROM b
 """,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import mixing, sharding
+from wordloom.llm import mixing, quality, sharding
 from wordloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents"))
 
 
+def op3_quality(spark, d):
+    return quality.assess(table(spark, d, "documents"))
+
+
 def op9_sharding(spark, d):
     rows = sharding.shard(table(spark, d, "documents"))
     return rows.select(
@@ -19,4 +23,4 @@ def op9_sharding(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op9_sharding)}
