@@ -28,7 +28,7 @@ WITH w AS (
 windows AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
 counted AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM windows),
 covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM counted, range(0, 3) AS r(j) WHERE c > 1 GROUP BY rid),
-lines AS (SELECT *, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+lines AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
 m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
