@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import mixing, quality, sharding
+from wordloom.llm import mixing, pii, quality, sharding
 from wordloom.llm.common import table
 
 
@@ -16,6 +16,13 @@ def op3_quality(spark, d):
     return quality.assess(table(spark, d, "documents"))
 
 
+def op5_pii(spark, d):
+    found = pii.find_personal(table(spark, d, "documents"))
+    counts = [pii.count_kind("_b", k).alias(f"n_{k}") for k in pii.KINDS]
+    digest = F.sha2(pii.span_text("_b").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.span_text("_spans").alias("spans"))
+
+
 def op9_sharding(spark, d):
     rows = sharding.shard(table(spark, d, "documents"))
     return rows.select(
@@ -23,4 +30,4 @@ def op9_sharding(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op5_pii, op9_sharding)}
