@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import mixing, pii, quality, sharding
+from wordloom.llm import mixing, pii, quality, sharding, simhash
 from wordloom.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op5_pii(spark, d):
     return found.select("doc_id", *counts, digest, pii.span_text("_spans").alias("spans"))
 
 
+def op8_simhash(spark, d):
+    rows = simhash.near_duplicates(table(spark, d, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_sharding(spark, d):
     rows = sharding.shard(table(spark, d, "documents"))
     return rows.select(
@@ -30,4 +35,4 @@ def op9_sharding(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op5_pii, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op5_pii, op8_simhash, op9_sharding)}
