@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import mixing, pii, quality, sharding, simhash
+from wordloom.llm import mixing, pii, quality, sharding, simhash, substring
 from wordloom.llm.common import table
 
 
@@ -16,6 +16,12 @@ def op3_quality(spark, d):
     return quality.assess(table(spark, d, "documents"))
 
 
+def op4_substring(spark, d):
+    rows = substring.without_repeats(table(spark, d, "documents"))
+    removed = F.expr("cast(aggregate(spans, 0L, (n, s) -> n + s.end - s.start) as bigint)")
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_pii(spark, d):
     found = pii.find_personal(table(spark, d, "documents"))
     counts = [pii.count_kind("_b", k).alias(f"n_{k}") for k in pii.KINDS]
@@ -35,4 +41,4 @@ def op9_sharding(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op5_pii, op8_simhash, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_substring, op5_pii, op8_simhash, op9_sharding)}
