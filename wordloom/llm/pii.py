@@ -106,19 +106,22 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, support: int = SUPPORT, d
     a pair is kept when PMI >= ``disclosed`` * IC and at least ``support`` different texts hold both. A text counts once
     however many copies of it there are. Words are dropped before any shuffle unless they are terms of a kept pair.
     """
+    texts = docs.select(F.xxhash64(whole_text()).alias("_h"), whole_text().alias("text"))
+    total = float(max(texts.select("_h").distinct().count(), 1))
     pairs = near.select("_h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    pairs = settled(pairs.filter(F.col("both") >= support))
     values = near.select("_h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_value"))
+    # The condition on the PMI is a bound on the number of texts with the term, of which those near values are a part.
+    most = F.col("both") * F.pow(total / F.col("with_value"), F.lit(1 - disclosed))
+    seen = near.select("_h", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    pairs = pairs.filter(F.col("both") >= support).join(values, "entity").join(seen, "term")
+    pairs = settled(pairs.filter((F.col("with_value") < total) & (F.col("seen") <= most * (1 + 1e-9))).drop("seen"))
     wanted = small_or_settled(pairs.select("term").distinct())
     words = f"array_distinct(transform(regexp_extract_all(text, r'{TERM_PATTERN}', 0), t -> lower(t)))"
-    texts = docs.select(F.xxhash64(whole_text()).alias("_h"), whole_text().alias("text"))
     counts = texts.select("_h", F.explode(F.expr(words)).alias("term")).join(wanted, "term", "left_semi")
     counts = counts.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    total = texts.select("_h").distinct().count()
-    scored = pairs.join(values, "entity").join(counts, "term")
-    pmi = F.log2(F.col("both") * float(max(total, 1)) / (F.col("with_term") * F.col("with_value")))
-    content = -F.log2(F.col("with_value") / float(max(total, 1)))
-    return scored.filter((content > 0) & (pmi >= disclosed * content)).select("entity", "term")
+    scored = pairs.join(counts, "term")
+    pmi = F.log2(F.col("both") * total / (F.col("with_term") * F.col("with_value")))
+    return scored.filter(pmi >= disclosed * -F.log2(F.col("with_value") / total)).select("entity", "term")
 
 
 def find_personal(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
