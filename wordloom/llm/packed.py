@@ -87,12 +87,28 @@ def _cuts(unique: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(unique, edges), [len(unique)]])
 
 
+def gap_coded(numbers: np.ndarray) -> bytes:
+    """Sorted distinct numbers as their first and the gaps between them, each in as few bytes as the widest gap needs."""
+    gaps = np.diff(numbers)
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + numbers[:1].tobytes() + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def gap_decoded(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(raw) + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = raw
+    return np.cumsum(steps.view(np.uint64).ravel())
+
+
 def packed_rows(chunk: int, numbers: np.ndarray, buckets: int) -> pa.Table:
-    """``chunk, bucket, numbers`` of a chunk's distinct numbers, 8 bytes each."""
+    """``chunk, bucket, numbers`` of a chunk's distinct numbers, gap-coded."""
     unique = np.unique(numbers)
     cuts = _cuts(unique, buckets)
     full = np.flatnonzero(np.diff(cuts))
-    blobs = [unique[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+    blobs = [gap_coded(unique[cuts[b] : cuts[b + 1]]) for b in full]
     return pa.table(
         {"chunk": pa.array([chunk] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "numbers": pa.array(blobs, pa.binary())}
     )
@@ -105,11 +121,14 @@ def shared_flags(packed: DataFrame) -> DataFrame:
     """``chunk, bucket, flags``: a bit per number of a row, set where the number is in another chunk's row as well.
 
     A chunk names each of its numbers once, so a number that fills a third of the corpus is one entry per chunk.
-    Rows without a set bit are left out.
+    Rows without a set bit are left out. Rows of buckets below 0 are notes of a chunk to itself and pass as they are.
     """
 
     def compare(rows: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b.as_buffer(), np.uint64) for b in rows.column("numbers").combine_chunks()]
+        bucket = rows.column("bucket")[0].as_py()
+        if bucket < 0:
+            return rows.rename_columns(["chunk", "bucket", "flags"])
+        blobs = [gap_decoded(b.as_py()) for b in rows.column("numbers").combine_chunks()]
         every = np.sort(np.concatenate(blobs))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         del every
@@ -119,7 +138,6 @@ def shared_flags(packed: DataFrame) -> DataFrame:
             if hit.any():
                 chunks.append(chunk)
                 flags.append(np.packbits(hit).tobytes())
-        bucket = rows.column("bucket")[0].as_py()
         return pa.table(
             {"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "flags": pa.array(flags, pa.binary())}
         )

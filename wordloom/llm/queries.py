@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import mixing, pii, quality, sharding, simhash, substring
+from wordloom.llm import mixing, pii, quality, sharding, simhash, substring, suffix
 from wordloom.llm.common import table
 
 
@@ -29,6 +29,13 @@ def op5_pii(spark, d):
     return found.select("doc_id", *counts, digest, pii.span_text("_spans").alias("spans"))
 
 
+def op6_suffix_array(spark, d):
+    rows = suffix.without_repeats(table(spark, d, "documents"))
+    removed = F.expr("cast(aggregate(spans, 0L, (n, s) -> n + s.end - s.start) as bigint)")
+    spans = F.size("spans").cast("long")
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark, d):
     rows = simhash.near_duplicates(table(spark, d, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,4 +48,4 @@ def op9_sharding(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_substring, op5_pii, op8_simhash, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_substring, op5_pii, op6_suffix_array, op8_simhash, op9_sharding)}
