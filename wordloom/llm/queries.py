@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import mixing, pii, quality, sharding, simhash, substring, suffix
+from wordloom.llm import bpe, mixing, pii, quality, sharding, simhash, substring, suffix
 from wordloom.llm.common import table
 
 
@@ -36,6 +36,29 @@ def op6_suffix_array(spark, d):
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def vocabulary(name: str) -> str:
+    """Where the environment keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def bpe_digest(rows):
+    """Counts and digests of encoded and decoded documents."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_bpe(spark, d):
+    path = vocabulary("word_bpe_49k.json")
+    return bpe_digest(bpe.decode(bpe.encode(table(spark, d, "documents"), path), path))
+
+
 def op8_simhash(spark, d):
     rows = simhash.near_duplicates(table(spark, d, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,4 +71,4 @@ def op9_sharding(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_substring, op5_pii, op6_suffix_array, op8_simhash, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_substring, op5_pii, op6_suffix_array, op7_bpe, op8_simhash, op9_sharding)}
