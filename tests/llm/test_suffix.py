@@ -37,7 +37,9 @@ def test_suffix_array_and_common_prefixes(text):
     assert all(a[:depth] <= b[:depth] for a, b in zip(padded, padded[1:]))
     inner = [i for i in order.tolist() if i + 100 <= len(text)]
     assert all(text[a : a + 100] <= text[b : b + 100] for a, b in zip(inner, inner[1:]))
-    shared = suffix.common_prefixes(data, order)
+    shared = suffix.common_prefixes(data, order, 10**6)
+    capped = suffix.common_prefixes(data, order, 5)
+    assert ((capped == shared) | ((capped >= 5) & (shared >= capped))).all()
     for k, (a, b) in enumerate(zip(order.tolist(), order.tolist()[1:]), 1):
         n = 0
         while max(a, b) + n < len(text) and text[a + n] == text[b + n]:
@@ -62,7 +64,8 @@ def corpus(seed=1):
 @pytest.mark.parametrize("shard_bytes, width", [(10**9, 400), (4000, 400), (4000, 50), (900, 20)])
 def test_removal(spark, monkeypatch, shard_bytes, width):
     monkeypatch.setattr(packed, "BUCKET_NUMBERS", 5000)
-    monkeypatch.setattr(packed, "PIECE_BYTES", 5000)
+    monkeypatch.setattr(suffix, "STRETCH", 5000)
+    suffix._powers.cache_clear()
     texts = corpus()
     df = spark.createDataFrame([(i, t, "en", 1, "x", 2) for i, t in enumerate(texts)], SCHEMA)
     got = {r["doc_id"]: r for r in suffix.without_repeats(df, width, shard_bytes).collect()}

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wordloom.llm import packed
+from wordloom.llm.substring import ODD
 from wordloom.llm.substring import word_numbers as range_numbers
 
 WIDTH = 400
 SHARD_BYTES = 4_000_000
 # Bytes of the short strings whose hashes choose anchors.
 GRAM = 16
+# Bytes worked on at a time where an array has one number per byte, and the longest width.
+STRETCH = 250_000
+MOST_WIDTH = 100_000
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -20,14 +26,14 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
     Larsson and Sadakane: places are sorted by their first 8 bytes; then each group of equal ones is sorted by the rank
     of the place as far on as the order already reaches, which doubles the reach. Groups of one are left alone. Groups
-    still equal at ``depth`` stay in order of place. Behind the end of the text zero bytes are read.
+    still equal at ``depth`` are in order of place. Behind the end of the text zero bytes are read.
     """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = padded[:n].copy()
     for i in range(1, 8):
         key = (key << np.uint64(8)) | padded[i : n + i]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     # The rank of a group is the place of its first member in the order; past the end ranks lowest, with 0.
     first = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
@@ -41,7 +47,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         places = order[active]
         far = rank[np.minimum(places + reach, n)]
         both = rank[places] * (n + 2) + far
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         places, both = places[by], both[by]
         order[active] = places
         first = np.concatenate([[True], both[1:] != both[:-1]])
@@ -49,15 +55,19 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         alone = first & np.concatenate([first[1:], [True]])
         active = active[~alone]
         reach *= 2
+    # By place, equal ones of one string follow those of the string that starts one further on.
+    places = order[active]
+    order[active] = places[np.argsort(rank[places] * (n + 1) + places)]
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Bytes that each place of ``order`` shares with the one before it there; 0 for the first.
+def common_prefixes(text: np.ndarray, order: np.ndarray, enough: int) -> np.ndarray:
+    """Bytes that each place of ``order`` shares with the one before it there, 0 for the first; from ``enough`` on a
+    smaller number may be given, but none below ``enough``.
 
     Kasai's rule, read by place: where a place's forerunner in the order is one further on than that of the place
     before it, and those two share a byte, the common prefix is one shorter. Only the other places are compared, eight
-    bytes at a time.
+    bytes at a time, as far as those that follow from them need it.
     """
     m, n = len(order), len(text)
     if m < 2:
@@ -69,7 +79,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     follows = np.zeros(len(places), bool)
     follows[1:] = (places[1:] == places[:-1] + 1) & (others[1:] == others[:-1] + 1) & (text[places[:-1]] == text[others[:-1]])
     heads = np.flatnonzero(~follows)
-    length = _shared(text, places[heads], others[heads])
+    behind = np.diff(np.append(heads, len(places)))
+    length = _shared(text, places[heads], others[heads], enough + behind)
     run = np.cumsum(~follows) - 1
     shared = np.zeros(n, np.int64)
     shared[places] = length[run] - (places - places[heads][run])
@@ -78,21 +89,21 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of pairs of places."""
+def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of pairs of places, given up when they reach ``most``."""
     n = len(text)
-    # Words of eight bytes read at any place; the padding differs from the text only behind its end, which is checked.
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    # The eight bytes at every place as one number, the first byte being the lowest.
+    words = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
     length, live = np.zeros(len(a), np.int64), np.arange(len(a))
     while len(live):
         x, y = a[live] + length[live], b[live] + length[live]
-        inside = np.minimum(n - x, n - y)
-        same = words[np.minimum(x, n)] == words[np.minimum(y, n)]
-        equal = np.where(same.all(axis=1), 8, same.argmin(axis=1))
-        step = np.minimum(equal, np.maximum(inside, 0))
+        differ = words[np.minimum(x, n)] ^ words[np.minimum(y, n)]
+        # The lowest set bit shows the first differing byte; behind the end of the text nothing is shared.
+        equal = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+        step = np.minimum(equal, np.maximum(np.minimum(n - x, n - y), 0))
         length[live] += step
-        live = live[step == 8]
+        live = live[(step == 8) & (length[live] < most[live])]
     return length
 
 
@@ -109,15 +120,45 @@ def _window_best(values: np.ndarray, width: int, best) -> np.ndarray:
 def anchors(data: np.ndarray, span: int) -> np.ndarray:
     """Places whose short string has the smallest hash among some ``span`` places in a row.
 
-    Equal strings that hold ``span`` such places have their anchors at equal places.
+    Equal strings that hold ``span`` such places have their anchors at equal places; 32-bit hashes do, as equal ones
+    only bring more anchors. The data is taken in stretches that overlap by what an anchor depends on.
     """
-    hashes = packed.rolling(data.astype(np.uint64) + np.uint64(1), GRAM)
-    if len(hashes) < span:
-        return np.zeros(0, np.int64)
-    least = _window_best(hashes, span, np.minimum)
-    edge = np.zeros(span - 1, np.uint64)
-    most = _window_best(np.concatenate([edge, least, edge]), span, np.maximum)
-    return np.flatnonzero(most == hashes)
+    out = []
+    for a in range(0, len(data), STRETCH):
+        low, high = max(0, a - span), min(len(data), a + STRETCH + span + GRAM)
+        hashes = data[low:high].astype(np.uint32)
+        size, power = 1, 0x9E3779B1
+        while size < GRAM:
+            hashes = hashes[:-size] + hashes[size:] * np.uint32(power)
+            size, power = 2 * size, power * power % (1 << 32)
+        if len(hashes) < span:
+            continue
+        hashes = (hashes ^ (hashes >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        least = _window_best(hashes, span, np.minimum)
+        edge = np.zeros(span - 1, np.uint32)
+        most = _window_best(np.concatenate([edge, least, edge]), span, np.maximum)
+        at = np.flatnonzero(most == hashes) + low
+        out.append(at[(at >= a) & (at < a + STRETCH)])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+@functools.cache
+def _powers(base: int) -> np.ndarray:
+    out = np.full(STRETCH + MOST_WIDTH, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def string_numbers(data: np.ndarray, width: int) -> np.ndarray:
+    """Rabin-Karp hashes modulo 2^64 of the strings of ``width`` bytes at all places, by running sums."""
+    out, odd = np.zeros(max(len(data) - width + 1, 0), np.uint64), ODD
+    for a in range(0, len(out), STRETCH):
+        part = data[a : a + STRETCH + width - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(odd)[: len(part)], out=sums[1:])
+        n = len(part) - width + 1
+        out[a : a + n] = (sums[width:] - sums[:n]) * _powers(pow(odd, -1, 1 << 64))[:n]
+    return out
 
 
 class Shard:
@@ -137,16 +178,9 @@ class Shard:
 
     def cores(self) -> tuple[np.ndarray, np.ndarray]:
         """Anchors of all texts of at least ``width`` bytes and the hashes of the bytes that follow them."""
-        out = []
-        for end, size in zip(self.ends.tolist(), self.sizes.tolist()):
-            if size >= self.width:
-                # Long texts are taken in stretches that overlap by what an anchor depends on.
-                start, step = end - size, packed.PIECE_BYTES
-                for a in range(start, end, step):
-                    low, high = max(start, a - self.span - GRAM), min(end, a + step + self.span + GRAM)
-                    at = anchors(self.bytes[low:high], self.span) + low
-                    out.append(at[(at >= a) & (at < a + step) & (at + self.core <= end)])
-        at = np.concatenate(out) if out else np.zeros(0, np.int64)
+        at = anchors(self.bytes, self.span)
+        text = np.searchsorted(self.ends, at, "right")
+        at = at[(self.sizes[text] >= self.width) & (at + self.core <= self.ends[text])]
         return at, range_numbers(self.data, at, at + self.core)
 
     def starts_near(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,26 +223,38 @@ def _read_notes(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def local_strings(shard: Shard, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the starts in runs: one start for each distinct string, and all starts of strings that the shard has twice.
-
-    The runs' bytes are put together; the suffix array and the common prefixes are those of that text. Starts follow one
-    another in the array, so strings are equal exactly where the common prefix is at least as long as they are.
-    """
-    width = shard.width
-    text = shard.bytes[_spread(low, high + width - 1)]
-    sizes = high - low + width - 1
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    is_start = np.zeros(len(text), bool)
-    is_start[_spread(base, base + (high - low))] = True
-    origin = np.full(len(text), -1, np.int64)
-    origin[is_start] = _spread(low, high)
-    order = suffix_array(text, width)
-    order = order[is_start[order]]
-    as_before = common_prefixes(text, order) >= width
-    twice = as_before.copy()
-    twice[:-1] |= as_before[1:]
-    return origin[order[~as_before]], np.sort(origin[order[twice]])
+class Strings:
+    """The strings that start in runs of places: the runs' bytes put together, with where each start came from."""
+
+    def __init__(self, shard: Shard, low: np.ndarray, high: np.ndarray):
+        self.width = shard.width
+        self.text = shard.bytes[_spread(low, high + self.width - 1)]
+        sizes = high - low + self.width - 1
+        base = np.cumsum(sizes) - sizes
+        self.is_start = np.zeros(len(self.text), bool)
+        self.is_start[_spread(base, base + (high - low))] = True
+        self.starts = _spread(low, high)
+
+    def numbers(self) -> np.ndarray:
+        """The hash of each start's string."""
+        return string_numbers(self.text, self.width)[self.is_start[: len(self.text) - self.width + 1]]
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """By start: whether it stands for its string (one start does), and whether the shard has its string twice.
+
+        From the suffix array and the common prefixes: starts follow one another in it, and strings are equal exactly
+        where the common prefix is at least as long as they are.
+        """
+        order = suffix_array(self.text, self.width)
+        order = order[self.is_start[order]]
+        as_before = common_prefixes(self.text, order, self.width) >= self.width
+        twice = as_before.copy()
+        twice[:-1] |= as_before[1:]
+        number = np.cumsum(self.is_start) - 1
+        one_each, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        one_each[number[order[~as_before]]] = True
+        again[number[order[twice]]] = True
+        return one_each, again
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -241,11 +287,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHAR
         note = pa.table({"chunk": pa.array([chunk], pa.int32()), "bucket": pa.array([-1 - chunk], pa.int32())})
         if not len(low):
             return note.append_column("numbers", pa.array([_noted(low, high, low, high)], pa.binary()))
-        one_each, twice = local_strings(shard, low, high)
-        note = note.append_column("numbers", pa.array([_noted(low, high, *_runs(twice))], pa.binary()))
-        one_each = np.sort(one_each)
-        found = range_numbers(shard.data, one_each, one_each + width)
-        return pa.concat_tables([note, packed.packed_rows(chunk, found, many)])
+        strings = Strings(shard, low, high)
+        one_each, again = strings.classes()
+        note = note.append_column("numbers", pa.array([_noted(low, high, *_runs(strings.starts[again]))], pa.binary()))
+        return pa.concat_tables([note, packed.packed_rows(chunk, strings.numbers()[one_each], many)])
 
     strings = rows.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(distinct, packed.PACKED)
     merged = packed.shared_flags(strings)
@@ -258,11 +303,13 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHAR
         gone = np.zeros(len(shard.bytes), bool)
         gone[_spread(low_twice, high_twice)] = True
         if flags.num_rows:
-            starts = _spread(low, high)
-            numbers = range_numbers(shard.data, starts, starts + width)
-            unique = np.unique(numbers)
-            shared = unique[packed.shared_numbers(unique, flags, many)]
-            gone[starts[packed.found_in(numbers, shared)]] = True
+            strings = Strings(shard, low, high)
+            numbers = strings.numbers()
+            order = np.argsort(numbers)
+            numbers = numbers[order]
+            first = np.concatenate([[True], numbers[1:] != numbers[:-1]])
+            shared = packed.shared_numbers(numbers[first], flags, many)
+            gone[strings.starts[order[shared[np.cumsum(first) - 1]]]] = True
         spans, kept = [], []
         for end, size in zip(shard.ends.tolist(), shard.sizes.tolist()):
             start = end - size
