@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, mixing, pii, quality, sharding, simhash, substring, suffix
+from wordloom.bounds import shared_dir
+from wordloom.llm import bpe, mixing, pii, quality, repair, sharding, simhash, substring, suffix
 from wordloom.llm.common import table
 
 
@@ -64,6 +67,12 @@ def op8_simhash(spark, d):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_repair(spark, d):
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    repair.write_ids(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"), path)
+    return repair.summaries(spark, path)
+
+
 def op9_sharding(spark, d):
     rows = sharding.shard(table(spark, d, "documents"))
     return rows.select(
@@ -71,4 +80,4 @@ def op9_sharding(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_substring, op5_pii, op6_suffix_array, op7_bpe, op8_simhash, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_substring, op5_pii, op6_suffix_array, op7_bpe, op8_simhash, op9_sharding, op10_repair)}
