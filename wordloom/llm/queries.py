@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from wordloom.bounds import shared_dir
-from wordloom.llm import bpe, mixing, pii, quality, repair, sharding, simhash, substring, suffix
+from wordloom.llm import bpe, embedding_dedup, mixing, pii, quality, repair, sharding, simhash, substring, suffix
 from wordloom.llm.common import table
 
 
+def op1_embedding(spark, d):
+    return embedding_dedup.near_duplicates(table(spark, d, "embeddings"))
+
+
 def op2_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents"))
 
@@ -80,4 +84,4 @@ def op9_sharding(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_substring, op5_pii, op6_suffix_array, op7_bpe, op8_simhash, op9_sharding, op10_repair)}
+QUERIES = {f.__name__: f for f in (op1_embedding, op2_mixing, op3_quality, op4_substring, op5_pii, op6_suffix_array, op7_bpe, op8_simhash, op9_sharding, op10_repair)}
