@@ -9,11 +9,15 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Largest table that is copied to every executor, in bytes.
 BROADCAST_BYTES = 128 * 1024 * 1024
-# Largest narrow table (at most some 250 bytes per row) that is copied to every executor, in rows.
-BROADCAST_ROWS = 500_000
+# Largest narrow table that is copied to every executor, in bytes of its values.
+NARROW_BYTES = 32 * 1024 * 1024
+
+# Stored tables by session, for ``release``.
+_stored: dict[int, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,37 +31,67 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="wordloom-")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The table written once to the shared folder and read back, so that later passes do not compute it again."""
+    """The table written once to the shared folder and read back, so that later passes do not compute it again.
+
+    ``release`` removes the stored copies once no result that reads them is needed.
+    """
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.setdefault(id(df.sparkSession.sparkContext), []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rows_within(df: DataFrame, limit: int) -> pa.Table | None:
-    """The rows as Arrow data when there are at most ``limit`` of them, else None."""
-    rows = df.limit(limit + 1).toArrow()
-    return rows if rows.num_rows <= limit else None
+def release(spark: SparkSession) -> int:
+    """Delete every table that ``settled`` has stored in this session so far; returns how many.
 
-
-def gathered(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, pa.Table | None]:
-    """The table computed once, with its rows when there are at most ``limit`` of them.
-
-    A table within the limit comes back as a broadcast copy. A larger one is settled and carries no hint, so Spark
-    shuffles it and splits skewed keys at run time; its rows are then None.
+    For use between jobs: a DataFrame that still reads such a table fails afterwards.
+    """
+    paths = _stored.pop(id(spark.sparkContext), [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values: lengths of strings, 8 for each number, also inside arrays."""
+    total = F.lit(0).cast("long")
+    for field in df.schema:
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            each = F.octet_length(F.col(field.name))
+        elif isinstance(kind, T.ArrayType):
+            each = F.size(F.col(field.name)) * 8
+        else:
+            each = F.lit(8)
+        total = total + F.coalesce(each, F.lit(0)) + 8
+    return df.agg(F.sum(total)).head()[0] or 0
+
+
+def gathered(df: DataFrame, limit_bytes: int = NARROW_BYTES) -> tuple[DataFrame, pa.Table | None]:
+    """The table computed once and stored, with its rows when their values take at most ``limit_bytes``.
+
+    A table within the limit comes back as a broadcast copy. A larger one carries no hint, so Spark shuffles it and
+    splits skewed keys at run time; its rows are then None and nothing of it has been fetched.
     """
-    rows = rows_within(df, limit)
-    if rows is None:
-        return settled(df), None
+    kept = settled(df)
+    if value_bytes(kept) > limit_bytes:
+        return kept, None
+    rows = kept.toArrow()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
 
 
-def small_or_settled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small_or_settled(df: DataFrame, limit_bytes: int = NARROW_BYTES) -> DataFrame:
     """As ``gathered``, for callers that need the table alone."""
-    return gathered(df, limit)[0]
+    kept = settled(df)
+    return F.broadcast(kept) if value_bytes(kept) <= limit_bytes else kept
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

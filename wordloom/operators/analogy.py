@@ -42,10 +42,10 @@ def _query_vectors(found: DataFrame, problems: DataFrame) -> DataFrame:
 
 def _looked_up(df: DataFrame, words: DataFrame) -> DataFrame:
     """The words with their rows, as a broadcast copy when that fits, else settled: Spark then shuffles and splits hot words."""
-    found = find_words(df, words)
+    found = settled(find_words(df, words))
     rows = collected_within(found, BROADCAST_BYTES, vector_size(df))
     if rows is None:
-        return settled(found)
+        return found
     return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
 
 

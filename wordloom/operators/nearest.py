@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.bounds import BROADCAST_BYTES, rows_within, settled
+from wordloom.bounds import BROADCAST_BYTES, settled
 from wordloom.operators.kernels import LOWER_IS_BETTER, Best, Block, matrix, scan_block
 from wordloom.operators.topn import top_n_per_group
 
@@ -65,11 +65,11 @@ def find_nearest_multi(
     queries = queries.select("qid", "vector")
     schema = _schema(queries.schema["qid"].dataType)
     dimensions = vector_size(table)
-    small = collected_within(queries, broadcast_bytes, dimensions)
+    queries = settled(queries)
+    small = collected_within(queries, _room(broadcast_bytes, n, dimensions, len(metrics)), dimensions)
     if small is not None:
         candidates = table.mapInArrow(_scan_with_queries(df, small, n, metrics), schema)
         return _ranked(candidates, n)
-    queries = settled(queries)
     small = collected_within(table, broadcast_bytes, dimensions)
     if small is not None:
         # Every query meets the whole table in one task: nothing is left to merge.
@@ -77,6 +77,12 @@ def find_nearest_multi(
     return _ranked(_block_pairs(table, queries, n, metrics, schema, broadcast_bytes), n)
 
 
+def _room(limit_bytes: int, n: int, dimensions: int, metrics: int) -> int:
+    """What the vectors of queries may take so that they and their ``n`` places per metric stay within the limit."""
+    vector, places = 8 * max(1, dimensions) + 16, 24 * n * metrics
+    return limit_bytes * vector // (vector + places)
+
+
 def vector_size(df: DataFrame, column: str = "vector") -> int:
     """Size of the first vector, 0 for an empty table."""
     head = df.select(F.size(column).alias("d")).head()
@@ -84,12 +90,16 @@ def vector_size(df: DataFrame, column: str = "vector") -> int:
 
 
 def collected_within(df: DataFrame, limit_bytes: int, dimensions: int) -> pa.Table | None:
-    """The table as Arrow data when its rows of ``dimensions`` numbers fit in ``limit_bytes``, else None.
+    """The rows of a stored table as Arrow data when they fit in ``limit_bytes``, else None.
 
-    No more rows than fit are ever fetched.
+    Rows and the bytes of their words are counted first, which reads no vector.
     """
-    limit = max(1, limit_bytes // (8 * max(1, dimensions) + 64))
-    return rows_within(df, limit)
+    named = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    words = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in named), F.lit(0))
+    held = df.agg(F.count(F.lit(1)).alias("n"), F.sum(words.cast("long")).alias("bytes")).head()
+    if held["n"] * (8 * max(1, dimensions) + 16) + (held["bytes"] or 0) > limit_bytes:
+        return None
+    return df.toArrow()
 
 
 def _ranked(candidates: DataFrame, n: int) -> DataFrame:

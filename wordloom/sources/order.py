@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.bounds import small_or_settled
+from wordloom.bounds import settled, small_or_settled
 
 
 def read_lines(spark, path: str | list[str], **options) -> DataFrame:
@@ -22,9 +22,12 @@ def read_lines(spark, path: str | list[str], **options) -> DataFrame:
 def with_file_index(lines: DataFrame, column: str = "index") -> DataFrame:
     """Number the rows of ``read_lines`` from 0 in file order, files in order of their path.
 
-    Row ids grow by one inside a split, so a row's place is its distance from the first id of the split plus the
-    number of rows in all earlier splits. Only the table of splits is ordered; the rows are not shuffled.
+    The lines are stored once with the split and the id that this one scan gave them, and everything is taken from that
+    copy: how a later scan would be cut does not matter. Row ids grow by one inside a split, so a row's place is its
+    distance from the first id of the split plus the number of rows in all earlier splits. Only the table of splits
+    is ordered; the rows are not shuffled. A row without its split's place fails the job.
     """
+    lines = settled(lines)
     splits = lines.groupBy("file", "split_start").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("held"))
     files = splits.groupBy("file").agg(F.sum("held").alias("rows"))
     before_file = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,5 +39,7 @@ def with_file_index(lines: DataFrame, column: str = "index") -> DataFrame:
         .join(files, "file")
         .select("file", "split_start", "first_id", (F.col("file_base") + F.col("split_base")).alias("base"))
     )
-    numbered = lines.join(small_or_settled(offsets), ["file", "split_start"])
-    return numbered.withColumn(column, F.col("base") + F.col("row_id") - F.col("first_id")).drop("base", "first_id", "row_id", "split_start")
+    numbered = lines.join(small_or_settled(offsets), ["file", "split_start"], "left")
+    place = F.col("base") + F.col("row_id") - F.col("first_id")
+    found = F.coalesce(place, F.raise_error(F.lit("a line's split has no place")).cast("long"))
+    return numbered.withColumn(column, found).drop("base", "first_id", "row_id", "split_start")

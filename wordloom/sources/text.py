@@ -15,8 +15,9 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("index", "value", "file", parts.alias("parts"))
 
 
-def _numbers(cast: str):
-    return F.expr(f"{cast}(slice(parts, 2, greatest(size(parts) - 1, 0)) as array<double>)")
+def _numbers():
+    """The numbers of a line; NULL, as a whole or in place of an element, where a part is none, whatever the session says."""
+    return F.transform(F.expr("slice(parts, 2, greatest(size(parts) - 1, 0))"), lambda x: x.try_cast("double"))
 
 
 def read_text_vectors(spark: SparkSession, path: str, on_error: str = "fail", partitions: int | None = None) -> DataFrame:
@@ -32,14 +33,17 @@ def read_text_vectors(spark: SparkSession, path: str, on_error: str = "fail", pa
     compressed = str(path).endswith(".gz")
     if compressed or partitions is not None:
         lines = lines.repartition(partitions or spark.sparkContext.defaultParallelism * 3, "index")
-    vector = _numbers("cast" if on_error == "fail" else "try_cast")
-    rows = lines.select("index", F.col("parts")[0].alias("word"), vector.alias("vector"))
-    return rows if on_error == "fail" else rows.filter(_complete("vector"))
+    rows = lines.select("index", F.col("parts")[0].alias("word"), _numbers().alias("vector"), "file")
+    if on_error == "drop":
+        return rows.filter(_complete("vector")).drop("file")
+    message = F.concat(F.lit("not a number in line "), F.col("index").cast("string"), F.lit(" of "), F.col("file"))
+    sure = F.when(_complete("vector"), F.col("vector")).otherwise(F.raise_error(message).cast("array<double>"))
+    return rows.select("index", "word", sure.alias("vector"))
 
 
 def read_text_rejects(spark: SparkSession, path: str) -> DataFrame:
     """The lines that ``read_text_vectors`` cannot turn into numbers: ``index, file, line``."""
-    lines = _parsed(spark, path).withColumn("vector", _numbers("try_cast"))
+    lines = _parsed(spark, path).withColumn("vector", _numbers())
     return lines.filter(~_complete("vector")).select("index", "file", F.col("value").alias("line"))
 
 
