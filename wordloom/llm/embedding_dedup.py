@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -20,6 +21,9 @@ MISSED = 0.005
 # Vectors that one task compares with one another; larger buckets are cut into pairs of such blocks.
 BLOCK = 1024
 SEED = 17
+# Largest group compared together with others, and tables in which a pair's earlier meetings are looked for at a time.
+SMALL = 64
+TABLES_AT_ONCE = 16
 
 
 def same_cell(distance: float, width: float = WIDTH) -> float:
@@ -40,14 +44,22 @@ def table_plan(n: int, cosine: float = COSINE, missed: float = MISSED) -> tuple[
     return each, math.ceil(math.log(missed) / math.log(1 - near**each))
 
 
-def bucket_keys(unit: np.ndarray, each: int, tables: int, seed: int = SEED) -> np.ndarray:
-    """The bucket of every vector in every table: cells of ``each`` projections, hashed with the table to 64 bits."""
+@functools.cache
+def _projections(size: int, each: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, shifts and hash factors, by table."""
     rng = np.random.default_rng(seed)
-    lines = rng.standard_normal((unit.shape[1], each * tables))
+    lines = rng.standard_normal((size, each * tables))
     shifts = rng.uniform(0, WIDTH, each * tables)
     factors = rng.integers(1, 2**63, each * tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    cells = np.floor((unit @ lines + shifts) / WIDTH).astype(np.int64).view(np.uint64)
-    keys = (cells * factors).reshape(len(unit), tables, each).sum(axis=2, dtype=np.uint64)
+    return lines, shifts, factors
+
+
+def bucket_keys(unit: np.ndarray, each: int, tables: int, seed: int = SEED, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The bucket of every vector in every table, or in those from ``first`` to ``last``: its cells hashed to 64 bits."""
+    lines, shifts, factors = _projections(unit.shape[1], each, tables, seed)
+    part = slice(first * each, (tables if last is None else last) * each)
+    cells = np.floor((unit @ lines[:, part] + shifts[part]) / WIDTH).astype(np.int64).view(np.uint64)
+    keys = (cells * factors[part]).reshape(len(unit), -1, each).sum(axis=2, dtype=np.uint64)
     return (keys ^ (keys >> np.uint64(31))).view(np.int64)
 
 
@@ -113,48 +125,94 @@ def links(points: DataFrame, cosine: float = COSINE, missed: float = MISSED, blo
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in marks])
             starts = np.flatnonzero(new)
             # The last group may go on in the next batch.
-            found = [_compared(table.slice(a, b - a), cosine, each, tables) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            if found:
-                yield from pa.concat_tables(found).combine_chunks().to_batches()
+            if len(starts) > 1:
+                yield _compared(table.slice(0, starts[-1]), starts, cosine, each, tables)
             held = table.slice(starts[-1]).combine_chunks()
-        if held is not None:
-            yield from _compared(held, cosine, each, tables).to_batches()
+        if held is not None and held.num_rows:
+            yield _compared(held, np.array([0, held.num_rows]), cosine, each, tables)
 
     found = settled(dealt.mapInArrow(compare, "rep bigint, partners bigint, other bigint"))
     partners = found.filter("other is null").groupBy("rep").agg(F.sum("partners").alias("partners"))
     return partners, found.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
 
-def _compared(rows: pa.Table, cosine: float, each: int, tables: int) -> pa.Table:
-    """Partners that count in this bucket per vector (``other`` absent), and a spanning forest of their links."""
+def _pairs_within(unit: np.ndarray, ends: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of many small groups: every row with the next one of its group, then the one after it, and so on."""
+    at, step, found = np.arange(len(unit)), 1, []
+    while True:
+        at = at[at + step < ends[at]]
+        if not len(at):
+            break
+        linked = at[np.einsum("ij,ij->i", unit[at], unit[at + step]) >= cosine]
+        found.append(np.stack([linked, linked + step]))
+        step += 1
+    both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def _met_first_here(unit: np.ndarray, x: np.ndarray, y: np.ndarray, at: np.ndarray, each: int, tables: int) -> np.ndarray:
+    """Which pairs share no bucket in a table before their own. Tables are looked at some at a time, as few pairs last."""
+    left = np.arange(len(x))
+    for first in range(0, tables, TABLES_AT_ONCE):
+        going = left[at[left] > first]
+        if not len(going):
+            break
+        last = min(first + TABLES_AT_ONCE, tables)
+        met = np.zeros(len(x), bool)
+        for a in range(0, len(going), 4096):
+            some = going[a : a + 4096]
+            rows, place = np.unique(np.concatenate([x[some], y[some]]), return_inverse=True)
+            keys = bucket_keys(unit[rows], each, tables, SEED, first, last)
+            same = keys[place[: len(some)]] == keys[place[len(some) :]]
+            met[some] = (same & (np.arange(first, last) < at[some][:, None])).any(axis=1)
+        left = left[~met[left]]
+    out = np.zeros(len(x), bool)
+    out[left] = True
+    return out
+
+
+def _compared(rows: pa.Table, starts: np.ndarray, cosine: float, each: int, tables: int) -> pa.RecordBatch:
+    """Partners that count in these whole groups per vector (``other`` absent), and a spanning forest of their links.
+
+    ``starts`` ends with the number of rows. Vectors of a group have one length; batches may hold several lengths.
+    """
     rows = rows.combine_chunks()
-    at, i, j = (rows.column(c)[0].as_py() for c in ("at", "i", "j"))
-    own, reps, copies = (rows.column(c).to_numpy() for c in ("own", "rep", "copies"))
-    unit = unit_rows(rows.column("embedding").chunk(0))
-    left = np.flatnonzero(own == i)
-    right = left if i == j else np.flatnonzero(own == j)
-    x, y = np.nonzero(unit[left] @ unit[right].T >= cosine)
-    x, y = left[x], right[y]
-    if i == j:
-        x, y = x[x < y], y[x < y]
-    if len(x):
-        some, place = np.unique(np.concatenate([x, y]), return_inverse=True)
-        keys = bucket_keys(unit[some], each, tables)
-        a, b = place[: len(x)], place[len(x) :]
-        for earlier in range(at):
-            apart = keys[a, earlier] != keys[b, earlier]
-            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
-            if not len(x):
-                break
-    partners = np.bincount(x, copies[y], rows.num_rows) + np.bincount(y, copies[x], rows.num_rows)
+    at, i, j, own, reps, copies = (rows.column(c).to_numpy() for c in ("at", "i", "j", "own", "rep", "copies"))
+    vectors = rows.column("embedding").chunk(0)
+    widths = np.diff(vectors.offsets.to_numpy())
+    sizes, partners, forests = np.diff(starts), np.zeros(rows.num_rows, np.int64), []
+    group_of = np.repeat(np.arange(len(sizes)), sizes)
+    for width in np.unique(widths):
+        here = np.flatnonzero(widths == width)
+        unit = unit_rows(vectors.take(pa.array(here)))
+        group = group_of[here]
+        few = (sizes[group] <= SMALL) & (i[here] == j[here])
+        little = np.flatnonzero(few)
+        ends = np.searchsorted(group[little], group[little], "right")
+        x, y = _pairs_within(unit[little], ends, cosine)
+        found = [np.stack([little[x], little[y]])]
+        for g in np.unique(group[~few]):
+            members = np.flatnonzero(group == g)
+            start = here[members[0]]
+            left = members[own[here[members]] == i[start]]
+            right = left if i[start] == j[start] else members[own[here[members]] == j[start]]
+            x, y = np.nonzero(unit[left] @ unit[right].T >= cosine)
+            x, y = left[x], right[y]
+            found.append(np.stack([x, y])[:, x < y] if i[start] == j[start] else np.stack([x, y]))
+        x, y = np.concatenate(found, axis=1)
+        new = _met_first_here(unit, x, y, at[here[x]], each, tables)
+        x, y = here[x[new]], here[y[new]]
+        partners += np.bincount(x, copies[y], rows.num_rows).astype(np.int64) + np.bincount(y, copies[x], rows.num_rows).astype(np.int64)
+        forests.append(np.stack(forest(x, y, rows.num_rows)))
     some = np.flatnonzero(partners)
-    a, b = forest(x, y, rows.num_rows)
-    return pa.table(
-        {
-            "rep": pa.array(np.concatenate([reps[some], reps[a]]), pa.int64()),
-            "partners": pa.array(np.concatenate([partners[some].astype(np.int64), np.zeros(len(a), np.int64)])),
-            "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(reps[b], pa.int64())]),
-        }
+    a, b = np.concatenate(forests, axis=1)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([reps[some], reps[a]]), pa.int64()),
+            pa.array(np.concatenate([partners[some], np.zeros(len(a), np.int64)])),
+            pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(reps[b], pa.int64())]),
+        ],
+        ["rep", "partners", "other"],
     )
 
 
