@@ -131,3 +131,17 @@ def test_members(spark, words, vectors):
         first = int(np.flatnonzero(nearest == r["cluster"])[0])
         assert (r["representative_index"], r["representative"]) == (first, f"w{first}")
         assert r["cluster"] == nearest[r["index"]]
+
+
+def test_both_assignment_paths_give_the_same_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, "a", [0.1, 0.0]), (1, "b", [5.0, 4.0]), (2, "c", [nan, 1.0]), (3, "d", [0.0, 0.0]), (4, "e", [inf, 0.0]), (5, "f", [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "index long, word string, vector array<double>")
+    centers = spark.createDataFrame([(0, [0.0, 0.0]), (1, [5.0, 5.0]), (2, [9.0, 0.0])], clustering.CENTROIDS)
+    whole = sorted(map(tuple, clustering.assign_clusters(df, centers).collect()))
+    blocks = sorted(map(tuple, clustering.assign_clusters(df, centers, broadcast_bytes=40).collect()))
+    assert whole == blocks
+    assert [(r[1], r[2]) for r in whole] == [("a", 0), ("b", 1), ("c", None), ("d", 0), ("e", None), ("f", 1)]
+    means = {r["cluster"]: r["center"] for r in clustering.lloyd_step(df, centers).collect()}
+    assert means == {0: [0.05, 0.0], 1: [5.0, 4.5], 2: [9.0, 0.0]}
+    assert {r["cluster"]: r["center"] for r in clustering.lloyd_step(df, centers, broadcast_bytes=40).collect()} == means

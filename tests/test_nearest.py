@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import nearest
+from wordloom.operators import nearest, topn
 from wordloom.operators.kernels import LOWER_IS_BETTER
 
 TABLE = "index long, word string, vector array<double>"
@@ -142,3 +142,21 @@ def test_bad_input(spark):
         nearest.find_nearest_multi(ragged, q, 1).collect()
     assert nearest.find_nearest_multi(df.limit(0), q, 1).count() == 0
     assert nearest.find_nearest_multi(df, q.limit(0), 1).count() == 0
+
+
+def test_nearest_by_any_score(spark):
+    df = spark.createDataFrame([(i, f"w{i}", [float(i % 4), 1.0]) for i in range(9)] + [(9, "odd", [float("nan"), 1.0])], "index long, word string, vector array<double>")
+    found = nearest.find_nearest_by(df, F.abs(F.col("vector")[0] - 2.2), 3, lower_is_better=True).collect()
+    assert [(r["index"], r["vector"]) for r in found] == [(2, [2.0, 1.0]), (6, [2.0, 1.0]), (3, [3.0, 1.0])]
+    assert [r["index"] for r in nearest.find_nearest_by(df, F.col("vector")[0], 2, lower_is_better=False).collect()] == [3, 7]
+
+
+def test_many_places_are_counted_in_the_size_check():
+    assert nearest._room(1000, 1, 10, 1) > nearest._room(1000, 100, 10, 2)
+
+
+def test_top_n_beyond_the_limit_of_the_group_plan(spark):
+    df = spark.range(30_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    top = topn.top_n_per_group(df, ["g"], [F.desc("v")], 1500)
+    rows = top.collect()
+    assert len(rows) == 3000 and all(r["rank"] == (29_999 - r["v"]) // 2 + 1 for r in rows)

@@ -201,4 +201,37 @@ def test_cluster_lines(spark, tmp_path):
     (part,) = (tmp_path / "lines").glob("part-*")
     assert part.read_text().splitlines() == ["0:w0,2:w2,4:w4,6:w6,8:w8", "1:w1,3:w3,5:w5,7:w7"]
     parts = clustering.cluster_lines(df, centers, line_members=4).orderBy("representative_index", "part").collect()
-    assert [tuple(r) for r in parts] == [(0, 0, "0:w0,2:w2"), (0, 1, "4:w4,6:w6"), (0, 2, "8:w8"), (1, 0, "1:w1,3:w3,5:w5,7:w7")]
+    assert [tuple(r) for r in parts] == [(0, 0, "0:w0,2:w2,4:w4,6:w6"), (0, 1, "8:w8"), (1, 0, "1:w1,3:w3,5:w5,7:w7")]
+
+
+def test_line_numbers_do_not_depend_on_how_files_are_cut(spark, tmp_path):
+    lines = [f"w{i} {i}.0 {i}.5" for i in range(20_000)]
+    for name, part in (("a.txt", lines[:15_000]), ("b.txt", lines[15_000:])):
+        (tmp_path / name).write_text("\n".join(part) + "\n")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "60k")
+        df = text.read_text_vectors(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+        spark.conf.set("spark.sql.files.minPartitionNum", "16")
+        rows = sorted(df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert [(r["index"], r["word"], r["vector"]) for r in rows] == [(i, f"w{i}", [float(i), i + 0.5]) for i in range(20_000)]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_parts_that_are_no_numbers_fail(spark, tmp_path, ansi):
+    (tmp_path / "v.txt").write_text("a 1 2\nb x 3\n")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="not a number in line 1"):
+            text.read_text_vectors(spark, str(tmp_path / "v.txt")).collect()
+        dropped = text.read_text_vectors(spark, str(tmp_path / "v.txt"), on_error="drop").collect()
+        assert [r["word"] for r in dropped] == ["a"]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

@@ -16,16 +16,21 @@ from wordloom.bounds import BROADCAST_BYTES, settled, small_or_settled
 from wordloom.functions.vectors import cosine_similarity, euclidean
 from wordloom.operators.kernels import lengths, list_column, matrix, nearest_centre
 from wordloom.operators.nearest import collected_within, find_nearest_multi, vector_size
+from wordloom.prefix import running_totals
 
-# Largest number of cluster members written as one text line.
-LINE_MEMBERS = 500_000
+# Cluster members on one text line; further ones follow on further lines.
+LINE_MEMBERS = 10_000
+# Parts in which the sums of one cluster are added before they meet, and clusters whose sums a task holds at once.
+SUM_PARTS = 64
+HELD_CLUSTERS = 4096
 
 CENTROIDS = "cluster int, center array<double>"
+SUMS = "cluster int, members bigint, sums array<double>"
 
 
 def _centre_matrix(df: DataFrame, centroids: DataFrame, broadcast_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Cluster ids in ascending order with their centres, or None when they are too large to copy to every task."""
-    named = centroids.select("cluster", F.col("center").alias("vector"))
+    named = settled(centroids.select("cluster", F.col("center").alias("vector")))
     table = collected_within(named, broadcast_bytes, vector_size(df))
     if table is None:
         return None
@@ -41,7 +46,11 @@ def _centroid_table(spark: SparkSession, held: tuple[np.ndarray, np.ndarray]) ->
 
 
 def assign_clusters(df: DataFrame, centroids: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``index, word, cluster, sq_distance``: the nearest centre of each row, lowest cluster among equals."""
+    """``index, word, cluster, sq_distance``: the nearest centre of each row, lowest cluster among equals.
+
+    A row with an element that is not a finite number has no cluster: its cluster and distance are NULL, whichever side
+    is copied to the tasks. Rows may share an index.
+    """
     return _assigned(df, centroids, broadcast_bytes).select("index", "word", "cluster", "sq_distance")
 
 
@@ -58,14 +67,15 @@ def _assigned(df: DataFrame, centroids: DataFrame, broadcast_bytes: int) -> Data
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            vectors = matrix(batch.column("vector"), centres.shape[1])
+            vectors, odd = _finite(matrix(batch.column("vector"), centres.shape[1]))
             position, squared = nearest_centre(vectors, centres)
             scale = lengths(vectors) * centre_norms[position]
             dots = (vectors * centres[position]).sum(axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = pa.array(1.0 - dots / scale, mask=scale == 0)
+                cosine = pa.array(1.0 - dots / scale, mask=(scale == 0) | odd)
+            cluster = pa.array(ids[position].astype(np.int32), mask=odd)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("index"), batch.column("word"), pa.array(ids[position], pa.int32()), pa.array(squared), cosine],
+                [batch.column("index"), batch.column("word"), cluster, pa.array(squared, mask=odd), cosine],
                 ["index", "word", "cluster", "sq_distance", "cosine_distance"],
             )
 
@@ -74,18 +84,30 @@ def _assigned(df: DataFrame, centroids: DataFrame, broadcast_bytes: int) -> Data
     )
 
 
-def _assigned_by_blocks(df: DataFrame, centroids: DataFrame, broadcast_bytes: int) -> DataFrame:
+def _finite(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors with zeros in place of rows that hold an element that is no finite number, and which rows these are."""
+    odd = ~np.isfinite(vectors).all(axis=1)
+    if odd.any():
+        vectors = vectors.copy()
+        vectors[odd] = 0.0
+    return vectors, odd
+
+
+def _assigned_by_blocks(df: DataFrame, centroids: DataFrame, broadcast_bytes: int, keep_vector: bool = False) -> DataFrame:
     centres = centroids.select(
         F.col("cluster").cast("long").alias("index"), F.lit("").alias("word"), F.col("center").alias("vector")
     )
-    queries = df.select(F.col("index").alias("qid"), "vector")
+    # The row's own id ties the answer to it, as an index may be shared.
+    rows = settled(df.select("index", "word", "vector").withColumn("row_id", F.monotonically_increasing_id()))
+    number = ~F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    queries = rows.filter(number).select(F.col("row_id").alias("qid"), "vector")
     nearest = find_nearest_multi(centres, queries, 1, "squared_euclidean", broadcast_bytes).select(
-        F.col("qid").alias("index"), F.col("index").cast("int").alias("cluster"), F.col("score").alias("sq_distance")
-    )
-    own = df.join(nearest, "index").join(centroids, "cluster")
-    return own.select(
-        "index", "word", "cluster", "sq_distance", (1.0 - cosine_similarity("vector", "center")).alias("cosine_distance")
+        F.col("qid").alias("row_id"), F.col("index").cast("int").alias("cluster"), F.col("score").alias("sq_distance")
     )
+    own = rows.join(nearest, "row_id", "left").join(centroids, "cluster", "left")
+    kept = ["vector"] if keep_vector else []
+    distance = (1.0 - cosine_similarity("vector", "center")).alias("cosine_distance")
+    return own.select("index", "word", "cluster", "sq_distance", distance, *kept)
 
 
 def wsse(df: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -112,23 +134,67 @@ def lloyd_step(df: DataFrame, centroids: DataFrame, broadcast_bytes: int = BROAD
     """The centroid table after one iteration: each centre becomes the mean of its rows; an empty cluster keeps its centre.
 
     Each task sums its own rows per cluster, so only one row per cluster and task is shuffled however large a cluster is.
+    Rows without a cluster change no centre.
     """
     held = _centre_matrix(df, centroids, broadcast_bytes)
     if held is not None:
         means = _means(_partial_sums(df, held))
         centroids = _centroid_table(df.sparkSession, held)
     else:
-        assigned = _assigned_by_blocks(df, centroids, broadcast_bytes).select("index", "cluster")
-        means = _means(df.join(assigned, "index").select("cluster", F.lit(1).alias("members"), F.col("vector").alias("sums")))
+        assigned = _assigned_by_blocks(df, centroids, broadcast_bytes, keep_vector=True).filter("cluster is not null")
+        means = _means(assigned.select("cluster", "vector").mapInArrow(_sums_per_task, SUMS))
     return centroids.join(means, "cluster", "left").select("cluster", F.coalesce("mean", "center").alias("center"))
 
 
+def _sums_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members and sums of vectors per cluster, given out when the task holds those of many clusters."""
+    sums: dict[int, np.ndarray] = {}
+    members: dict[int, int] = {}
+
+    def given() -> pa.RecordBatch:
+        out = _sum_rows(np.array(list(sums), np.int32), np.array([members[c] for c in sums], np.int64), np.stack(list(sums.values())))
+        sums.clear()
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        vectors, clusters = matrix(batch.column("vector")), batch.column("cluster").to_numpy()
+        order = np.argsort(clusters, kind="stable")
+        present, starts = np.unique(clusters[order], return_index=True)
+        added = np.add.reduceat(vectors[order], starts, axis=0)
+        for c, n, v in zip(present.tolist(), np.diff(np.append(starts, len(order))).tolist(), added):
+            members[c] = members[c] + n if c in sums else n
+            sums[c] = sums[c] + v if c in sums else v
+        if len(sums) > HELD_CLUSTERS:
+            yield given()
+    if sums:
+        yield given()
+
+
+def _sum_rows(clusters: np.ndarray, members: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(clusters, pa.int32()), pa.array(members), list_column(sums)], ["cluster", "members", "sums"])
+
+
 def _means(sums: DataFrame) -> DataFrame:
-    """``cluster, mean`` from sums of vectors and the counts behind them."""
-    elements = sums.select("cluster", "members", F.posexplode("sums").alias("pos", "total"))
-    each = elements.groupBy("cluster", "pos").agg((F.sum("total") / F.sum("members")).alias("mean"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "mean")))
-    return each.groupBy("cluster").agg(F.transform(ordered, lambda e: e["mean"]).alias("mean"))
+    """``cluster, mean`` from sums of vectors and the counts behind them.
+
+    The arrays are shuffled as they are and added in two steps, first in parts of a cluster, then the parts.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        total = matrix(table.column("sums")).sum(axis=0, keepdims=True)
+        members = np.array([table.column("members").to_numpy().sum()], np.int64)
+        return pa.Table.from_batches([_sum_rows(np.array([table.column("cluster")[0].as_py()], np.int32), members, total)])
+
+    def divide(table: pa.Table) -> pa.Table:
+        total = add(table)
+        mean = matrix(total.column("sums")) / total.column("members").to_numpy()[:, None]
+        return pa.table({"cluster": total.column("cluster"), "mean": list_column(mean)})
+
+    parts = sums.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SUM_PARTS)))
+    added = parts.groupBy("cluster", "part").applyInArrow(add, SUMS)
+    return added.groupBy("cluster").applyInArrow(divide, "cluster int, mean array<double>")
 
 
 def _partial_sums(df: DataFrame, held: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -140,7 +206,10 @@ def _partial_sums(df: DataFrame, held: tuple[np.ndarray, np.ndarray]) -> DataFra
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            vectors = matrix(batch.column("vector"), centres.shape[1])
+            vectors, odd = _finite(matrix(batch.column("vector"), centres.shape[1]))
+            vectors = vectors[~odd]
+            if not len(vectors):
+                continue
             position, _ = nearest_centre(vectors, centres)
             order = np.argsort(position, kind="stable")
             present, starts = np.unique(position[order], return_index=True)
@@ -148,12 +217,9 @@ def _partial_sums(df: DataFrame, held: tuple[np.ndarray, np.ndarray]) -> DataFra
             members += np.bincount(position, minlength=len(ids))
         used = np.flatnonzero(members)
         if len(used):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[used], pa.int32()), pa.array(members[used]), list_column(sums[used])],
-                ["cluster", "members", "sums"],
-            )
+            yield _sum_rows(ids[used], members[used], sums[used])
 
-    return df.select("vector").mapInArrow(total, "cluster int, members long, sums array<double>")
+    return df.select("vector").mapInArrow(total, SUMS)
 
 
 def kmeans_train(df: DataFrame, k: int, iterations: int, runs: int = 1, seed: int = 0) -> DataFrame:
@@ -247,7 +313,7 @@ def cluster_members(df: DataFrame, centroids: DataFrame) -> DataFrame:
 
     The representative is the member of lowest index. Empty clusters do not occur.
     """
-    assigned = settled(assign_clusters(df, centroids))
+    assigned = settled(assign_clusters(df, centroids).filter("cluster is not null"))
     return assigned.join(_representatives(assigned), "cluster").select(
         "cluster", "representative_index", "representative", "index", "word", "sq_distance"
     )
@@ -265,13 +331,14 @@ def _representatives(assigned: DataFrame) -> DataFrame:
 def cluster_lines(df: DataFrame, centroids: DataFrame, line_members: int = LINE_MEMBERS) -> DataFrame:
     """One line ``index:word,index:word,...`` per cluster: ``representative_index, part, line``.
 
-    Members are in order of index. A cluster of more than ``line_members`` words is continued on further lines, each
-    covering a span of ``line_members`` index values, so no line outgrows a task.
+    Members are in order of index, then word; every ``line_members`` of them make a line, parts being numbered from 0. The
+    places of the members come from totals over ranges, so a cluster with a third of all words is cut by many tasks.
     """
-    assigned = settled(assign_clusters(df, centroids))
-    joined = assigned.join(_representatives(assigned), "cluster")
-    span = F.floor(F.col("index") / line_members).cast("long")
-    parts = joined.withColumn("part", F.when(F.col("members") > line_members, span).otherwise(F.lit(0).cast("long")))
+    assigned = settled(assign_clusters(df, centroids).filter("cluster is not null"))
+    ones = assigned.select("cluster", "index", "word", F.lit(1).cast("long").alias("one"))
+    placed = running_totals(ones, ["cluster"], ["index", "word"], "one", "before")
+    joined = placed.join(_representatives(assigned).select("cluster", "representative_index"), "cluster")
+    parts = joined.withColumn("part", F.floor(F.col("before") / line_members).cast("long"))
     ordered = F.array_sort(F.collect_list(F.struct("index", "word")))
     text = F.transform(ordered, lambda m: F.concat(m["index"].cast("string"), F.lit(":"), m["word"]))
     return (

@@ -44,6 +44,17 @@ def find_nearest(df: DataFrame, query: Sequence[float], n: int, metric: str = "c
     return candidates.select("index", "word", "score").orderBy(order, "index").limit(n)
 
 
+def find_nearest_by(df: DataFrame, score: Column, n: int, lower_is_better: bool) -> DataFrame:
+    """The ``n`` best rows under any score of the columns: ``index, word, vector, score``, lowest index first among equals.
+
+    Each task keeps its ``n`` best. Rows whose score is NULL or NaN are not ranked.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    scored = df.select("index", "word", "vector", score.cast("double").alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    return scored.orderBy(F.asc("score") if lower_is_better else F.desc("score"), "index").limit(n)
+
+
 def find_nearest_multi(
     df: DataFrame,
     queries: DataFrame,

@@ -471,8 +471,10 @@ ORACLE: dict[str, str] = {
         WORDS,
         CENTROIDS,
         assigned("words"),
-        """SELECT min(index) AS representative_index, CAST(0 AS BIGINT) AS part, string_agg(concat(index, ':', word), ',' ORDER BY index) AS line
-  FROM assigned GROUP BY cluster""",
+        """SELECT representative_index, part, string_agg(concat(index, ':', word), ',' ORDER BY index) AS line
+  FROM (SELECT *, min(index) OVER (PARTITION BY cluster) AS representative_index,
+    CAST((row_number() OVER (PARTITION BY cluster ORDER BY index) - 1) // 20 AS BIGINT) AS part FROM assigned)
+  GROUP BY cluster, representative_index, part""",
     ),
     "text_vectors": with_(WORDS, elements("words", "index", "word")),
     "binary_vectors": with_(
@@ -493,7 +495,10 @@ ORACLE: dict[str, str] = {
         """SELECT concat(index, chr(9), word, chr(9), array_to_string(list_transform(vector,
   lambda x: CAST(CAST(round(x, 3) AS DECIMAL(10, 3)) AS VARCHAR)), ',')) AS line FROM words""",
     ),
-    "analogy_files": with_(PROBLEMS, "SELECT a, b, c, d FROM problems"),
+    "analogy_files": with_(
+        PROBLEMS,
+        "SELECT row_number() OVER (ORDER BY category, problem_id) - 1 AS problem_id, category, a, b, c, d FROM problems",
+    ),
     "statistics_report": with_(
         *TWO_MODELS,
         dimensions("models", "model"),

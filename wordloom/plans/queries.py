@@ -366,7 +366,7 @@ def cluster_members(spark, d):
 
 
 def cluster_lines(spark, d):
-    return clustering.cluster_lines(inputs.words(spark, d), inputs.label_centroids(spark, d))
+    return clustering.cluster_lines(inputs.words(spark, d), inputs.label_centroids(spark, d), line_members=20)
 
 
 # Sources and sinks
@@ -417,12 +417,17 @@ def vector_lines(spark, d):
 def analogy_files(spark, d):
     """One file per category, read back with the category taken from the file name."""
     path = scratch(spark, "problems")
-    asked = inputs.problems(spark, d)
-    asked.select("category", F.concat_ws(" ", "a", "b", "c", "d").alias("line")).repartition("category").write.partitionBy(
-        "category"
-    ).text(path)
-    read = analogies.read_analogies(spark, f"{path}/category=*")
-    return read.select("a", "b", "c", "d")
+    asked = inputs.problems(spark, d).select("category", "problem_id", F.concat_ws(" ", "a", "b", "c", "d").alias("line"))
+    in_order = asked.repartition("category").sortWithinPartitions("category", "problem_id").drop("problem_id")
+    in_order.write.partitionBy("category").text(path)
+    # The writer names files itself; a category's one file takes its name.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(f"{path}/named"))
+    for found in files.globStatus(hadoop.Path(f"{path}/category=*/part-*")):
+        category = found.getPath().getParent().getName().removeprefix("category=")
+        files.rename(found.getPath(), hadoop.Path(f"{path}/named/{category}"))
+    return analogies.read_analogies(spark, f"{path}/named")
 
 
 def statistics_report(spark, d):
