@@ -9,6 +9,7 @@ these answers from the header gives the true first row of every split, and the s
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -25,9 +26,8 @@ NEWLINE = 0x0A
 FLOAT_BYTES = 4
 MAX_WORD_BYTES = 2000
 
+# A split is read whole by one task, so its size does not grow with the file.
 SPLIT_BYTES = 64 * 1024 * 1024
-# More splits are made larger, which bounds the table of their answers.
-MAX_SPLITS = 1000
 BATCH_ROWS = 4096
 ROWS = "index long, word string, vector array<double>"
 
@@ -41,17 +41,18 @@ def read_binary_vectors(spark: SparkSession, path: str, encoding: str = "utf-8",
         rows = spark.range(1, numPartitions=1).mapInArrow(_decode_stream(path, encoding), ROWS)
         return rows.repartition(spark.sparkContext.defaultParallelism * 3, "index")
     words, dimensions, start, size = _header(path)
-    split_bytes = max(split_bytes, -(-(size - start) // MAX_SPLITS), _row_bytes(dimensions))
+    split_bytes = max(split_bytes, _row_bytes(dimensions))
     count = max(1, -(-(size - start) // split_bytes))
     answers = spark.range(0, count, 1, count).mapInArrow(
         _walk_splits(path, dimensions, start, size, split_bytes), "split long, leaves binary, rows binary"
     )
-    walks = {r["split"]: (np.frombuffer(r["leaves"], np.int64), np.frombuffer(r["rows"], np.int64)) for r in answers.collect()}
+    # Walks from different places soon meet, so the answers of a split pack into some hundred bytes.
+    walks = {r["split"]: (r["leaves"], r["rows"]) for r in answers.collect()}
     plan, place, index = [], start, 0
     for split in range(count):
         begin, until = _bounds(split, start, size, split_bytes)
         if place < until and index < words:
-            leaves, rows = walks[split]
+            leaves, rows = (np.frombuffer(zlib.decompress(packed), np.int64) for packed in walks[split])
             held = min(int(rows[place - begin]), words - index)
             plan.append((place, index, held))
             place, index = int(leaves[place - begin]), index + held
@@ -118,13 +119,17 @@ def _walk_splits(path: str, dimensions: int, start: int, size: int, split_bytes:
                     data = file.read(min(size, until + longest) - begin)
                     leaves, rows = _leaves(data, until - begin, longest, numbers)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([split]), pa.array([(leaves + begin).tobytes()]), pa.array([rows.tobytes()])],
+                        [pa.array([split]), pa.array([_packed(leaves + begin)]), pa.array([_packed(rows)])],
                         ["split", "leaves", "rows"],
                     )
 
     return walk
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return zlib.compress(numbers.astype(np.int64).tobytes(), 9)
+
+
 def _leaves(data: bytes, until: int, longest: int, numbers: int) -> tuple[np.ndarray, np.ndarray]:
     """For each starting place in the first row length: the first row start at or past ``until``, and the rows before it.
 
