@@ -103,5 +103,8 @@ def test_query(spark, tmp_path, library):
         text = library.decode(ids, skip_special_tokens=False)
         want.append((d[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted(map(tuple, queries.op7_bpe(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    apart = bpe.decode(bpe.encode(df, PATH), PATH).collect()
+    assert sorted(map(str, apart)) == sorted(map(str, bpe.round_trip(df, PATH).collect()))
     empty = spark.createDataFrame([], SCHEMA)
     assert bpe.decode(bpe.encode(empty, PATH), PATH).collect() == []

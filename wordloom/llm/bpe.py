@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import codecs
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 
 # Entries of a task's table of known words, and characters of a text worked on at a time.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 PIECE_CHARS = 1_000_000
 NO_RULE = np.int32(2**31 - 1)
 
@@ -56,9 +56,9 @@ class Rules:
         # Two tables by hash; the second holds what found its place taken in the first.
         self.tables = []
         while len(keys):
-            table = np.full(1 << 20, np.uint64(2**64 - 1)), np.full(1 << 20, NO_RULE), np.zeros(1 << 20, np.int32)
+            table = np.full(1 << 18, np.uint64(2**64 - 1)), np.full(1 << 18, NO_RULE), np.zeros(1 << 18, np.int32)
             multiplier = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables) * 0x1234567)
-            at = (keys * multiplier) >> np.uint64(44)
+            at = (keys * multiplier) >> np.uint64(46)
             _, first = np.unique(at, return_index=True)
             for column, values in zip(table, (keys, ranks, results)):
                 column[at[first]] = values[first]
@@ -72,7 +72,7 @@ class Rules:
         keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
         rank, result = np.full(len(keys), NO_RULE), np.zeros(len(keys), np.int32)
         for multiplier, held, ranks, results in self.tables:
-            at = ((keys * multiplier) >> np.uint64(44)).astype(np.int64)
+            at = ((keys * multiplier) >> np.uint64(46)).astype(np.int64)
             hit = np.flatnonzero(held[at] == keys)
             rank[hit], result[hit] = ranks[at[hit]], results[at[hit]]
         return rank, result
@@ -208,7 +208,7 @@ class Tokenizer:
                 yield self._split(part[start:stop])
                 start = stop
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Token numbers of each text as 32-bit integers.
 
         Texts are taken together up to a piece's length; a longer one goes through piece by piece.
@@ -305,20 +305,28 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        tok = tokenizer(path)
-        for batch in batches:
-            ids, start, held, blobs = batch.column(0), 0, 0, []
-            for i, blob in enumerate(tok.encode([t.as_py() or "" for t in batch.column(1)])):
-                blobs.append(blob)
-                held += len(blob)
-                if held > 8_000_000 or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([ids.slice(start, len(blobs)), _lists(blobs)], ["doc_id", "ids"])
-                    start, held, blobs = i + 1, 0, []
+        for doc_ids, blobs, _ in _encoded(batches, path):
+            yield pa.RecordBatch.from_arrays([doc_ids, _lists(blobs)], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+def _encoded(batches, path: str, decoded: bool = False):
+    """Ids, token numbers and, where asked for, the decoded texts of documents, some million bytes at a time."""
+    tok = tokenizer(path)
+    for batch in batches:
+        start, held, blobs, texts = 0, 0, [], []
+        for i, blob in enumerate(tok.encode(t.as_py() or "" for t in batch.column(1))):
+            blobs.append(blob)
+            held += len(blob)
+            if decoded:
+                texts.append(tok.decode(np.frombuffer(blob, np.int32)))
+            if held > 2_000_000 or i + 1 == batch.num_rows:
+                yield batch.column(0).slice(start, len(blobs)), blobs, texts
+                start, held, blobs, texts = i + 1, 0, [], []
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, text``: the text that token numbers stand for; no numbers give an empty one."""
 
@@ -335,3 +343,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, ids, text``: as ``decode`` of ``encode``, with both in one pass of one worker."""
+
+    def run(batches):
+        for doc_ids, blobs, texts in _encoded(batches, path, True):
+            yield pa.RecordBatch.from_arrays([doc_ids, _lists(blobs), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")

@@ -63,7 +63,7 @@ def bpe_digest(rows):
 
 def op7_bpe(spark, d):
     path = vocabulary("word_bpe_49k.json")
-    return bpe_digest(bpe.decode(bpe.encode(table(spark, d, "documents"), path), path))
+    return bpe_digest(bpe.round_trip(table(spark, d, "documents"), path))
 
 
 def op8_simhash(spark, d):
