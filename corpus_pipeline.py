@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
-    return bpe_digest(bpe.decode(bpe.encode(docs, path), path))
+    return bpe_digest(bpe.round_trip(docs, path))
 
 
 STAGES = [
