@@ -126,3 +126,17 @@ def test_query(spark, tmp_path):
         text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert set(text.split(",")) <= set(r["spans"].split(",")) | {""}
+
+
+def test_terms_of_whole_texts(spark):
+    """Short and distant terms count, and every place of a kept term is a span; words that overlap an address are none."""
+    gap = " ".join(["common filler words"] * 20)
+    corpus = [f"Lee 李明 wrote {gap} {i} to éwho@spy.example.org. {gap} Lee and Zanzibarov, lee\ufdd0 {i}" for i in range(4)]
+    corpus += [f"{gap} wrote to and {i}" for i in range(80)] + [corpus[0]]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), "x", 1) for i, t in enumerate(corpus)], SCHEMA)
+    for r in pii.find_personal(df).collect():
+        names = ("lee", "李明", "zanzibarov") if "Lee" in r["text"] else ()
+        want = [(m.start(), 4, m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", r["text"]) if m[0].lower() in names]
+        assert [tuple(x) for x in r["_spans"]] == sorted(plain(r["text"]) + want) and len(want) in (0, 5)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitized(df).collect()}
+    assert clean[2] == f"  wrote {gap} 2 to é[EMAIL]. {gap}  and , \ufdd0 2" and clean[50] == corpus[50]

@@ -34,13 +34,17 @@ VALID = {
     "phone": f"char_length({DIGITS}) between 10 and 15",
 }
 
-# Terms are words of letters; those within REACH code points of a value are looked at.
-TERM_PATTERN = r"[\p{L}]{4,}"
-REACH = 100
-# A value is disclosed by a term that occurs near it in at least SUPPORT different texts and carries at least
+# Terms are words of letters, of any length, anywhere in the texts that hold a value: REACH, the code points around a
+# value in which they count, is more than a text can have. HIDDEN stands for letters of values; no text has it as a letter.
+TERM_PATTERN = r"[\p{L}]+"
+REACH = 1 << 31
+HIDDEN = "\ufdd0"
+# A value is disclosed by a term that occurs with it in at least SUPPORT different texts and carries at least
 # DISCLOSED of the value's information: pointwise mutual information over information content.
 SUPPORT = 3
 DISCLOSED = 0.9
+# A lower bound of a term's count is taken over one of so many classes of texts.
+CLASSES = 16
 
 
 def _found(kind: int) -> str:
@@ -69,79 +73,118 @@ def base_spans(text: Column) -> Column:
     return F.expr(sql)
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """Terms near each found value: ``_h`` (hash of the text), ``entity, term, s, e``, terms inside a found value left out.
+def _masked(text: str) -> str:
+    """SQL for a text with the letters of its found values hidden, at the same length.
 
-    Runs cut by the edge of the context are not words and are left out; the value itself is never part of it.
+    Only e-mail addresses hold letters, and each match of their pattern is valid. A run of letters and HIDDEN is a run
+    of letters of the text, and one that overlaps a found value has HIDDEN in it.
     """
-    exploded = rows.select("_h", "_p_text", "_b", F.explode("_b").alias("v"))
+    email = PATTERNS["email"]
+    return f"""transform(array(translate({text}, '{HIDDEN}', ' ')), t -> if({HINTS["email"].replace("b ", "t ", 1)},
+      array_join(zip_with(split(t, r'{email}', -1), regexp_extract_all(t, r'{email}', 0),
+        (g, m) -> concat(g, coalesce(regexp_replace(m, '[A-Za-z]', '{HIDDEN}'), ''))), ''), t))[0]"""
+
+
+RUN_PATTERN = rf"[\p{{L}}{HIDDEN}]+"
+
+
+def _terms(text: str) -> str:
+    """SQL for the distinct terms of a text that occur outside its found values."""
+    words = f"filter(regexp_extract_all({_masked(text)}, r'{RUN_PATTERN}', 0), w -> not contains(w, '{HIDDEN}'))"
+    return f"array_distinct(transform({words}, w -> lower(w)))"
+
+
+def _places(text: str, names: str) -> str:
+    """SQL for every place of the named terms outside found values: structs ``s, k, e, m``; none where names are null."""
+    none = "array_repeat(named_struct('s', 0, 'k', 0, 'e', 0, 'm', ''), 0)"
+    return f"""if({names} is null, {none}, transform(array({_masked(text)}), c ->
+      transform(array(regexp_extract_all(c, r'{RUN_PATTERN}', 0)), f -> transform(array(split(c, r'{RUN_PATTERN}', -1)), g ->
+        aggregate(f, named_struct('i', 0, 'p', 0, 'o', {none}),
+          (a, m) -> transform(array(a.p + char_length(g[a.i])), p -> named_struct('i', a.i + 1, 'p', p + char_length(m), 'o',
+            if(array_contains({names}, lower(m)),
+              concat(a.o, array(named_struct('s', p, 'k', {len(KINDS)}, 'e', p + char_length(m), 'm', lower(m)))), a.o)))[0],
+          a -> a.o))[0])[0])[0])"""
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """``_h, entity``: the different values of the different texts."""
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    before = f"""substring(_p_text, greatest(v.s - {REACH}, 0) + 1, v.s - greatest(v.s - {REACH}, 0))"""
-    after = f"substring(_p_text, v.e + 1, {REACH})"
-    sides = exploded.select(
-        "_h",
-        "_b",
-        F.expr(f"concat({names}[v.k], ':', lower(v.m))").alias("entity"),
-        F.expr(f"""array(
-          named_struct('c', {before}, 'o', greatest(v.s - {REACH}, 0), 'lo', if(v.s > {REACH}, 1, 0), 'hi', {REACH} + 1),
-          named_struct('c', {after}, 'o', v.e, 'lo', 0, 'hi', if(char_length({after}) = {REACH}, {REACH}, {REACH} + 1)))""").alias("sides"),
-    )
-    sides = sides.select("_h", "_b", "entity", F.explode("sides").alias("x"))
-    # x.c: the context, x.o: its place in the text; a term must start at x.lo or later and end before x.hi.
-    terms = f"""transform(array(regexp_extract_all(x.c, r'{TERM_PATTERN}', 0)), f -> transform(array(split(x.c, r'{TERM_PATTERN}', -1)), g ->
-      aggregate(f, named_struct('i', 0, 'p', 0, 'o', array_repeat(named_struct('t', '', 's', 0, 'e', 0), 0)),
-        (a, m) -> transform(array(a.p + char_length(g[a.i])), p -> named_struct('i', a.i + 1, 'p', p + char_length(m), 'o',
-          if(p >= x.lo and p + char_length(m) < x.hi,
-            concat(a.o, array(named_struct('t', lower(m), 's', x.o + p, 'e', x.o + p + char_length(m)))), a.o)))[0],
-        a -> a.o))[0])[0]"""
-    rows = sides.select("_h", "_b", "entity", F.explode(F.expr(terms)).alias("y"))
-    clear = rows.filter(~F.expr("exists(_b, z -> z.s < y.e and y.s < z.e)"))
-    return clear.select("_h", "entity", F.col("y.t").alias("term"), F.col("y.s").alias("s"), F.col("y.e").alias("e"))
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """Pairs ``entity, term`` in which the term reveals the value, from counts over all texts.
+    entities = F.expr(f"array_distinct(transform(_b, v -> concat({names}[v.k], ':', lower(v.m))))")
+    return rows.select("_h", F.explode(entities).alias("entity")).distinct()
+
+
+def _holding(texts: DataFrame, held: DataFrame, values: DataFrame) -> DataFrame:
+    """``_h, entities, terms`` of each different text that holds one of ``values``."""
+    entities = held.join(values, "entity").groupBy(F.col("_h").alias("_t")).agg(F.collect_list(F.struct("entity", "with_value", "most")).alias("entities"))
+    found = texts.join(small_or_settled(entities), F.col("_h") == F.col("_t")).select("_h", "entities", F.expr(_terms("text")).alias("terms"))
+    return found.groupBy("_h").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+
+
+def _met(holding: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``_h, term, seen, entity, with_value`` for each text, each of its wanted terms and each value that the term may disclose."""
+    words = holding.select("_h", "entities", F.explode("terms").alias("term")).join(wanted, "term")
+    met = words.select("_h", "term", "seen", F.explode(F.expr("filter(entities, v -> v.most >= seen)")).alias("v"))
+    return met.select("_h", "term", "seen", "v.entity", "v.with_value")
+
+
+def _counted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``term, with_term``: in how many different texts each wanted term occurs."""
+    words = f"array_distinct(transform(regexp_extract_all(text, r'{TERM_PATTERN}', 0), t -> lower(t)))"
+    found = texts.select("_h", F.explode(F.expr(words)).alias("term")).join(wanted.select("term"), "term", "left_semi")
+    return found.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+
+
+def disclosing_terms(docs: DataFrame, held: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+    """``_h, term``: terms of texts that reveal a value of the same text, from counts over all texts.
 
     With p as the share of texts: information content IC(v) = -log2 p(v); PMI(t, v) = log2(p(t, v) / (p(t) p(v)));
     a pair is kept when PMI >= ``disclosed`` * IC and at least ``support`` different texts hold both. A text counts once
-    however many copies of it there are. Words are dropped before any shuffle unless they are terms of a kept pair.
+    however many copies of it there are. The condition on the PMI is a bound on the number of texts with the term, which
+    grows with that of texts with both, so values and terms that cannot pass are dropped by their own counts first.
     """
     texts = docs.select(F.xxhash64(whole_text()).alias("_h"), whole_text().alias("text"))
     total = float(max(texts.select("_h").distinct().count(), 1))
-    pairs = near.select("_h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    values = near.select("_h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_value"))
-    # The condition on the PMI is a bound on the number of texts with the term, of which those near values are a part.
-    most = F.col("both") * F.pow(total / F.col("with_value"), F.lit(1 - disclosed))
-    seen = near.select("_h", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    pairs = pairs.filter(F.col("both") >= support).join(values, "entity").join(seen, "term")
-    pairs = settled(pairs.filter((F.col("with_value") < total) & (F.col("seen") <= most * (1 + 1e-9))).drop("seen"))
-    wanted = small_or_settled(pairs.select("term").distinct())
-    words = f"array_distinct(transform(regexp_extract_all(text, r'{TERM_PATTERN}', 0), t -> lower(t)))"
-    counts = texts.select("_h", F.explode(F.expr(words)).alias("term")).join(wanted, "term", "left_semi")
-    counts = counts.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+
+    def most(both: str) -> Column:
+        return F.col(both) * F.pow(total / F.col("with_value"), F.lit(1 - disclosed)) * (1 + 1e-9)
+
+    values = held.groupBy("entity").agg(F.count(F.lit(1)).alias("with_value"))
+    values = settled(values.filter((F.col("with_value") >= support) & (F.col("with_value") < total)).withColumn("most", most("with_value")))
+    holding = settled(_holding(texts, held, values))
+    # Texts with the term among those that hold such values are a part of all texts with the term.
+    seen = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    highest = values.agg(F.max("most")).head()[0] or 0.0
+    met = _met(holding, small_or_settled(seen.filter((F.col("seen") >= support) & (F.col("seen") <= highest))))
+    pairs = met.groupBy("entity", "with_value", "term", "seen").agg(F.count(F.lit(1)).alias("both"))
+    pairs = settled(pairs.filter((F.col("both") >= support) & (F.col("seen") <= most("both"))))
+    limits = pairs.groupBy("term").agg(F.max(most("both")).alias("limit"))
+    # Texts of one class of hashes alone rule out the common words; only the others are counted in all texts.
+    limits = small_or_settled(limits)
+    some = _counted(texts.filter(F.pmod("_h", F.lit(CLASSES)) == 0), limits)
+    common = small_or_settled(some.join(limits, "term").filter(F.col("with_term") > F.col("limit")).select("term"))
+    counts = _counted(texts, small_or_settled(limits.join(common, "term", "left_anti")))
     scored = pairs.join(counts, "term")
     pmi = F.log2(F.col("both") * total / (F.col("with_term") * F.col("with_value")))
-    return scored.filter(pmi >= disclosed * -F.log2(F.col("with_value") / total)).select("entity", "term")
+    kept = settled(scored.filter(pmi >= disclosed * -F.log2(F.col("with_value") / total)).select("entity", "term", "seen"))
+    again = _met(holding, small_or_settled(kept.select("term", "seen").distinct()))
+    return again.join(small_or_settled(kept.select("entity", "term")), ["entity", "term"]).select("_h", "term").distinct()
 
 
 def find_personal(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """``docs`` with ``_b``, the checked matches, and ``_spans``, these and the revealing terms: structs ``s, k, e, m``.
 
-    Terms have kind 4 and come after the others at the same start. Only rows about found values are moved: the texts
-    are scanned three times (values, terms near them, counts of these terms) and never shuffled.
+    Terms have kind 4 and come after the others at the same start; every place of a term in a text that holds its value is
+    one. The texts are scanned four times (values, terms of texts with values that may be disclosed, counts of terms that may
+    pass, spans), and are not shuffled as long as what is joined to them fits a broadcast.
 
     An absent or empty text has no spans; equal texts have equal spans; repeated rows are kept; an empty table gives
     no rows; columns of any name pass through, but for ``_b``, ``_spans``, ``_h`` and ``_p_text``, which are made here.
     """
     rows = docs.withColumn("_p_text", whole_text()).withColumn("_b", base_spans(F.col("_p_text"))).withColumn("_h", F.xxhash64("_p_text"))
-    holding = rows.select("_h", "_p_text", "_b").filter(F.size("_b") > 0)
-    near = settled(_contexts(holding))
-    pairs = disclosing_terms(docs, near, support, disclosed)
-    terms = near.join(pairs, ["entity", "term"]).select("_h", F.struct("s", F.lit(len(KINDS)).alias("k"), "e", F.col("term").alias("m")).alias("x"))
-    by_text = terms.groupBy(F.col("_h").alias("_t")).agg(F.collect_set("x").alias("_terms"))
+    terms = disclosing_terms(docs, settled(_held(rows)), support, disclosed)
+    by_text = terms.groupBy(F.col("_h").alias("_t")).agg(F.collect_set("term").alias("_names"))
     found = rows.join(small_or_settled(by_text), F.col("_h") == F.col("_t"), "left")
-    spans = F.expr("array_sort(concat(_b, coalesce(_terms, array_repeat(named_struct('s', 0, 'k', 0, 'e', 0, 'm', ''), 0))))")
-    return found.withColumn("_spans", spans).drop("_t", "_terms")
+    return found.withColumn("_spans", F.expr(f"array_sort(concat(_b, {_places('_p_text', '_names')}))")).drop("_t", "_names")
 
 
 def span_text(column: str) -> Column:
