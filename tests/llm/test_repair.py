@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +55,38 @@ def test_grammar_is_smaller_and_read_in_parts():
     assert repair.expand(grammar, 100, 300).tolist() == ids[through[100] : through[300]]
 
 
+def repeated(grammar, end=2):
+    """Pairs of the body that may be replaced and occur twice without overlap."""
+    table, starts = repair.expansions(grammar)
+    body, last, seen, out = grammar["body"].tolist(), (starts + grammar["lengths"] - 1).tolist(), {}, set()
+    for i, pair in enumerate(zip(body, body[1:])):
+        if table[last[pair[0]]] != end and seen.setdefault(pair, i) < i - 1:
+            out.add(pair)
+    return out
+
+
+R = random.Random(5)
+PASSAGE = [R.randrange(3, 40_000) for _ in range(1000)]
+FEW = [R.randrange(3, 30) for _ in range(5000)]
+WIDE = [i for _ in range(2) for i in range(3, 50_000) for i in (i, 3)]
+
+
+@pytest.mark.parametrize("ids", [[*PASSAGE, 2] * 60, [1, 2] * 500, [7] * 1001 + [2], [3, 4, 9, 3, 4, 2], [*range(3, 1000), 2] * 3, FEW, [*FEW, 2] * 3, WIDE])
+def test_no_pair_is_left_twice(ids):
+    grammar = repair.compress(np.array(ids, np.uint32))
+    assert repair.expand(grammar).tolist() == ids
+    assert not repeated(grammar)
+    if ids[:1000] == PASSAGE:
+        assert len(grammar["body"]) == 60
+    if ids is WIDE:
+        assert len(grammar["lengths"]) > repair.NUMBERS
+        schema = pa.schema([(n, pa.int64()) for n in ("part", "block", "first_id", "last_id", "n_ids")] + [("doc_ids", pa.list_(pa.int64()))])
+        for n in ("doc_numbers", "doc_lengths", "terminals", "rules", "lengths", "body"):
+            schema = schema.append(pa.field(n, pa.binary()))
+        row = repair._block(0, 0, pa.array([1]), [np.array(ids, np.uint32)], schema).to_pylist()[0]
+        assert repair.expand(repair._grammar(row)).tolist() == ids
+
+
 TEXTS = [None, "", " ", "a", "Some text. " * 40, "日本語 😀", "<|endoftext|> end", "long words here " * 20000, "x" * 2000, "é\n\n  é"]
 
 

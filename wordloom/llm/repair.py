@@ -15,15 +15,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from wordloom.llm.bpe import byte_letters
 from wordloom.llm.common import text_bytes
-from wordloom.llm.packed import CHUNK_BYTES
+from wordloom.llm.packed import CHUNK_BYTES, mixed
 
 END_ID = 2
-# Ids per block, on average; rounds of replacing; pairs replaced in a round; least places of a replaced pair.
+# Ids per block, on average.
 BLOCK_IDS = 1_000_000
-ROUNDS = 3
-PAIRS = 8192
-LEAST = 4
-# A block's numbers of ids and rules fit in 16 bits.
+# A block's different ids fit in 16 bits. Numbers of ids and rules are stored in 16 bits where they fit, else in 32.
 NUMBERS = 1 << 16
 
 FILES = """part int, block int, first_id {id}, last_id {id}, n_ids bigint, doc_ids array<{id}>, doc_numbers binary, doc_lengths binary,
@@ -69,55 +66,94 @@ def library_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
 def compress(ids: np.ndarray, end: int = END_ID) -> dict[str, np.ndarray]:
     """A Re-Pair grammar of ids: terminals, rules as pairs of numbers, expansion lengths, and the body.
 
-    Numbers below the count of terminals stand for these, others for rules. In each round all pairs are counted, the
-    most frequent become rules, and their places are replaced, of overlapping places the left one. Pairs whose
-    left number ends with ``end`` are left, so a document never shares a number with the next one.
+    Numbers below the count of terminals stand for these, others for rules. In each round all pairs are counted, those
+    with two or more places become rules where no more frequent pair overlaps them, and these places are replaced; rounds
+    go on until no pair occurs twice without overlap. Pairs whose left number ends with ``end`` are left, so a document
+    never shares a number with the next one.
     """
     terminals = np.flatnonzero(np.bincount(ids, minlength=end + 1))
     if len(terminals) > NUMBERS:
         raise ValueError("a block holds too many different ids")
-    number = np.zeros(int(terminals[-1]) + 1, np.uint16)
+    number = np.zeros(int(terminals[-1]) + 1, np.uint32)
     number[terminals] = np.arange(len(terminals))
     body = number[ids]
-    closes = np.zeros(NUMBERS, bool)
-    closes[: len(terminals)] = terminals == end
-    rules, lengths = [np.zeros((0, 2), np.uint16)], [np.ones(len(terminals), np.int64)]
-    used = len(terminals)
-    for _ in range(ROUNDS):
-        if len(body) < 2:
-            break
-        pairs = body[:-1].astype(np.uint32) << np.uint32(16) | body[1:]
-        order = np.argsort(pairs)
-        counted = pairs[order]
-        starts = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]]))
-        counts, kinds = np.diff(np.append(starts, len(counted))), counted[starts]
-        counts[closes[kinds >> np.uint32(16)]] = 0
-        often = np.flatnonzero(counts >= LEAST)
-        room = min(PAIRS, NUMBERS - used)
-        if len(often) > room:
-            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
+    closes, lengths = terminals == end, np.ones(len(terminals), np.int64)
+    rules = [np.zeros((0, 2), np.uint32)]
+    # Places whose pair may occur twice: the others' pairs occur once, and never again, as new pairs have a new number.
+    alive = np.flatnonzero(~closes[body[:-1]])
+    while len(alive):
+        used = len(lengths)
+        bits = np.uint64(used.bit_length())
+        pairs = body[alive].astype(np.uint64) << bits | body[alive + 1]
+        free = _apart(alive, pairs, body)
+        order, starts, counts = _grouped(pairs[free], 2 * int(bits))
+        often = np.flatnonzero(counts >= 2)
         if not len(often):
             break
-        # The places of the chosen pairs in order of place, and the number of each one's rule.
-        chosen, rule = kinds[often], np.zeros(len(body), np.int32)
-        rule[order[_ranges(starts[often], counts[often])]] = np.repeat(np.arange(1, len(often) + 1), counts[often])
-        at = np.flatnonzero(rule)
-        # Of places in a row every second one from the left: a run's first place tells which.
-        starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-        first = np.repeat(starts, np.diff(np.append(starts, len(at))))
-        left = (np.arange(len(at)) - first) & 1 == 0
-        at = at[left]
-        body[at] = (used - 1 + rule[at]).astype(np.uint16)
+        kinds = pairs[free][order[starts[often]]]
+        # Ranks by count, equal counts in scattered order so that few pairs in a row have rising ranks.
+        ranked = np.lexsort((mixed(kinds), counts[often]))
+        rank = np.zeros(len(often), np.int64)
+        rank[ranked] = np.arange(1, len(often) + 1)
+        members = order[_ranges(starts[often], counts[often])]
+        score = np.zeros(len(body) + 1, np.int32)
+        kind = np.repeat(np.arange(len(often)), counts[often])
+        at = alive[free[members]]
+        score[at] = rank[kind]
+        # Neighbours differ in rank, and the most frequent pair gets all its places; a pair left with one place waits.
+        best = (score[at] > score[at - 1]) & (score[at] > score[at + 1])
+        uses = np.bincount(kind[best], minlength=len(often))
+        best &= uses[kind] >= 2
+        taken = np.flatnonzero(uses >= 2)
+        named = np.zeros(len(often), np.uint32)
+        named[taken] = np.arange(used, used + len(taken))
+        made = np.stack([kinds[taken] >> bits, kinds[taken] & np.uint64((1 << int(bits)) - 1)], axis=1).astype(np.uint32)
+        # What stays alive: places of pairs that occurred twice, of overlapping ones, and those at and before new numbers.
+        live = np.zeros(len(body) + 1, bool)
+        live[at] = True
+        live[np.delete(alive, free)] = True
+        new = at[best]
+        body[new] = named[kind[best]]
+        live[new] = True
+        live[new - 1] = True
         keep = np.ones(len(body), bool)
-        keep[at + 1] = False
-        body = body[keep]
-        made = np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1).astype(np.uint16)
-        known = np.concatenate(lengths)
-        closes[used : used + len(made)] = closes[made[:, 1]]
+        keep[new + 1] = False
+        body, live = body[keep], live[:-1][keep]
+        closes = np.concatenate([closes, closes[made[:, 1]]])
         rules.append(made)
-        lengths.append(known[made[:, 0]] + known[made[:, 1]])
-        used += len(chosen)
-    return {"terminals": terminals.astype(np.uint32), "rules": np.concatenate(rules), "lengths": np.concatenate(lengths), "body": body}
+        lengths = np.concatenate([lengths, lengths[made[:, 0]] + lengths[made[:, 1]]])
+        alive = np.flatnonzero(live[:-1] & ~closes[body[:-1]])
+    return {"terminals": terminals.astype(np.uint32), "rules": np.concatenate(rules), "lengths": lengths, "body": body}
+
+
+def _apart(at: np.ndarray, pairs: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """Which of the sorted places to count: in a run of one number every second place from the left, else all."""
+    same = body[at] == body[at + 1]
+    if not same.any():
+        return np.arange(len(at))
+    runs = np.flatnonzero(same)
+    starts = np.flatnonzero((np.diff(at[runs], prepend=-2) > 1) | (np.diff(pairs[runs].astype(np.int64), prepend=-1) != 0))
+    odd = (np.arange(len(runs)) - np.repeat(starts, np.diff(np.append(starts, len(runs))))) & 1 == 1
+    free = np.ones(len(at), bool)
+    free[runs[odd]] = False
+    return np.flatnonzero(free)
+
+
+def _grouped(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal values together, where each group of it starts, and how many are in it."""
+    place = max(len(values) - 1, 1).bit_length()
+    if bits + place <= 64:
+        packed = np.sort(values << np.uint64(place) | np.arange(len(values), dtype=np.uint64))
+        order, counted = (packed & np.uint64((1 << place) - 1)).astype(np.int64), packed >> np.uint64(place)
+    else:
+        order = np.argsort(values)
+        counted = values[order]
+    starts = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return order, starts, np.diff(np.append(starts, len(counted)))
+
+
+def _width(numbers: int) -> str:
+    return "<u2" if numbers <= NUMBERS else "<u4"
 
 
 def expansions(grammar: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +164,11 @@ def expansions(grammar: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     out[: len(terminals)] = terminals
     # Rules of a level use numbers of lower levels alone.
     level = np.zeros(len(lengths), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        level[len(terminals) + i] = max(level[a], level[b]) + 1
+    while len(rules):
+        deeper = np.maximum(level[rules[:, 0]], level[rules[:, 1]]) + 1
+        if np.array_equal(deeper, level[len(terminals) :]):
+            break
+        level[len(terminals) :] = deeper
     for step in range(1, int(level.max(initial=0)) + 1):
         made = np.flatnonzero(level == step)
         for side, shift in ((0, np.zeros(len(made), np.int64)), (1, lengths[rules[made - len(terminals), 0]])):
@@ -159,6 +198,7 @@ def _block(part: int, block: int, doc_ids: pa.Array, ids: list[np.ndarray], sche
     ends = np.cumsum([len(i) for i in ids])
     through = np.cumsum(grammar["lengths"][grammar["body"]])
     numbers = np.diff(np.searchsorted(through, ends) + 1, prepend=0)
+    width = _width(len(grammar["lengths"]))
     named = {
         "part": part,
         "block": block,
@@ -169,19 +209,21 @@ def _block(part: int, block: int, doc_ids: pa.Array, ids: list[np.ndarray], sche
         "doc_numbers": numbers.astype("<u4").tobytes(),
         "doc_lengths": np.diff(ends, prepend=0).astype("<u4").tobytes(),
         "terminals": grammar["terminals"].astype("<u4").tobytes(),
-        "rules": grammar["rules"].astype("<u2").tobytes(),
+        "rules": grammar["rules"].astype(width).tobytes(),
         "lengths": grammar["lengths"].astype("<u4").tobytes(),
-        "body": grammar["body"].astype("<u2").tobytes(),
+        "body": grammar["body"].astype(width).tobytes(),
     }
     return pa.RecordBatch.from_pylist([named], schema)
 
 
 def _grammar(row: dict) -> dict[str, np.ndarray]:
+    lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+    width = _width(len(lengths))
     return {
         "terminals": np.frombuffer(row["terminals"], "<u4"),
-        "rules": np.frombuffer(row["rules"], "<u2").reshape(-1, 2),
-        "lengths": np.frombuffer(row["lengths"], "<u4").astype(np.int64),
-        "body": np.frombuffer(row["body"], "<u2"),
+        "rules": np.frombuffer(row["rules"], width).reshape(-1, 2),
+        "lengths": lengths,
+        "body": np.frombuffer(row["body"], width),
     }
 
 
