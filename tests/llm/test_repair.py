@@ -87,6 +87,12 @@ def test_no_pair_is_left_twice(ids):
         assert repair.expand(repair._grammar(row)).tolist() == ids
 
 
+def test_more_ids_than_16_bits():
+    ids = [*range(3, 80_000), 2] * 2
+    grammar = repair.compress(np.array(ids, np.uint32))
+    assert len(grammar["terminals"]) > repair.NUMBERS and repair.expand(grammar).tolist() == ids and len(grammar["body"]) == 2
+
+
 TEXTS = [None, "", " ", "a", "Some text. " * 40, "日本語 😀", "<|endoftext|> end", "long words here " * 20000, "x" * 2000, "é\n\n  é"]
 
 

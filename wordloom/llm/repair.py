@@ -20,7 +20,7 @@ from wordloom.llm.packed import CHUNK_BYTES, mixed
 END_ID = 2
 # Ids per block, on average.
 BLOCK_IDS = 1_000_000
-# A block's different ids fit in 16 bits. Numbers of ids and rules are stored in 16 bits where they fit, else in 32.
+# Numbers of ids and rules are stored in 16 bits where a block has at most so many, else in 32.
 NUMBERS = 1 << 16
 
 FILES = """part int, block int, first_id {id}, last_id {id}, n_ids bigint, doc_ids array<{id}>, doc_numbers binary, doc_lengths binary,
@@ -72,8 +72,6 @@ def compress(ids: np.ndarray, end: int = END_ID) -> dict[str, np.ndarray]:
     never shares a number with the next one.
     """
     terminals = np.flatnonzero(np.bincount(ids, minlength=end + 1))
-    if len(terminals) > NUMBERS:
-        raise ValueError("a block holds too many different ids")
     number = np.zeros(int(terminals[-1]) + 1, np.uint32)
     number[terminals] = np.arange(len(terminals))
     body = number[ids]
