@@ -38,5 +38,59 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 40 * n_lines) AS kept
 FROM b
+""",
+    "op13_merkle": r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, text, unnest([false, true]) AS altered,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR END
+    || CASE WHEN source IS NULL THEN '-' ELSE strlen(source)::VARCHAR || ':' || source END
+    || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang)::VARCHAR || ':' || lang END
+    || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR END AS head,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM documents),
+hashed AS (
+  SELECT rid, doc_id, source, altered, xor(crc, 4294967295) % 5 = 0 AND text IS NOT NULL AS chosen,
+    sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text)::VARCHAR || ':'
+      || CASE WHEN altered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END END) AS digest
+  FROM docs),
+leaves AS (
+  SELECT h.rid, h.doc_id, h.source, h.digest AS leaf, CASE WHEN a.chosen THEN a.digest ELSE h.digest END AS start,
+    row_number() OVER (PARTITION BY h.source ORDER BY h.doc_id NULLS FIRST, h.digest) - 1 AS place
+  FROM hashed h JOIN hashed a USING (rid) WHERE NOT h.altered AND a.altered),
+low AS (
+  SELECT source, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY source) AS held FROM leaves
+  UNION ALL
+  SELECT source, any_value(level) + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place)), (any_value(held) + 15) // 16
+  FROM low WHERE held > 1 GROUP BY source, place // 16),
+subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM low WHERE held = 1),
+high AS (
+  SELECT 0 AS level, place, subroot AS digest, count(*) OVER () AS held FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place)), (any_value(held) + 15) // 16
+  FROM high WHERE held > 1 GROUP BY place // 16),
+nodes AS (
+  SELECT source, level, place, digest, held FROM low WHERE held > 1
+  UNION ALL
+  SELECT s.source, 100 + level, h.place, h.digest, h.held FROM high h, subroots s WHERE h.held > 1),
+sided AS (
+  SELECT source, level, place, held,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY source, level, place // 16 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY source, level, place // 16 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM nodes),
+levels AS (
+  SELECT source, level, row_number() OVER (PARTITION BY source ORDER BY level) AS step FROM (SELECT DISTINCT source, level FROM nodes)),
+walked AS (
+  SELECT l.rid, l.source, 0::BIGINT AS step, l.start AS node, '' AS proof FROM leaves l
+  UNION ALL
+  SELECT w.rid, w.source, w.step + 1, sha256(d.before || w.node || d.after), w.proof || d.before || d.after
+  FROM walked w JOIN leaves l ON l.rid = w.rid JOIN subroots s ON s.source IS NOT DISTINCT FROM w.source
+  JOIN levels v ON v.source IS NOT DISTINCT FROM w.source AND v.step = w.step + 1
+  JOIN sided d ON d.source IS NOT DISTINCT FROM w.source AND d.level = v.level
+    AND d.place = CASE WHEN v.level < 100 THEN l.place // (16 ** v.level)::BIGINT ELSE s.place // (16 ** (v.level - 100))::BIGINT END)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root, w.node = r.digest AS verified
+FROM leaves l JOIN (SELECT rid, arg_max(proof, step) AS proof, arg_max(node, step) AS node FROM walked GROUP BY rid) w USING (rid)
+JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source, (SELECT digest FROM high WHERE held = 1) r
 """,
 }

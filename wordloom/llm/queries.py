@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wordloom.bounds import shared_dir
-from wordloom.llm import bpe, embedding_dedup, mixing, pii, quality, repair, sharding, simhash, substring, suffix
+from wordloom.llm import bpe, embedding_dedup, main_text, merkle, mixing, pii, quality, repair, sharding, simhash, substring, suffix, whitening
 from wordloom.llm.common import table
 
 
@@ -84,4 +84,20 @@ def op9_sharding(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding, op2_mixing, op3_quality, op4_substring, op5_pii, op6_suffix_array, op7_bpe, op8_simhash, op9_sharding, op10_repair)}
+def op11_whitening(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+def op12_main_text(spark, d):
+    return main_text.extract(table(spark, d, "pages"))
+
+
+def op13_merkle(spark, d):
+    return merkle.manifest(table(spark, d, "documents")).drop("source", "path")
+
+
+_ALL = (
+    *(op1_embedding, op2_mixing, op3_quality, op4_substring, op5_pii, op6_suffix_array, op7_bpe),
+    *(op8_simhash, op9_sharding, op10_repair, op11_whitening, op12_main_text, op13_merkle),
+)
+QUERIES = {f.__name__: f for f in _ALL}
