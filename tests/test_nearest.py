@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import nearest, topn
+from wordloom.operators import nearest, pruned, topn
 from wordloom.operators.kernels import LOWER_IS_BETTER
 
 TABLE = "index long, word string, vector array<double>"
@@ -75,6 +75,53 @@ def test_each_side_may_be_the_small_one(spark, limit):
         assert indexes(found.filter(F.col("metric") == metric)) == brute(vectors, queries, 3, metric)
 
 
+def clustered(rows, groups=40, dimensions=8, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dimensions)) * 10
+    return centres[rng.integers(0, groups, rows)] + rng.normal(size=(rows, dimensions)) * 0.1
+
+
+@pytest.mark.parametrize("metrics", [["euclidean"], ["squared_euclidean", "cosine"], ["cosine"], ["normalized_cosine"]])
+def test_cells_give_the_rows_of_the_scan(spark, metrics):
+    vectors = clustered(2000)
+    vectors[5], vectors[::7] = 0.0, vectors[0]  # a vector without length, and many copies of another
+    queries = np.r_[clustered(60, seed=4), np.zeros((1, 8)), vectors[:3]]
+    df, q = table(spark, vectors), asked(spark, queries)
+    odd = spark.createDataFrame([(5000, "odd", [float("nan")] + [1.0] * 7), (5001, "far", [float("inf")] + [1.0] * 7)], TABLE)
+    df = df.union(odd)
+    scan = nearest.find_nearest_multi(df, q, 3, metrics).collect()
+    cells = nearest.find_nearest_multi(df, q, 3, metrics, broadcast_bytes=4000).collect()
+    assert sorted(scan) == sorted(cells)
+
+
+def test_most_pairs_of_queries_and_cells_are_not_joined(spark):
+    vectors, queries = clustered(4000), clustered(300)
+    df, q = table(spark, vectors), asked(spark, queries)
+    done = pruned.search(df, q, 3, ["euclidean"], nearest._schema(q.schema["qid"].dataType), 20_000)
+    joined, every = done.pairs()
+    assert every > 300 * 50 and joined < 0.2 * every
+    # Rows move once for the cells of each round, not once per block of queries.
+    plan = done.answers._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_unknown_bounds_rule_nothing_out():
+    cells = pruned.Cells(np.zeros((1, 3)), np.array([4]), np.array([0.0]), np.array([1.0]), np.array([1.0]))
+    queries = np.array([[9.0, 0.0, 0.0], [1.5, 0.0, 0.0]])
+    assert cells.out_of_reach(queries, "euclidean", np.array([0.6, 0.6])).tolist() == [[True], [False]]
+    assert not cells.out_of_reach(queries, "euclidean", np.array([np.nan, np.nan])).any()
+
+
+def test_rows_that_are_no_numbers_are_not_ranked_and_disturb_no_others(spark):
+    vectors, queries = data(50, 4, 3)
+    rows = [(i, f"w{i}", v.tolist()) for i, v in enumerate(vectors)]
+    odd = [(90, "nan", [float("nan"), 0.0, 0.0, 0.0]), (91, "inf", [float("inf"), 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows + odd, TABLE).coalesce(1)
+    q = asked(spark, np.r_[queries, [[np.inf, 1.0, 0.0, 0.0]], [[np.nan, 1.0, 0.0, 0.0]]])
+    for metric in sorted(LOWER_IS_BETTER):
+        assert indexes(nearest.find_nearest_multi(df, q, 2, metric)) == brute(vectors, queries, 2, metric)
+
+
 def test_many_copies_of_one_vector(spark):
     # A third of the rows are the same vector, which is also the best answer.
     rng = np.random.default_rng(2)

@@ -48,13 +48,32 @@ def lengths(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
 
+def finite_rows(vectors: np.ndarray) -> np.ndarray:
+    """Which rows hold finite numbers only."""
+    return np.isfinite(vectors).all(axis=1)
+
+
+class Words:
+    """Words of a block, kept in Arrow: only those of the best rows become Python strings."""
+
+    def __init__(self, column: pa.Array, rows: np.ndarray | None = None):
+        self.column, self.rows = column, rows
+
+    def reordered(self, rows: np.ndarray) -> Words:
+        return Words(self.column, rows if self.rows is None else self.rows[rows])
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        rows = rows if self.rows is None else self.rows[rows]
+        return np.array(self.column.take(pa.array(rows)).to_pylist(), dtype=object)
+
+
 class Block:
     """Rows of the word table, in ascending order of index."""
 
-    def __init__(self, index: np.ndarray, words: np.ndarray, vectors: np.ndarray):
+    def __init__(self, index: np.ndarray, words: Words, vectors: np.ndarray):
         if np.any(index[1:] < index[:-1]):
             order = np.argsort(index, kind="stable")
-            index, words, vectors = index[order], words[order], vectors[order]
+            index, words, vectors = index[order], words.reordered(order), vectors[order]
         self.index, self.words, self.vectors = index, words, vectors
         self.norms = lengths(vectors)
         self.longest = self.norms.max(initial=0.0)
@@ -74,7 +93,7 @@ class Block:
         return self._factors[metric]
 
     def take(self, rows: np.ndarray) -> Block:
-        return Block(self.index[rows], self.words[rows], self.vectors[rows])
+        return Block(self.index[rows], self.words.reordered(rows), self.vectors[rows])
 
     def without_surplus_copies(self, n: int) -> Block:
         """The block less the copies of a vector beyond the ``n`` of lowest index: those can never be among the best ``n``."""
@@ -123,6 +142,8 @@ class Best:
         else:
             # A zero vector has no angle; comparisons with NaN are false, so it is never ranked.
             self.factor = queries / np.where(self.norms > 0, self.norms, np.nan)[:, None]
+        # Nor has a query with an element that is no finite number any score.
+        self.factor[~finite_rows(queries)] = np.nan
 
     def _margin(self, block: Block, chosen: slice) -> np.ndarray:
         """More than the rounding error of a product."""

@@ -1,8 +1,8 @@
 """Nearest rows for one or many query vectors.
 
 Many queries are answered in one pass over the word table. Which side is copied to the executors depends on its
-checked size; when neither side is small, both are cut into blocks and each pair of blocks is scored by one task,
-which returns only its best rows per query.
+checked size; when neither side is small, rows are dealt to cells and only the cells that a bound leaves open are
+joined (``pruned``).
 """
 
 from __future__ import annotations
@@ -16,15 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.bounds import BROADCAST_BYTES, settled
-from wordloom.operators.kernels import LOWER_IS_BETTER, Best, Block, matrix, scan_block
+from wordloom.operators.kernels import LOWER_IS_BETTER, Best, matrix, scan_block
+from wordloom.operators.pruned import ANSWERS, best_answers, read_block, search
 from wordloom.operators.topn import top_n_per_group
 
-_ANSWER_COLUMNS = ["qid", "metric", "rank", "index", "word", "score"]
-
 
 def _schema(qid: T.DataType) -> T.StructType:
     types = [qid, T.StringType(), T.IntegerType(), T.LongType(), T.StringType(), T.DoubleType()]
-    return T.StructType([T.StructField(name, kind) for name, kind in zip(_ANSWER_COLUMNS, types)])
+    return T.StructType([T.StructField(name, kind) for name, kind in zip(ANSWERS, types)])
 
 
 def best_first(metric: str, score: str = "score") -> Column:
@@ -85,7 +84,7 @@ def find_nearest_multi(
     if small is not None:
         # Every query meets the whole table in one task: nothing is left to merge.
         return queries.mapInArrow(_scan_with_table(df, small, n, metrics), schema)
-    return _ranked(_block_pairs(table, queries, n, metrics, schema, broadcast_bytes), n)
+    return _ranked(search(table, queries, n, metrics, schema, broadcast_bytes).answers, n)
 
 
 def _room(limit_bytes: int, n: int, dimensions: int, metrics: int) -> int:
@@ -118,28 +117,7 @@ def _ranked(candidates: DataFrame, n: int) -> DataFrame:
     lower = F.col("metric").isin([m for m, low in LOWER_IS_BETTER.items() if low])
     key = F.when(lower, F.col("score")).otherwise(-F.col("score"))
     ranked = top_n_per_group(candidates.drop("rank"), ["qid", "metric"], [key, F.col("index")], n)
-    return ranked.select(*_ANSWER_COLUMNS)
-
-
-def _read_block(batch, dimensions: int | None) -> Block:
-    words = np.array(batch.column("word").to_pylist(), dtype=object)
-    return Block(batch.column("index").to_numpy(zero_copy_only=False), words, matrix(batch.column("vector"), dimensions))
-
-
-def _answers(bests: list[Best], qids: pa.Array):
-    for best in bests:
-        query, rank, index, word, score = best.results()
-        yield pa.RecordBatch.from_arrays(
-            [
-                qids.take(pa.array(query)),
-                pa.array([best.metric] * len(query), pa.string()),
-                pa.array(rank, pa.int32()),
-                pa.array(index),
-                pa.array(word, pa.string()),
-                pa.array(score),
-            ],
-            _ANSWER_COLUMNS,
-        )
+    return ranked.select(*ANSWERS)
 
 
 def _scan_with_queries(df: DataFrame, queries: pa.Table, n: int, metrics: list[str]):
@@ -152,8 +130,8 @@ def _scan_with_queries(df: DataFrame, queries: pa.Table, n: int, metrics: list[s
             return
         bests = [Best(vectors, n, m) for m in metrics]
         for batch in batches:
-            scan_block(bests, _read_block(batch, vectors.shape[1]))
-        yield from _answers(bests, qids)
+            scan_block(bests, read_block(batch, vectors.shape[1]))
+        yield from best_answers(bests, qids)
 
     return scan
 
@@ -162,55 +140,13 @@ def _scan_with_table(df: DataFrame, table: pa.Table, n: int, metrics: list[str])
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches):
-        blocks = [_read_block(b, None) for b in shared.value.to_batches(max_chunksize=10_000) if b.num_rows]
+        blocks = [read_block(b, None) for b in shared.value.to_batches(max_chunksize=10_000) if b.num_rows]
         for batch in batches:
             if blocks and batch.num_rows:
                 vectors = matrix(batch.column("vector"), blocks[0].vectors.shape[1])
                 bests = [Best(vectors, n, m) for m in metrics]
                 for block in blocks:
                     scan_block(bests, block)
-                yield from _answers(bests, batch.column("qid"))
+                yield from best_answers(bests, batch.column("qid"))
 
     return scan
-
-
-def _block_pairs(
-    table: DataFrame, queries: DataFrame, n: int, metrics: list[str], schema: T.StructType, block_bytes: int
-) -> DataFrame:
-    """Candidates from every pair of a block of rows and a block of queries.
-
-    Blocks are made by hash of the unique keys, so their size is even whatever the vectors hold. The rows are
-    copied once per block of queries and the queries once per block of rows; only the best rows leave a pair.
-    """
-
-    def blocks(df: DataFrame) -> int:
-        size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).head()
-        return 1 + size["n"] * (8 * (size["d"] or 0) + 64) // block_bytes
-
-    row_blocks, query_blocks = blocks(table), blocks(queries)
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-
-    def hashed(key: str, count: int):
-        return F.pmod(F.xxhash64(key), F.lit(count).cast("long"))
-
-    rows = table.withColumn("row_block", hashed("index", row_blocks)).withColumn("query_block", every(query_blocks))
-    # Renamed, so that queries taken from the same table do not share column identities with its rows.
-    asked = queries.select(F.col("qid").alias("asked_id"), F.col("vector").alias("asked"))
-    asked = asked.withColumn("query_block", hashed("asked_id", query_blocks)).withColumn("row_block", every(row_blocks))
-    keys = ["row_block", "query_block"]
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = []
-        if left.num_rows and right.num_rows:
-            vectors = matrix(right.column("asked"))
-            bests = [Best(vectors, n, m) for m in metrics]
-            for batch in left.combine_chunks().to_batches(max_chunksize=10_000):
-                scan_block(bests, _read_block(batch, vectors.shape[1]))
-            answers = list(_answers(bests, right.column("asked_id").combine_chunks()))
-        if not answers:
-            types = (right.schema.field("asked_id").type, pa.string(), pa.int32(), pa.int64(), pa.string(), pa.float64())
-            return pa.table([pa.array([], t) for t in types], _ANSWER_COLUMNS)
-        return pa.Table.from_batches(answers)
-
-    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(score, schema)

@@ -314,6 +314,7 @@ ORACLE: dict[str, str] = {
     "nearest_euclidean": nearest_to_word("list_distance(w.vector, q.vector)", "ASC"),
     "nearest_one_batch": nearest_batch(1),
     "nearest_many_batch": nearest_batch(5),
+    "nearest_in_cells": nearest_batch(5),
     "nearest_batch_of_unit_vectors": with_(
         WORDS,
         STRETCHED,
@@ -432,6 +433,13 @@ ORACLE: dict[str, str] = {
     "assign_clusters": with_(
         WORDS, STRETCHED, CENTROIDS, assigned("stretched"), f"SELECT index, word, cluster, {r6('sq', 'sq_distance')} FROM assigned"
     ),
+    "assign_to_many_clusters": with_(
+        WORDS,
+        STRETCHED,
+        "centroids AS (SELECT index::INTEGER AS cluster, vector AS center FROM words)",
+        assigned("stretched"),
+        f"SELECT index, word, cluster, {r6('sq', 'sq_distance')} FROM assigned",
+    ),
     "wsse": with_(WORDS, STRETCHED, CENTROIDS, assigned("stretched"), f"SELECT {r6('sum(sq)', 'wsse')} FROM assigned"),
     "cluster_quality": with_(
         WORDS,

@@ -162,6 +162,17 @@ def nearest_many_batch(spark, d):
     return _nearest_batch(spark, d, 5)
 
 
+# Copies of less than this go to the tasks in the queries that show what happens when neither side is small.
+SMALL_BYTES = 64 * 1024
+
+
+def nearest_in_cells(spark, d):
+    """As ``nearest_many_batch``, both sides being too large to copy."""
+    df = inputs.stretched_words(spark, d)
+    found = nearest.find_nearest_multi(df, inputs.neighbour_sums(df), 5, ["euclidean", "cosine"], broadcast_bytes=SMALL_BYTES)
+    return found.select("qid", "metric", "rank", "index", "word", r6("score"))
+
+
 def nearest_batch_of_unit_vectors(spark, d):
     stretched = inputs.stretched_words(spark, d)
     queries = inputs.neighbour_sums(stretched)
@@ -313,6 +324,13 @@ def assign_clusters(spark, d):
     return found.select("index", "word", "cluster", r6("sq_distance"))
 
 
+def assign_to_many_clusters(spark, d):
+    """Every row's vector is a centre, too many of them to copy to the tasks."""
+    centres = inputs.words(spark, d).select(F.col("index").cast("int").alias("cluster"), F.col("vector").alias("center"))
+    found = clustering.assign_clusters(inputs.stretched_words(spark, d), centres, broadcast_bytes=SMALL_BYTES)
+    return found.select("index", "word", "cluster", r6("sq_distance"))
+
+
 def wsse(spark, d):
     return clustering.wsse(inputs.stretched_words(spark, d), inputs.label_centroids(spark, d)).select(r6("wsse"))
 
@@ -485,6 +503,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         nearest_euclidean,
         nearest_one_batch,
         nearest_many_batch,
+        nearest_in_cells,
         nearest_batch_of_unit_vectors,
         top_lines_per_flag,
         best_event_per_type,
@@ -511,6 +530,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         analogy_score_histograms,
         incorrect_analogies,
         assign_clusters,
+        assign_to_many_clusters,
         wsse,
         cluster_quality,
         lloyd_step,
