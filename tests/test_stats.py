@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wordloom import bounds
-from wordloom.operators import stats
+from wordloom.operators import dimension_kernels, stats
 
 POINTS = [stats.point(p) for p in stats.PERCENTILES]
 
@@ -148,3 +148,56 @@ def test_outlier_bounds(spark):
     assert bounds_of("median_iqr", 1.5) == (50 - 1.5 * spread, 50 + 1.5 * spread)
     with pytest.raises(ValueError):
         stats.outlier_bounds(found, "other")
+
+
+def test_at_most_two_passes_over_the_rows(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 60_013).cast("double").alias("v"))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counted = rows.mapInArrow(count, rows.schema)
+    found = {r["g"]: r for r in stats.summary(counted, ["g"], "v").collect()}
+    assert read.value <= 2 * 60_000
+    for g in range(3):
+        values = sorted(float(i * 7919 % 60_013) for i in range(60_000) if i % 3 == g)
+        assert found[g]["p50"] == (values[9_999] + values[10_000]) / 2 and found[g]["n"] == 20_000
+
+
+def test_ranks_outside_their_brackets_are_found_all_the_same(spark, monkeypatch):
+    rows = spark.range(30_000).select((F.col("id") * 7919 % 30_011).cast("double").alias("v"))
+    want = stats.exact_percentiles(rows, [], "v").head()
+    monkeypatch.setattr(stats, "BRACKET_SHARE", -0.02)
+    assert stats.exact_percentiles(rows, [], "v").head() == want
+    values = sorted(float(i * 7919 % 30_011) for i in range(30_000))
+    assert want["p50"] == (values[14_999] + values[15_000]) / 2
+
+
+def test_models_share_all_jobs(spark):
+    def jobs(count):
+        models = {f"m{i}": spark.range(50).select(F.array(F.col("id") + 0.5 * i, F.col("id") * 2.0).alias("vector")) for i in range(count)}
+        group = f"models-{count}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = stats.analyze(models, 5).collect()
+        spark.sparkContext.setJobGroup("", "")
+        assert len(rows) == 3 * count and {r["words"] for r in rows} == {50}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(1) == jobs(4)
+
+
+def test_bins_are_held_only_where_there_are_values():
+    bins = dimension_kernels.Bins()
+    for _ in range(3):
+        bins.add(np.array([10**12, 5, 5]), np.array([1.0, -2.0, 4.0]))
+    place, held, low, high = bins.total()
+    assert place.tolist() == [5, 10**12] and held.tolist() == [6, 3] and low.tolist() == [-2.0, 1.0] and high.tolist() == [4.0, 1.0]
+
+
+def test_nested_values_are_counted_in_bytes(spark):
+    df = spark.createDataFrame([(["x" * 1000] * 10, ("y" * 500, 1))], "a array<string>, s struct<t: string, n: int>")
+    assert 10_500 < bounds.value_bytes(df) < 11_000
+    assert bounds.value_bytes(df.limit(0)) == 0

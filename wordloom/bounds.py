@@ -7,7 +7,7 @@ import uuid
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,18 +60,29 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
-def value_bytes(df: DataFrame) -> int:
-    """Bytes of all values: lengths of strings, 8 for each number, also inside arrays."""
-    total = F.lit(0).cast("long")
-    for field in df.schema:
-        kind = field.dataType
-        if isinstance(kind, (T.StringType, T.BinaryType)):
-            each = F.octet_length(F.col(field.name))
-        elif isinstance(kind, T.ArrayType):
-            each = F.size(F.col(field.name)) * 8
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """Bytes of one value: lengths of strings, 8 for a number, with what lies inside arrays, maps and structs."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        own = F.octet_length(value)
+    elif isinstance(kind, T.StructType):
+        own = reduce(lambda a, b: a + b, [_bytes_of(value[f.name], f.dataType) for f in kind], F.lit(0))
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            zero = F.lit(0).cast("long")
+            own = F.aggregate(value, zero, lambda held, x: held + _bytes_of(x, kind.elementType).cast("long"))
         else:
-            each = F.lit(8)
-        total = total + F.coalesce(each, F.lit(0)) + 8
+            own = F.size(value) * 8
+    elif isinstance(kind, T.MapType):
+        own = _bytes_of(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes_of(F.map_values(value), T.ArrayType(kind.valueType))
+    else:
+        own = F.lit(8)
+    return F.coalesce(own, F.lit(0)) + 8
+
+
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values of a table, those inside nested columns included."""
+    each = [_bytes_of(F.col(f.name), f.dataType).cast("long") for f in df.schema]
+    total = reduce(lambda a, b: a + b, each, F.lit(0).cast("long"))
     return df.agg(F.sum(total)).head()[0] or 0
 
 

@@ -1,8 +1,10 @@
 """Descriptive statistics of scalar groups, vector dimensions and vector lengths.
 
-Exact percentiles are found without sorting a whole group in one task: counts over equal-width bins, refined where
-a bin is still crowded, narrow each wanted rank to a short range of values, and only those ranges are sorted.
-Equal values are counted before the shuffle, so a value that fills a third of a group costs one row per task.
+Exact percentiles are found without sorting a whole group in one task. A quantile sketch, gathered in the same pass as
+size and moments, brackets each wanted rank by two values; a second pass counts exactly what lies below, between and
+inside the brackets and sorts only the values inside. A bracket that is still crowded is narrowed by counts over
+equal-width bins first, which is also how vector dimensions, counted inside the tasks, are narrowed. Equal values are
+counted before the shuffle, so a value that fills a third of a group costs one row per task.
 """
 
 from __future__ import annotations
@@ -22,6 +24,13 @@ from wordloom.operators import dimension_kernels as kernels
 # The percentiles of a summary.
 PERCENTILES = (2, 9, 25, 50, 75, 91, 98)
 
+# Size of a sketch, the share of a group by which a bracket reaches beyond its rank on both sides (several times the error
+# to expect of the sketch), and rows of a group that are sorted without brackets, as one row is more than that share.
+# A rank that its bracket misses is seen by the exact counts and found by refinement, so they set the speed alone.
+SKETCH_SIZE = 1024
+BRACKET_SHARE = 0.01
+UNBRACKETED_ROWS = 4096
+
 # Bins per refinement step.
 REFINE_BINS = 1024
 # Values of one range that a single task may sort, and values that are sorted in all before ranges are split for speed.
@@ -42,20 +51,37 @@ class _Scalars:
         self.keys = list(group) or [_ONE]
         self.rows = df.select(*(group or [F.lit(1).alias(_ONE)]), value).filter("_v is not null")
 
-    def sizes(self) -> DataFrame:
+    def sizes(self, shares: Sequence[float] = ()) -> DataFrame:
         v = F.col("_v")
-        return self.rows.groupBy(*self.keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
+        found = self.rows.groupBy(*self.keys).agg(
+            F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), *_sketched(v, shares)
+        )
+        return _bracketed(found, shares)
 
-    def moments(self) -> DataFrame:
+    def moments(self, shares: Sequence[float] = ()) -> DataFrame:
         """Size, extremes, mean and sample spread of each group; a single value has no spread."""
         v = F.col("_v")
-        return self.rows.groupBy(*self.keys).agg(
+        found = self.rows.groupBy(*self.keys).agg(
             F.count(v).alias("n"),
             F.min(v).alias("min"),
             F.max(v).alias("max"),
             F.avg(v).alias("mean"),
             F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
+            *_sketched(v, shares),
         )
+        return _bracketed(found, shares)
+
+    def in_brackets(self, groups: DataFrame) -> DataFrame:
+        """``keys..., part, _v, copies``: values inside the brackets one by one, those elsewhere as one count per gap.
+
+        The parts of a group ascend: part 0 lies below the first bracket, 1 is that bracket, 2 lies above it, and so on.
+        """
+        placed = join_groups(self.rows, groups.select(*self.keys, "_brackets"), self.keys)
+        begun = F.size(F.filter("_brackets", lambda b: b["low"] <= F.col("_v")))
+        inside = F.coalesce(F.col("_v") <= F.get("_brackets", begun - 1)["high"], F.lit(False))
+        part = (2 * begun - inside.cast("int")).alias("part")
+        value = F.when(inside, F.col("_v")).alias("_v")
+        return placed.groupBy(*self.keys, part, value).agg(F.count(F.lit(1)).alias("copies"))
 
     def bins_of(self, ranges: DataFrame, known: pa.Table | None) -> DataFrame:
         """``keys..., base, bin, low, high, held`` for ranges ``keys..., from, to, base``."""
@@ -78,23 +104,28 @@ class _Scalars:
 
 
 class _Dimensions(_Scalars):
-    """The elements of a vector column by dimension. Tasks count their own elements as long as the tables of ranges
-    are small enough to copy to them; otherwise the elements become rows."""
+    """The elements of a vector column by model and dimension, from rows ``model, vector``. Tasks count their own elements
+    as long as the tables of ranges are small enough to copy to them; otherwise the elements become rows."""
 
     def __init__(self, df: DataFrame):
-        self.vectors = df.select("vector").filter("vector is not null")
-        super().__init__(dimension_values(df), ["dimension"], "value")
+        self.vectors = df.select("model", "vector").filter("vector is not null")
+        elements = self.vectors.select("model", F.posexplode("vector").alias("dimension", "value"))
+        super().__init__(elements, ["model", "dimension"], "value")
+
+    def sizes(self, shares: Sequence[float] = ()) -> DataFrame:
+        return self.moments().select(*self.keys, "n", "min", "max")
 
-    def moments(self) -> DataFrame:
+    def moments(self, shares: Sequence[float] = ()) -> DataFrame:
+        """As for rows, without brackets: the tasks count elements themselves."""
         parts = self.vectors.mapInArrow(
-            kernels.moments, "dimension int, size int, n long, mean double, squares double, min double, max double"
+            kernels.moments, "model string, dimension int, size int, n long, mean double, squares double, min double, max double"
         )
-        own = Window.partitionBy("dimension")
+        own = Window.partitionBy("model", "dimension")
         grand = F.sum(F.col("mean") * F.col("n")).over(own) / F.sum("n").over(own)
         parts = parts.withColumn("grand", grand)
         ragged = F.min("size") != F.max("size")
         spread = F.sum(F.col("squares") + F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2))
-        return parts.groupBy("dimension").agg(
+        return parts.groupBy("model", "dimension").agg(
             F.when(ragged, F.raise_error(F.lit("vector sizes differ"))).otherwise(F.sum("n")).cast("long").alias("n"),
             F.min("min").alias("min"),
             F.max("max").alias("max"),
@@ -106,10 +137,10 @@ class _Dimensions(_Scalars):
         if known is None:
             return super().bins_of(ranges, known)
         counted = self.vectors.mapInArrow(
-            kernels.refining_counts(kernels.Ranges(known, "from", "to", "base"), REFINE_BINS),
-            "dimension int, base long, bin int, low double, high double, held long",
+            kernels.refining_counts(kernels.ranges_by_model(known, "from", "to", "base"), REFINE_BINS),
+            "model string, dimension int, base long, bin int, low double, high double, held long",
         )
-        return counted.groupBy("dimension", "base", "bin").agg(
+        return counted.groupBy("model", "dimension", "base", "bin").agg(
             F.min("low").alias("low"), F.max("high").alias("high"), F.sum("held").alias("held")
         )
 
@@ -117,19 +148,18 @@ class _Dimensions(_Scalars):
         if known is None:
             return super().values_in(ranges, known)
         picked = self.vectors.mapInArrow(
-            kernels.values_inside(kernels.Ranges(known, "low", "high", "below")), "dimension int, below long, _v double, copies long"
+            kernels.values_inside(kernels.ranges_by_model(known, "low", "high", "below")),
+            "model string, dimension int, below long, _v double, copies long",
         )
-        return picked.groupBy("dimension", "below", "_v").agg(F.sum("copies").alias("copies"))
+        return picked.groupBy("model", "dimension", "below", "_v").agg(F.sum("copies").alias("copies"))
 
     def bin_counts(self, ends: DataFrame, known: pa.Table | None, bins: int) -> DataFrame:
         if known is None:
             return super().bin_counts(ends, known, bins)
-        known = known.sort_by("dimension")
         counted = self.vectors.mapInArrow(
-            kernels.equal_width_counts(known.column("min").to_numpy(), known.column("max").to_numpy(), bins),
-            "dimension int, bin int, count long",
+            kernels.equal_width_counts(known, bins), "model string, dimension int, bin int, count long"
         )
-        return counted.groupBy("dimension", "bin").agg(F.sum("count").alias("count"))
+        return counted.groupBy("model", "dimension", "bin").agg(F.sum("count").alias("count"))
 
 
 def _unkeyed(df: DataFrame) -> DataFrame:
@@ -155,17 +185,50 @@ def _refining_bin(value: Column, low: Column, high: Column) -> Column:
     return F.when(value >= high, REFINE_BINS - 1).otherwise(F.greatest(inner, F.lit(0))).cast("int")
 
 
-def _placed(groups: DataFrame, positions: Mapping[str, Column]) -> tuple[DataFrame, pa.Table | None]:
+Positions = Mapping[str, tuple[float, Column]]
+
+
+def _sketched(value: Column, shares: Sequence[float]) -> list[Column]:
+    return [F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE)).alias("_sketch")] if shares else []
+
+
+def _bracketed(groups: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """Adds ``_brackets``: ascending ranges of values, apart from one another, that should hold the ranks at the given shares."""
+    if not shares:
+        return groups
+    whole = F.array(F.struct(F.col("min").alias("low"), F.col("max").alias("high")))
+
+    def at(share: float) -> Column:
+        if share <= 0.0 or share >= 1.0:
+            return F.col("min" if share <= 0.0 else "max")
+        return F.kll_sketch_get_quantile_double("_sketch", F.lit(share))
+
+    ends = [F.struct(at(p - BRACKET_SHARE).alias("low"), at(p + BRACKET_SHARE).alias("high")) for p in sorted(set(shares))]
+    # The brackets ascend at both ends, so one that meets the last one kept only moves its upper end.
+    joined = F.expr("""aggregate(slice(_ends, 2, size(_ends)), slice(_ends, 1, 1), (kept, e) -> case
+        when e.low <= element_at(kept, -1).high
+        then concat(slice(kept, 1, size(kept) - 1), array(named_struct('low', element_at(kept, -1).low, 'high', e.high)))
+        else concat(kept, array(e)) end)""")
+    sketched = (F.col("n") > UNBRACKETED_ROWS) & (F.kll_sketch_get_n_double("_sketch") > 0)
+    found = groups.withColumn("_ends", F.when(sketched, F.array(*ends)).otherwise(whole)).withColumn("_brackets", joined)
+    return found.drop("_sketch", "_ends")
+
+
+def _placed(groups: DataFrame, positions: Positions) -> tuple[DataFrame, pa.Table | None]:
     """The group table computed once, with the wanted positions and the ranks next to them as arrays.
 
     Positions count from 1 and are expressions of the group size ``n``; they are clamped to 1..n.
     """
-    clamped = [F.when(at.isNotNull(), F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), at))) for at in positions.values()]
+    clamped = [F.when(at.isNotNull(), F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), at))) for _, at in positions.values()]
     placed = groups.withColumn("_at", F.array(*clamped))
     ends = F.flatten(F.transform(F.array_compact("_at"), lambda at: F.array(F.floor(at), F.ceil(at))))
     return gathered(placed.withColumn("_ranks", F.array_distinct(ends.cast("array<bigint>"))))
 
 
+def _shares(positions: Positions) -> list[float]:
+    return [share for share, _ in positions.values()]
+
+
 def _values_at(
     source: _Scalars, groups: tuple[DataFrame, pa.Table | None], names: Sequence[str], crowded_rows: int
 ) -> DataFrame:
@@ -175,22 +238,12 @@ def _values_at(
     """
     keys, (table, known) = source.keys, groups
     wanted = table.select(*keys, F.explode("_ranks").alias("rank"))
-
-    # Ranges of values that hold a wanted rank, with the count of values below the range and inside it.
-    ranges = table.select(
-        *keys, F.col("min").alias("low"), F.col("max").alias("high"), F.lit(0).cast("long").alias("below"), F.col("n").alias("held")
-    )
-    if known is not None:
-        below = pa.array([0] * known.num_rows, pa.int64())
-        parts = [known.column(c) for c in (*keys, "min", "max")] + [below, known.column("n")]
-        known = pa.table(parts, [*keys, "low", "high", "below", "held"])
-    limit = _split_above(ranges, known, crowded_rows)
-    while limit is not None:
-        ranges, known = gathered(_split(source, ranges, known, wanted, limit))
-        limit = _split_above(ranges, known, crowded_rows)
+    values = _values_in_brackets(source, table, wanted, crowded_rows) if "_brackets" in table.columns else None
+    if values is None:
+        values = _values_by_refinement(source, table, known, wanted, crowded_rows)
 
     running = Window.partitionBy(*keys, "below").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = source.values_in(ranges, known).withColumn("last", F.col("below") + F.sum("copies").over(running))
+    last = values.withColumn("last", F.col("below") + F.sum("copies").over(running))
     is_here = (F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("copies"))
     found = join_groups(last, wanted, keys).filter(is_here)
     by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("at_rank"))
@@ -200,10 +253,58 @@ def _values_at(
         return F.when(lower == upper, lower).otherwise(lower + (at - F.floor(at)) * (upper - lower))
 
     out = join_groups(by_rank, table, keys).withColumn("_found", F.transform("_at", interpolated))
-    kept = [c for c in table.columns if c not in ("_at", "_ranks")]
+    kept = [c for c in table.columns if c not in ("_at", "_ranks", "_brackets")]
     return out.select(*kept, *[F.col("_found")[i].alias(name) for i, name in enumerate(names)])
 
 
+def _values_in_brackets(source: _Scalars, table: DataFrame, wanted: DataFrame, crowded_rows: int) -> DataFrame | None:
+    """``keys..., below, _v, copies`` from one pass over the rows, the counts being exact whatever the sketch said.
+
+    A bracket of more than ``crowded_rows`` distinct values is narrowed further. None when a rank lies outside all
+    brackets: then the sketch was unlucky.
+    """
+    keys = source.keys
+    counted = settled(source.in_brackets(table))
+    parts = counted.groupBy(*keys, "part").agg(F.sum("copies").alias("held"), F.count("_v").alias("distinct"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("below", F.coalesce(F.sum("held").over(before), F.lit(0)).cast("long"))
+    brackets = settled(parts.filter(F.col("part") % 2 == 1))
+    holds_rank = (F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("held"))
+    found = join_groups(brackets, wanted, keys).filter(holds_rank)
+    facts = found.agg(F.count(F.lit(1)).alias("ranks"), F.max("distinct").alias("most")).head()
+    if facts["ranks"] < wanted.count():
+        return None
+    if (facts["most"] or 0) > crowded_rows:
+        ranges = found.select(*keys, "low", "high", "below", "held").distinct()
+        return _refined(source, *gathered(ranges), wanted, crowded_rows)
+    used = brackets.select(*keys, "part", "below")
+    return join_groups(counted.filter(F.col("part") % 2 == 1), used, [*keys, "part"]).select(*keys, "below", "_v", "copies")
+
+
+def _values_by_refinement(
+    source: _Scalars, table: DataFrame, known: pa.Table | None, wanted: DataFrame, crowded_rows: int
+) -> DataFrame:
+    """``keys..., below, _v, copies`` for ranges narrowed from the extremes of each group."""
+    keys = source.keys
+    ranges = table.select(
+        *keys, F.col("min").alias("low"), F.col("max").alias("high"), F.lit(0).cast("long").alias("below"), F.col("n").alias("held")
+    )
+    if known is not None:
+        below = pa.array([0] * known.num_rows, pa.int64())
+        parts = [known.column(c) for c in (*keys, "min", "max")] + [below, known.column("n")]
+        known = pa.table(parts, [*keys, "low", "high", "below", "held"])
+    return _refined(source, ranges, known, wanted, crowded_rows)
+
+
+def _refined(source: _Scalars, ranges: DataFrame, known: pa.Table | None, wanted: DataFrame, crowded_rows: int) -> DataFrame:
+    """The values in ranges (``keys..., low, high, below, held``) that hold a wanted rank, crowded ones split first."""
+    limit = _split_above(ranges, known, crowded_rows)
+    while limit is not None:
+        ranges, known = gathered(_split(source, ranges, known, wanted, limit))
+        limit = _split_above(ranges, known, crowded_rows)
+    return source.values_in(ranges, known)
+
+
 def _split_above(ranges: DataFrame, known: pa.Table | None, crowded_rows: int) -> int | None:
     """The size above which ranges should be split before sorting them, or None when all can be sorted as they are.
 
@@ -250,8 +351,8 @@ def point(percentile: float) -> str:
     return f"p{percentile:g}".replace(".", "_")
 
 
-def _percentile_positions(percentiles: Sequence[float]) -> dict[str, Column]:
-    return {point(p): (F.col("n") + 1) * float(p) / 100.0 for p in percentiles}
+def _percentile_positions(percentiles: Sequence[float]) -> dict[str, tuple[float, Column]]:
+    return {point(p): (p / 100.0, (F.col("n") + 1) * float(p) / 100.0) for p in percentiles}
 
 
 def exact_percentiles(
@@ -263,7 +364,7 @@ def exact_percentiles(
 ) -> DataFrame:
     """Percentiles at position ``p (n + 1) / 100``, linear between ranks, clamped to the extremes: ``group..., n, p2, ...``."""
     source, positions = _Scalars(df, group, value), _percentile_positions(percentiles)
-    out = _values_at(source, _placed(source.sizes(), positions), list(positions), crowded_rows)
+    out = _values_at(source, _placed(source.sizes(_shares(positions)), positions), list(positions), crowded_rows)
     return _unkeyed(out.drop("min", "max"))
 
 
@@ -276,7 +377,8 @@ def summary(
 ) -> DataFrame:
     """``group..., n, max, min, mean, stdev, variance`` and one column per percentile."""
     source, positions = _Scalars(df, group, value), _percentile_positions(percentiles)
-    return _unkeyed(_summary(source, _placed(source.moments(), positions), list(positions), crowded_rows))
+    groups = _placed(source.moments(_shares(positions)), positions)
+    return _unkeyed(_summary(source, groups, list(positions), crowded_rows))
 
 
 def _summary(
@@ -323,7 +425,7 @@ def describe(
 
 def _described(source: _Scalars, bins: int, crowded_rows: int) -> DataFrame:
     positions = _percentile_positions(PERCENTILES)
-    moments = _placed(source.moments(), positions)
+    moments = _placed(source.moments(_shares(positions)), positions)
     counts = histogram_array(_histogram(source, moments, bins), source.keys)
     return join_groups(_summary(source, moments, list(positions), crowded_rows), counts, source.keys)
 
@@ -338,8 +440,8 @@ def quartiles_exclusive(
     source, n = _Scalars(df, group, value), F.col("n")
     half = F.floor(n / 2)
     inner = F.when(half > 0, (half + 1) / 2)
-    positions = {"q1": inner, "median": (n + 1) / 2, "q3": n - half + inner}
-    out = _values_at(source, _placed(source.sizes(), positions), list(positions), crowded_rows)
+    positions = {"q1": (0.25, inner), "median": (0.5, (n + 1) / 2), "q3": (0.75, n - half + inner)}
+    out = _values_at(source, _placed(source.sizes(_shares(positions)), positions), list(positions), crowded_rows)
     return _unkeyed(out.drop("min", "max"))
 
 
@@ -357,9 +459,13 @@ def dimension_values(df: DataFrame) -> DataFrame:
     return df.select(F.posexplode("vector").alias("dimension", "value"))
 
 
+def _one_model(df: DataFrame) -> DataFrame:
+    return df.select(F.lit("").alias("model"), "vector")
+
+
 def dimension_stats(df: DataFrame, bins: int = 20, crowded_rows: int = CROWDED_ROWS) -> DataFrame:
     """Statistics and histogram of each vector dimension: ``dimension, n, max, ..., histogram``."""
-    return _described(_Dimensions(df), bins, crowded_rows)
+    return _described(_Dimensions(_one_model(df)), bins, crowded_rows).drop("model")
 
 
 def norm_stats(df: DataFrame, bins: int = 20) -> DataFrame:
@@ -370,16 +476,19 @@ def norm_stats(df: DataFrame, bins: int = 20) -> DataFrame:
 def analyze(models: Mapping[str, DataFrame], bins: int = 20) -> DataFrame:
     """Shape, dimension and length statistics of several models as one table.
 
-    One row per model and dimension, and one per model with dimension NULL for the lengths.
+    One row per model and dimension, and one per model with dimension NULL for the lengths. The models share every pass,
+    their rows told apart by name, so the number of jobs does not grow with them.
     """
-    parts = []
-    for name, df in models.items():
-        lengths = norm_stats(df, bins).withColumn("dimension", F.lit(None).cast("int"))
-        rows = dimension_stats(df, bins).unionByName(lengths)
-        shape = model_shape(df).head()
-        facts = [F.lit(name).alias("model"), F.lit(shape["words"]).cast("long").alias("words"), F.lit(shape["dimensionality"]).alias("dimensionality")]
-        parts.append(rows.select(*facts, "*"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("model"), "vector") for name, df in models.items()])
+    # Sizes and lengths come from one pass; the lengths are stored as a narrow table.
+    narrow = settled(rows.select("model", vec_norm("vector").alias("length"), F.size("vector").alias("size")))
+    low, high = F.min("size"), F.max("size")
+    size = F.when(low != high, F.raise_error(F.lit("vector sizes differ"))).otherwise(low).cast("int")
+    shapes = narrow.groupBy("model").agg(F.count(F.lit(1)).alias("words"), size.alias("dimensionality"))
+    lengths = describe(narrow, ["model"], "length", bins).withColumn("dimension", F.lit(None).cast("int"))
+    found = _described(_Dimensions(rows), bins, CROWDED_ROWS).unionByName(lengths)
+    described = [c for c in found.columns if c not in ("model", "dimension")]
+    return found.join(F.broadcast(shapes), "model").select("model", "words", "dimensionality", "dimension", *described)
 
 
 OUTLIER_RULES = ("full", "p2_p98", "median_iqr")

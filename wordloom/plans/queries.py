@@ -163,7 +163,7 @@ def nearest_many_batch(spark, d):
 
 
 # Copies of less than this go to the tasks in the queries that show what happens when neither side is small.
-SMALL_BYTES = 64 * 1024
+SMALL_BYTES = 256 * 1024
 
 
 def nearest_in_cells(spark, d):
