@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -96,6 +98,44 @@ def test_train(spark, words, vectors):
             clustering.train(words, 4, 1, **wrong)
 
 
+def lloyd(vectors, centres, steps):
+    for _ in range(steps):
+        own = distances(vectors, centres).argmin(axis=1)
+        centres = np.array([vectors[own == c].mean(axis=0) if (own == c).any() else centre for c, centre in enumerate(centres)])
+    return centres, distances(vectors, centres).min(axis=1).sum()
+
+
+def test_runs_side_by_side_are_the_runs_one_by_one(spark, words, vectors):
+    order = sorted(range(len(vectors)), key=lambda i: (hashlib.md5(f"5:{i}".encode()).hexdigest(), i))
+    starts = vectors[order[:12]].reshape(3, 4, -1)
+    assert np.allclose(clustering.random_starts(words.repartition(5), 4, 3, seed=5), starts)
+    want = [lloyd(vectors, start, 3) for start in starts]
+    centres, costs = clustering.train_runs(words, starts, 3, tolerance=0.0)
+    assert np.allclose(centres, [c for c, _ in want]) and np.allclose(costs, [cost for _, cost in want])
+    # One at a time, or as a table too large to copy, they give the same.
+    for room in (starts[0].nbytes, 50):
+        trained = clustering.kmeans_train(words, 4, 3, runs=3, seed=5, tolerance=0.0, broadcast_bytes=room)
+        assert np.allclose(matrix_of(trained), min(want, key=lambda w: w[1])[0])
+
+
+def test_passes_do_not_grow_with_the_runs(spark, words):
+    read = {}
+    for runs in (1, 4):
+        rows = spark.sparkContext.accumulator(0)
+
+        def count(batches, rows=rows):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        counted = words.mapInArrow(count, words.schema)
+        starts = clustering.random_starts(words, 3, runs)
+        clustering.train_runs(counted, starts, 3, tolerance=0.0)
+        read[runs] = rows.value
+    # The rows are kept after the first pass, whatever the number of runs.
+    assert read[1] == read[4] == 300
+
+
 def test_more_clusters_than_distinct_vectors(spark):
     df = spark.createDataFrame([(i, f"w{i}", [float(i % 2)]) for i in range(10)], "index long, word string, vector array<double>")
     trained = clustering.kmeans_train(df, k=5, iterations=3)

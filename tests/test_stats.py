@@ -160,7 +160,7 @@ def test_at_most_two_passes_over_the_rows(spark):
             yield batch
 
     counted = rows.mapInArrow(count, rows.schema)
-    found = {r["g"]: r for r in stats.summary(counted, ["g"], "v").collect()}
+    found = {r["g"]: r for r in stats.summary(counted, ["g"], "v", crowded_rows=10_000).collect()}
     assert read.value <= 2 * 60_000
     for g in range(3):
         values = sorted(float(i * 7919 % 60_013) for i in range(60_000) if i % 3 == g)
@@ -170,8 +170,9 @@ def test_at_most_two_passes_over_the_rows(spark):
 def test_ranks_outside_their_brackets_are_found_all_the_same(spark, monkeypatch):
     rows = spark.range(30_000).select((F.col("id") * 7919 % 30_011).cast("double").alias("v"))
     want = stats.exact_percentiles(rows, [], "v").head()
+    assert stats.exact_percentiles(rows, [], "v", crowded_rows=10_000).head() == want
     monkeypatch.setattr(stats, "BRACKET_SHARE", -0.02)
-    assert stats.exact_percentiles(rows, [], "v").head() == want
+    assert stats.exact_percentiles(rows, [], "v", crowded_rows=10_000).head() == want
     values = sorted(float(i * 7919 % 30_011) for i in range(30_000))
     assert want["p50"] == (values[14_999] + values[15_000]) / 2
 

@@ -6,8 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -222,20 +220,135 @@ def _partial_sums(df: DataFrame, held: tuple[np.ndarray, np.ndarray]) -> DataFra
     return df.select("vector").mapInArrow(total, SUMS)
 
 
-def kmeans_train(df: DataFrame, k: int, iterations: int, runs: int = 1, seed: int = 0) -> DataFrame:
-    """Train from random rows; of ``runs`` starts the one with the lowest cost wins."""
-    if runs < 1:
-        raise ValueError("runs must be at least 1")
-    points = df.select(array_to_vector("vector").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+def random_starts(df: DataFrame, k: int, runs: int, seed: int = 0) -> np.ndarray:
+    """``runs`` x ``k`` x dimensions start centres: the rows in order of the md5 of seed and index, dealt out in turn.
+
+    The order depends on the ids alone, so every rerun and every partitioning starts alike. Rows that hold an element
+    that is no finite number are no starts; when there are fewer than ``runs * k`` rows, later runs begin again.
+    """
+    number = ~F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("index").cast("string")))
+    # Only ids are sorted; the chosen rows are then read with their vectors.
+    ids = df.filter(number).select("index", order.alias("order")).orderBy("order", "index").limit(runs * k)
+    chosen = df.filter(number).join(F.broadcast(ids), "index").orderBy("order", "index").limit(runs * k).select("vector").toArrow()
+    starts = matrix(chosen.column("vector")) if chosen.num_rows else np.zeros((0, 0))
+    if not len(starts):
+        return np.zeros((runs, 0, 0))
+    held = min(k, len(starts))
+    return starts[np.arange(runs * held) % len(starts)].reshape(runs, held, -1)
+
+
+def _run_sums(points: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Members and sums of vectors of every cluster of every run from one pass, cluster c of run r being r * k + c."""
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, k, dimensions = shared.value.shape
+        sums, members = np.zeros((runs * k, dimensions)), np.zeros(runs * k, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors, odd = _finite(matrix(batch.column("vector"), dimensions))
+            vectors = vectors[~odd]
+            if not len(vectors):
+                continue
+            for run, own in enumerate(shared.value):
+                position = nearest_centre(vectors, own)[0] + run * k
+                order = np.argsort(position, kind="stable")
+                present, starts = np.unique(position[order], return_index=True)
+                sums[present] += np.add.reduceat(vectors[order], starts, axis=0)
+                members += np.bincount(position, minlength=len(members))
+        used = np.flatnonzero(members)
+        if len(used):
+            yield _sum_rows(used.astype(np.int32), members[used], sums[used])
+
+    return points.mapInArrow(total, SUMS)
+
+
+def _run_costs(points: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Sum of squared distances to the nearest centre of every run, from one pass."""
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costs = np.zeros(len(shared.value))
+        for batch in batches:
+            if batch.num_rows:
+                vectors, odd = _finite(matrix(batch.column("vector"), shared.value.shape[2]))
+                vectors = vectors[~odd]
+                costs += [nearest_centre(vectors, own)[1].sum() if len(vectors) else 0.0 for own in shared.value]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(costs)), pa.int32()), pa.array(costs)], ["run", "cost"])
+
+    summed = points.mapInArrow(total, "run int, cost double").groupBy("run").agg(F.sum("cost").alias("cost")).collect()
+    return np.array([r["cost"] for r in sorted(summed)])
+
+
+def train_runs(
+    df: DataFrame, starts: np.ndarray, iterations: int, tolerance: float = 1e-4, broadcast_bytes: int = BROADCAST_BYTES
+) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd steps for several runs side by side: the centres of every run and its cost.
+
+    Each step is one pass over the rows for all runs, as long as the runs' centres fit in ``broadcast_bytes``; otherwise
+    as many runs as fit go together. A run none of whose centres moved by more than ``tolerance`` stands still and is left out
+    of later steps.
+    """
+    together = max(1, broadcast_bytes // max(1, starts[0].nbytes))
+    if len(starts) > together:
+        parts = [train_runs(df, starts[i : i + together], iterations, tolerance, broadcast_bytes) for i in range(0, len(starts), together)]
+        return np.concatenate([c for c, _ in parts]), np.concatenate([cost for _, cost in parts])
+    points, centres = df.select("vector").persist(StorageLevel.MEMORY_AND_DISK), starts.copy()
+    k, moving = centres.shape[1], np.arange(len(centres))
     try:
-        trained = [
-            KMeans(k=k, maxIter=iterations, initMode="random", seed=seed + run).fit(points) for run in range(runs)
-        ]
+        for _ in range(iterations):
+            if not len(moving):
+                break
+            means = _means(_run_sums(points, centres[moving])).toArrow()
+            moved = centres[moving].reshape(len(moving) * k, -1)
+            if means.num_rows:
+                moved[means.column("cluster").to_numpy()] = matrix(means.column("mean"), moved.shape[1])
+            moved = moved.reshape(len(moving), k, -1)
+            shifts = np.sqrt(((moved - centres[moving]) ** 2).sum(axis=2)).max(axis=1)
+            centres[moving] = moved
+            moving = moving[shifts > tolerance]
+        return centres, _run_costs(points, centres)
     finally:
         points.unpersist()
-    best = min(trained, key=lambda model: model.summary.trainingCost)
-    rows = [(i, [float(x) for x in center]) for i, center in enumerate(best.clusterCenters())]
-    return df.sparkSession.createDataFrame(rows, CENTROIDS)
+
+
+def kmeans_train(
+    df: DataFrame, k: int, iterations: int, runs: int = 1, seed: int = 0, tolerance: float = 1e-4, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Train from random rows; of ``runs`` starts the one with the lowest cost wins, the first among equals.
+
+    The number of passes over the rows does not grow with ``runs`` while their centres fit in ``broadcast_bytes`` together.
+    When not even one run's centres fit, they stay a table and the runs follow one another.
+    """
+    if runs < 1:
+        raise ValueError("runs must be at least 1")
+    if 8 * k * max(1, vector_size(df)) > broadcast_bytes:
+        return _train_by_blocks(df, k, iterations, runs, seed, tolerance)
+    starts = random_starts(df, k, runs, seed)
+    if not starts.shape[1]:
+        return df.sparkSession.createDataFrame([], CENTROIDS)
+    centres, costs = train_runs(df, starts, iterations, tolerance, broadcast_bytes)
+    best = centres[int(costs.argmin())]
+    return _centroid_table(df.sparkSession, (np.arange(len(best)), best))
+
+
+def _train_by_blocks(df: DataFrame, k: int, iterations: int, runs: int, seed: int, tolerance: float) -> DataFrame:
+    number = ~F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("index").cast("string")))
+    one = F.lit(1).cast("long").alias("one")
+    placed = running_totals(df.filter(number).select("index", order.alias("order"), one), [], ["order", "index"], "one", "place")
+    chosen = placed.filter(F.col("place") < k * runs).select("index", "place")
+    starts = settled(df.join(chosen, "index").select("place", F.col("vector").alias("center")))
+    best = None
+    for run in range(runs):
+        own = starts.filter(F.floor(F.col("place") / k) == run).select((F.col("place") % k).cast("int").alias("cluster"), "center")
+        trained = _warm_start_by_blocks(df, own, iterations, tolerance)
+        cost = wsse(df, trained).head()["wsse"]
+        if cost is not None and (best is None or cost < best[0]):
+            best = cost, trained
+    return best[1] if best is not None else df.sparkSession.createDataFrame([], CENTROIDS)
 
 
 def kmeans_warm_start(df: DataFrame, centroids: DataFrame, iterations: int, tolerance: float = 1e-4) -> DataFrame:

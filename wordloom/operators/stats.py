@@ -71,13 +71,15 @@ class _Scalars:
         )
         return _bracketed(found, shares)
 
-    def in_brackets(self, groups: DataFrame) -> DataFrame:
+    def in_brackets(self, groups: DataFrame, most: int) -> DataFrame:
         """``keys..., part, _v, copies``: values inside the brackets one by one, those elsewhere as one count per gap.
 
         The parts of a group ascend: part 0 lies below the first bracket, 1 is that bracket, 2 lies above it, and so on.
+        A group has at most ``most`` brackets.
         """
         placed = join_groups(self.rows, groups.select(*self.keys, "_brackets"), self.keys)
-        begun = F.size(F.filter("_brackets", lambda b: b["low"] <= F.col("_v")))
+        reached = [F.coalesce((F.get("_brackets", F.lit(i))["low"] <= F.col("_v")).cast("int"), F.lit(0)) for i in range(most)]
+        begun = reduce(lambda a, b: a + b, reached)
         inside = F.coalesce(F.col("_v") <= F.get("_brackets", begun - 1)["high"], F.lit(False))
         part = (2 * begun - inside.cast("int")).alias("part")
         value = F.when(inside, F.col("_v")).alias("_v")
@@ -238,7 +240,11 @@ def _values_at(
     """
     keys, (table, known) = source.keys, groups
     wanted = table.select(*keys, F.explode("_ranks").alias("rank"))
-    values = _values_in_brackets(source, table, wanted, crowded_rows) if "_brackets" in table.columns else None
+    values = None
+    # So few values are sorted sooner than counted; the rows are the same either way.
+    few = known is not None and (pc.sum(known.column("n")).as_py() or 0) <= min(crowded_rows, SORT_ROWS)
+    if "_brackets" in table.columns and not few:
+        values = _values_in_brackets(source, table, known, wanted, len(names), crowded_rows)
     if values is None:
         values = _values_by_refinement(source, table, known, wanted, crowded_rows)
 
@@ -257,25 +263,40 @@ def _values_at(
     return out.select(*kept, *[F.col("_found")[i].alias(name) for i, name in enumerate(names)])
 
 
-def _values_in_brackets(source: _Scalars, table: DataFrame, wanted: DataFrame, crowded_rows: int) -> DataFrame | None:
+def _values_in_brackets(
+    source: _Scalars, table: DataFrame, known: pa.Table | None, wanted: DataFrame, most: int, crowded_rows: int
+) -> DataFrame | None:
     """``keys..., below, _v, copies`` from one pass over the rows, the counts being exact whatever the sketch said.
 
     A bracket of more than ``crowded_rows`` distinct values is narrowed further. None when a rank lies outside all
     brackets: then the sketch was unlucky.
     """
     keys = source.keys
-    counted = settled(source.in_brackets(table))
-    parts = counted.groupBy(*keys, "part").agg(F.sum("copies").alias("held"), F.count("_v").alias("distinct"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    counted = settled(source.in_brackets(table, most))
+    parts = counted.groupBy(*keys, "part").agg(
+        F.sum("copies").alias("held"), F.count("_v").alias("distinct"), F.min("_v").alias("low"), F.max("_v").alias("high")
+    )
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("below", F.coalesce(F.sum("held").over(before), F.lit(0)).cast("long"))
-    brackets = settled(parts.filter(F.col("part") % 2 == 1))
+    below = F.coalesce(F.sum("held").over(before), F.lit(0)).cast("long")
+    brackets = parts.withColumn("below", below).filter(F.col("part") % 2 == 1)
+    if known is not None:
+        # The groups are few enough to copy, and each has a few brackets.
+        rows = brackets.toArrow()
+        brackets = F.broadcast(table.sparkSession.createDataFrame(rows, brackets.schema))
+        found = known.select([*keys, "_ranks"]).to_pandas().explode("_ranks").merge(rows.to_pandas(), on=keys, how="left")
+        inside = (found["_ranks"] > found["below"]) & (found["_ranks"] <= found["below"] + found["held"])
+        missed = int(pc.sum(pc.list_value_length(known.column("_ranks"))).as_py() or 0) - int(inside.sum())
+        largest = found["distinct"].where(inside).max()
     holds_rank = (F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("held"))
-    found = join_groups(brackets, wanted, keys).filter(holds_rank)
-    facts = found.agg(F.count(F.lit(1)).alias("ranks"), F.max("distinct").alias("most")).head()
-    if facts["ranks"] < wanted.count():
+    if known is None:
+        brackets = settled(brackets)
+        inside = join_groups(wanted, brackets, keys).filter(holds_rank)
+        facts = inside.agg(F.count(F.lit(1)).alias("ranks"), F.max("distinct").alias("most")).head()
+        missed, largest = wanted.count() - facts["ranks"], facts["most"] or 0
+    if missed:
         return None
-    if (facts["most"] or 0) > crowded_rows:
-        ranges = found.select(*keys, "low", "high", "below", "held").distinct()
+    if largest > crowded_rows:
+        ranges = join_groups(wanted, brackets, keys).filter(holds_rank).select(*keys, "low", "high", "below", "held").distinct()
         return _refined(source, *gathered(ranges), wanted, crowded_rows)
     used = brackets.select(*keys, "part", "below")
     return join_groups(counted.filter(F.col("part") % 2 == 1), used, [*keys, "part"]).select(*keys, "below", "_v", "copies")

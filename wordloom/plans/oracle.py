@@ -197,6 +197,19 @@ def lloyd(source: str, before: str, after: str) -> str:
   GROUP BY cluster) m ON m.cluster = b.cluster)"""
 
 
+def trained(source: str, k: int, iterations: int, runs: int, seed: int) -> list[str]:
+    """``centroids``: Lloyd steps from ``runs`` starts, of which the cheapest is kept. Starts go by the md5 of seed and index."""
+    parts = [f"starts AS (SELECT vector, row_number() OVER (ORDER BY md5('{seed}:' || index::VARCHAR), index) - 1 AS place FROM {source})"]
+    for run in range(runs):
+        parts.append(f"r{run}c0 AS (SELECT (place % {k})::INTEGER AS cluster, vector AS center FROM starts WHERE place // {k} = {run})")
+        parts += [lloyd(source, f"r{run}c{i}", f"r{run}c{i + 1}") for i in range(iterations)]
+        parts.append(assigned(source, f"r{run}c{iterations}", f"r{run}_last"))
+    costs = " UNION ALL ".join(f"SELECT {run} AS run, sum(sq) AS cost FROM r{run}_last" for run in range(runs))
+    every = " UNION ALL ".join(f"SELECT {run} AS run, * FROM r{run}c{iterations}" for run in range(runs))
+    best = f"SELECT run FROM ({costs}) ORDER BY cost, run LIMIT 1"
+    return [*parts, f"centroids AS (SELECT cluster, center FROM ({every}) WHERE run = ({best}))"]
+
+
 MODELS = """models AS (SELECT 'stretched' AS model, * FROM stretched UNION ALL SELECT 'stretched-normalized', * FROM units)"""
 TWO_MODELS = [WORDS, STRETCHED, unit("stretched"), MODELS]
 METRICS = {"euclidean": "euclidean", "cosine": "cosine"}
@@ -468,6 +481,14 @@ ORACLE: dict[str, str] = {
         "states AS (SELECT CAST(4 AS INTEGER) AS iteration, * FROM c2 UNION ALL SELECT 6, * FROM c4)",
         center_elements("states", "iteration"),
     ),
+    "kmeans_train": with_(
+        WORDS,
+        *trained("words", 10, 5, 2, 42),
+        assigned("words"),
+        f"""SELECT 10::INTEGER AS k, 5::INTEGER AS iterations, 2::INTEGER AS runs, {r6('sum(sq)', 'wsse')},
+  {r6('avg(sqrt(sq))', 'mean_distance_to_centroid')}, {r6('avg(1 - ' + cosine('vector', 'center') + ')', 'mean_cosine_distance')} FROM assigned""",
+    ),
+    "kmeans_trained_centers": with_(WORDS, *trained("words", 7, 4, 3, 1), center_elements("centroids")),
     "cluster_members": with_(
         WORDS,
         CENTROIDS,

@@ -374,8 +374,13 @@ def kmeans_in_steps(spark, d):
 
 
 def kmeans_train(spark, d):
-    trained = clustering.kmeans_train(inputs.words(spark, d), k=10, iterations=5, runs=2, seed=42)
-    return clustering.cluster_quality(inputs.words(spark, d), trained, iterations=5, runs=2)
+    trained = clustering.kmeans_train(inputs.words(spark, d), k=10, iterations=5, runs=2, seed=42, tolerance=0.0)
+    found = clustering.cluster_quality(inputs.words(spark, d), trained, iterations=5, runs=2)
+    return found.select("k", "iterations", "runs", *rounded("wsse", "mean_distance_to_centroid", "mean_cosine_distance"))
+
+
+def kmeans_trained_centers(spark, d):
+    return _center_elements(clustering.kmeans_train(inputs.words(spark, d), k=7, iterations=4, runs=3, seed=1, tolerance=0.0))
 
 
 def cluster_members(spark, d):
@@ -537,6 +542,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         kmeans_warm_start,
         kmeans_in_steps,
         kmeans_train,
+        kmeans_trained_centers,
         cluster_members,
         cluster_lines,
         text_vectors,
