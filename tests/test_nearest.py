@@ -205,5 +205,7 @@ def test_many_places_are_counted_in_the_size_check():
 def test_top_n_beyond_the_limit_of_the_group_plan(spark):
     df = spark.range(30_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     top = topn.top_n_per_group(df, ["g"], [F.desc("v")], 1500)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Partial") == 2  # each partition gives its best only, to the parts and to their meeting
     rows = top.collect()
     assert len(rows) == 3000 and all(r["rank"] == (29_999 - r["v"]) // 2 + 1 for r in rows)

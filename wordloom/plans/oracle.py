@@ -325,6 +325,7 @@ ORACLE: dict[str, str] = {
     ),
     "nearest_cosine": nearest_to_word(cosine("w.vector", "q.vector"), "DESC"),
     "nearest_euclidean": nearest_to_word("list_distance(w.vector, q.vector)", "ASC"),
+    "nearest_by_city_blocks": nearest_to_word("list_sum(list_transform(range(1, len(w.vector) + 1), lambda i: abs(w.vector[i] - q.vector[i])))", "ASC"),
     "nearest_one_batch": nearest_batch(1),
     "nearest_many_batch": nearest_batch(5),
     "nearest_in_cells": nearest_batch(5),
@@ -340,6 +341,9 @@ ORACLE: dict[str, str] = {
     "top_lines_per_flag": """SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank
   FROM lineitem) WHERE rank <= 10""",
+    "top_lines_of_many": """SELECT l_linestatus, l_orderkey, l_linenumber, l_extendedprice, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank
+  FROM lineitem) WHERE rank <= 5000""",
     "best_event_per_type": """SELECT event_type, event_id, value, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank = 1""",
     "model_shape": "SELECT count(*) AS words, CAST(max(len(embedding)) AS INTEGER) AS dimensionality FROM embeddings",
@@ -421,6 +425,17 @@ ORACLE: dict[str, str] = {
         results("answers"),
         ANSWERS,
     ),
+    "evaluation_misses": with_(
+        *evaluated(),
+        """answers AS (SELECT m.model, p.*, k.metric, coalesce(s.word, '') AS word, coalesce(s.score, 0) AS score,
+  coalesce(lower(s.word) = lower(p.d), false) AS correct
+  FROM problems p CROSS JOIN (SELECT DISTINCT model FROM models) m CROSS JOIN (VALUES ('euclidean'), ('cosine')) k(metric)
+  LEFT JOIN nearest s ON s.qid = p.problem_id AND s.metric = k.metric AND s.model = m.model)""",
+        f"""SELECT e.model, e.category, e.problem_id, e.a, e.b, e.c, e.d, e.word AS euclidean_word, {r6('e.score', 'euclidean_score')},
+  e.correct AS euclidean_correct, f.word AS cosine_word, {r6('f.score', 'cosine_score')}, f.correct AS cosine_correct
+  FROM answers e JOIN answers f ON f.model = e.model AND f.problem_id = e.problem_id
+  WHERE e.metric = 'euclidean' AND f.metric = 'cosine' AND NOT (e.correct AND f.correct)""",
+    ),
     "evaluate_models": with_(
         *evaluated(),
         f"SELECT model, category, metric, side, test_count, n, {rounded('accuracy', *NUMBERS)} FROM {performance('results', 'model', 'category')}",
@@ -533,6 +548,23 @@ ORACLE: dict[str, str] = {
         dimensions("models", "model"),
         f"""SELECT model, words, dimensionality, dimension, {r6('mean', 'mean')}, {r6('p50', 'median')} FROM {described('vals', 'model', 'dimension')} JOIN (
   SELECT model, count(*) AS words, CAST(max(len(vector)) AS BIGINT) AS dimensionality FROM models GROUP BY model) USING (model)""",
+    ),
+    "reported_numbers": with_(
+        *TWO_MODELS,
+        dimensions("models", "model"),
+        f"norms AS (SELECT model, {norm('vector')} AS v FROM models)",
+        f"""SELECT model, dimension::INTEGER AS dimension, {rounded(*NUMBERS)} FROM (
+  SELECT model, dimension, {', '.join(NUMBERS)} FROM {described('vals', 'model', 'dimension')}
+  UNION ALL SELECT model, -1, {', '.join(NUMBERS)} FROM {described('norms', 'model')})""",
+    ),
+    "reported_histograms": with_(
+        WORDS,
+        STRETCHED,
+        "models AS (SELECT 'stored' AS model, * FROM words UNION ALL SELECT 'stretched', * FROM stretched)",
+        dimensions("models", "model"),
+        f"norms AS (SELECT model, {norm('vector')} AS v FROM models)",
+        f"""SELECT model, dimension::INTEGER AS dimension, bin, count FROM {histogram('vals', 20, 'model', 'dimension')}
+UNION ALL SELECT model, -1, bin, count FROM {histogram('norms', 20, 'model')}""",
     ),
     "evaluation_report": with_(
         WORDS,

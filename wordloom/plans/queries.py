@@ -148,6 +148,15 @@ def nearest_euclidean(spark, d):
     return _nearest_to_word(spark, d, "euclidean")
 
 
+def nearest_by_city_blocks(spark, d):
+    """A score of one's own: the sum of the absolute differences."""
+    df = inputs.stretched_words(spark, d)
+    query = F.array(*[F.lit(x) for x in lookup.find_word(df, "w7").head()["vector"]])
+    apart = F.zip_with("vector", query, lambda x, y: F.abs(x - y))
+    score = F.aggregate(apart, F.lit(0.0), lambda total, x: total + x)
+    return nearest.find_nearest_by(df, score, 10, lower_is_better=True).select("index", "word", r6("score"))
+
+
 def _nearest_batch(spark, d, n):
     df = inputs.stretched_words(spark, d)
     found = nearest.find_nearest_multi(df, inputs.neighbour_sums(df), n, ["euclidean", "cosine"])
@@ -186,6 +195,13 @@ def top_lines_per_flag(spark, d):
     return topn.top_n_per_group(lines, ["l_returnflag"], order, 10)
 
 
+def top_lines_of_many(spark, d):
+    """More rows per group than Spark limits partitions to by itself."""
+    lines = inputs.table(spark, d, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]
+    return topn.top_n_per_group(lines, ["l_linestatus"], order, 5000)
+
+
 def best_event_per_type(spark, d):
     events = inputs.table(spark, d, "events").select("event_type", "event_id", "value")
     return topn.top_n_per_group(events, ["event_type"], [F.desc("value"), F.asc("event_id")], 1)
@@ -463,6 +479,35 @@ def statistics_report(spark, d):
     )
 
 
+def _reported(spark, models):
+    """Every model's statistics as stored in a report, one row per dimension and one for the lengths."""
+    path = scratch(spark, "report")
+    tables.write_report(tables.statistics_report(stats.analyze(models)), path)
+    stored = spark.read.json(path)
+    every = F.concat("dimension_stats", F.array("norm_stats"))
+    rows = stored.select("model", F.size("dimension_stats").alias("held"), F.posexplode(every).alias("at", "s"))
+    return rows.withColumn("dimension", F.when(F.col("at") < F.col("held"), F.col("at")).otherwise(-1))
+
+
+def reported_numbers(spark, d):
+    points = [r6(F.col("s.percentiles")[str(p)], f"p{p}") for p in stats.PERCENTILES]
+    numbers = [r6(f"s.{name}", name) for name in ("max", "min", "mean", "stdev", "variance")]
+    return _reported(spark, _models(spark, d)).select("model", "dimension", *numbers, *points)
+
+
+def reported_histograms(spark, d):
+    # The lengths of unit vectors differ by rounding alone, so their bins say nothing; two models of other lengths are shown.
+    models = {"stored": inputs.words(spark, d), "stretched": inputs.stretched_words(spark, d)}
+    return _reported(spark, models).select("model", "dimension", F.posexplode("s.histogram").alias("bin", "count"))
+
+
+def evaluation_misses(spark, d):
+    """The problems that either metric answered wrongly, for every model."""
+    _, misses = analogy.evaluate(_models(spark, d), inputs.problems(spark, d), normalized=True)
+    answers = ["euclidean_word", r6("euclidean_score"), "euclidean_correct", "cosine_word", r6("cosine_score"), "cosine_correct"]
+    return misses.select("model", "category", "problem_id", "a", "b", "c", "d", *answers)
+
+
 def evaluation_report(spark, d):
     path = scratch(spark, "report")
     performance, _ = analogy.evaluate({"stretched": inputs.stretched_words(spark, d)}, inputs.problems(spark, d))
@@ -506,11 +551,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_substring_case_sensitive,
         nearest_cosine,
         nearest_euclidean,
+        nearest_by_city_blocks,
         nearest_one_batch,
         nearest_many_batch,
         nearest_in_cells,
         nearest_batch_of_unit_vectors,
         top_lines_per_flag,
+        top_lines_of_many,
         best_event_per_type,
         model_shape,
         price_summary,
@@ -532,6 +579,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         solve_analogies_normalized,
         solve_analogies_without_inputs,
         evaluate_models,
+        evaluation_misses,
         analogy_score_histograms,
         incorrect_analogies,
         assign_clusters,
@@ -552,6 +600,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_lines,
         analogy_files,
         statistics_report,
+        reported_numbers,
+        reported_histograms,
         evaluation_report,
         stored_centroids,
     )
