@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.bounds import settled
-from wordloom.llm.common import WORD, whole_text, word_count
+from wordloom.llm.common import WORD, columns_aside, whole_text, word_count
 from wordloom.prefix import running_totals
 
 WEIGHTS = (5, 2, 1)
@@ -77,13 +77,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+@columns_aside
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row per epoch, the last one cut after its last taken word.
 
     The texts are not moved: a source's cut is one place in its order, so each document compares itself with that
     place. Documents of which nothing is taken are left out; ``n_chars``, where there is one, follows a cut. When
     the cut falls among m rows equal in id and text, each of them gives an equal part, rounded down, so up to m - 1
-    words of the target are left. A cut text is its first words joined by single spaces.
+    words of the target are left. A cut text is its first words joined by single spaces. Absent and wordless texts are never
+    taken; columns of any name pass through; an empty table gives no rows.
     """
     placed = _placed(docs, weights, max_epochs, seed)
     cut_here = (F.col("part") > 0) & (F.col("part") + F.col("before") == F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))

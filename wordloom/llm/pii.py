@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.bounds import settled, small_or_settled
-from wordloom.llm.common import whole_text
+from wordloom.llm.common import columns_aside, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -178,7 +178,8 @@ def find_personal(docs: DataFrame, support: int = SUPPORT, disclosed: float = DI
     pass, spans), and are not shuffled as long as what is joined to them fits a broadcast.
 
     An absent or empty text has no spans; equal texts have equal spans; repeated rows are kept; an empty table gives
-    no rows; columns of any name pass through, but for ``_b``, ``_spans``, ``_h`` and ``_p_text``, which are made here.
+    no rows; columns of any name pass through, but for ``_b``, ``_spans``, ``_h``,
+    ``_p_text``, ``_t``, ``_names`` and ``term``, which are made here.
     """
     rows = docs.withColumn("_p_text", whole_text()).withColumn("_b", base_spans(F.col("_p_text"))).withColumn("_h", F.xxhash64("_p_text"))
     terms = disclosing_terms(docs, settled(_held(rows)), support, disclosed)
@@ -197,11 +198,13 @@ def count_kind(column: str, kind: str) -> Column:
     return F.expr(f"cast(size(filter({column}, x -> x.k = {KINDS.index(kind)})) as bigint)")
 
 
+@columns_aside
 def sanitized(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """The documents with found values generalised to their kind in brackets and revealing terms removed.
 
     Overlapping spans are replaced as one, under the kind of the first. ``n_chars``, where there is one, follows a
-    changed text; other texts stay as they are, absent ones absent.
+    changed text; other texts stay as they are, absent ones absent. Columns of any name pass through, equal texts change
+    alike, and an empty table gives no rows.
     """
     found = find_personal(docs, support, disclosed)
     signs = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ", '')"

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import WORD
+from wordloom.llm.common import WORD, columns_aside
 
 # Rows of the sample on which costs and rejections are estimated. It decides the order of the rules, never a verdict.
 SAMPLE_ROWS = 256
@@ -116,6 +116,7 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.select("doc_id", *[m for m in MEASURES if m != "n_lines"], (~base).alias("base_failed"), verdict.alias("kept"))
 
 
+@columns_aside
 def good_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with their columns; absent texts are rejected.
 

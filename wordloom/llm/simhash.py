@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.bounds import settled
+from wordloom.llm.common import columns_aside
 from wordloom.llm.components import components
 
 SHINGLE = 4
@@ -275,11 +276,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marked.join(named, F.col("fingerprint") == F.col("_print")).drop("_print")
 
 
+@columns_aside
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """One document of each component with the columns of ``docs``: the one with the smallest doc_id.
 
     Among rows of that id the smallest hash of the whole row stays, of equal rows one. A component without ids keeps
-    its row of smallest hash.
+    its row of smallest hash. Columns of any name pass through. An empty table gives no rows.
     """
     whole = F.xxhash64(*docs.columns)
     rows = near_duplicates(docs, shingle, radius, block, {"_row": whole})
