@@ -187,11 +187,12 @@ def search(table: DataFrame, queries: DataFrame, n: int, metrics: list[str], sch
     pivots = _pivots(table, size["n"], dimensions, unit, block_bytes)
     dealt = settled(_dealt(table, pivots, unit))
     cells = _described(dealt, pivots)
-    shared = spark.sparkContext.broadcast(cells)
+    # Plain arrays, so that the workers need not have this package.
+    shared = spark.sparkContext.broadcast((pivots, cells.held, cells.least, cells.most, cells.unit_most))
     kinds = queries.schema["qid"].dataType.simpleString()
 
     def go_home(batches: Batches) -> Batches:
-        cells = shared.value
+        cells = Cells(*shared.value)
         step = max(1, ROUTED_CELLS // len(cells.held))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
@@ -214,7 +215,7 @@ def search(table: DataFrame, queries: DataFrame, n: int, metrics: list[str], sch
     left = routed.join(worst, "qid", "left")
 
     def go_on(batches: Batches) -> Batches:
-        cells = shared.value
+        cells = Cells(*shared.value)
         width = cells.pivots.shape[1]
         step = max(1, ROUTED_CELLS // (len(cells.held) * max(1, width)) + 1)
         used = cells.held > 0
