@@ -162,6 +162,25 @@ def test_steps_store_and_resume(spark, words, tmp_path):
         clustering.iterations_per_checkpoint(3, 5)
 
 
+def test_a_step_cut_off_half_way_is_ignored(spark, words, tmp_path):
+    path = str(tmp_path / "states")
+    assert tables.last_complete_step(spark, path, "m", 3, 1) is None
+
+    def keep(iteration, centroids):
+        tables.save_centroids(centroids, path, "m", 3, 1, iteration)
+
+    states = clustering.kmeans_in_steps(words, 3, 6, 2, on_step=keep)
+    # Step 10 of the same model and a state of another one; then the last step loses what is written last.
+    tables.save_centroids(states[0][1], path, "m", 30, 1, 90)
+    assert tables.last_complete_step(spark, path, "m", 3, 1)[0] == 6
+    (tmp_path / "states" / tables.state_name("m", 3, 1, 6) / tables.COMPLETE).unlink()
+    found = tables.last_complete_step(spark, path, "m", 3, 1)
+    assert found[0] == 4 and np.allclose(matrix_of(found[1]), matrix_of(states[1][1]))
+    again = clustering.kmeans_in_steps(words, 3, 6, 2, resume=found, on_step=keep)
+    assert [i for i, _ in again] == [6] and np.allclose(matrix_of(again[0][1]), matrix_of(states[2][1]))
+    assert tables.last_complete_step(spark, path, "m", 3, 1)[0] == 6
+
+
 def test_members(spark, words, vectors):
     centres = np.r_[vectors[[290, 210, 7]], np.full((1, 5), 1e6)]
     nearest = distances(vectors, centres).argmin(axis=1)

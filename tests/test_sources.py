@@ -1,11 +1,13 @@
 import gzip
 import json
+import os
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom import bounds
 from wordloom.operators import clustering, stats
 from wordloom.sources import analogies, binary, tables, text
 
@@ -185,6 +187,17 @@ def test_statistics_report(spark, tmp_path):
     assert found["n"]["words"] == 3
 
 
+def test_nothing_stored_is_left_after_release(spark):
+    bounds.release(spark)
+    df = spark.range(5)
+    kept, path = bounds.settled(df), bounds.scratch(spark, "mine")
+    df.write.parquet(path)
+    assert kept.count() == 5 and os.path.isdir(path)
+    before = os.listdir(bounds.shared_dir(spark))
+    assert bounds.release(spark) == 2 and bounds.release(spark) == 0
+    assert len(os.listdir(bounds.shared_dir(spark))) == len(before) - 2 and not os.path.isdir(path)
+
+
 def test_centroids_are_stored_by_name(spark, tmp_path):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], clustering.CENTROIDS)
     path = tables.save_centroids(table, str(tmp_path), "m", 2, 1, 5)

@@ -16,14 +16,15 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 # Largest narrow table that is copied to every executor, in bytes of its values.
 NARROW_BYTES = 32 * 1024 * 1024
 
-# Stored tables by session, for ``release``.
+# Stored tables by session, for ``release``, and the folders made for sessions that name none.
 _stored: dict[int, list[str]] = {}
+_folders: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A fresh temporary folder is used only where that setting is absent, as in local tests.
+    A temporary folder, one per session, is used only where that setting is absent, as in local tests.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -33,7 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
         return existing
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="wordloom-")
+    if id(spark.sparkContext) not in _folders:
+        _folders[id(spark.sparkContext)] = tempfile.mkdtemp(prefix="wordloom-")
+    return _folders[id(spark.sparkContext)]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path that all executors can reach, for what is stored and read back; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _stored.setdefault(id(spark.sparkContext), []).append(path)
+    return path
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -41,14 +51,13 @@ def settled(df: DataFrame) -> DataFrame:
 
     ``release`` removes the stored copies once no result that reads them is needed.
     """
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "settled")
     df.write.parquet(path)
-    _stored.setdefault(id(df.sparkSession.sparkContext), []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete every table that ``settled`` has stored in this session so far; returns how many.
+    """Delete every path that ``settled`` and ``scratch`` have given out in this session so far; returns how many.
 
     For use between jobs: a DataFrame that still reads such a table fails afterwards.
     """

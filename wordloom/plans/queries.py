@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.bounds import shared_dir
+from wordloom.bounds import scratch
 from wordloom.functions import vectors as V
 from wordloom.operators import analogy, clustering, lookup, nearest, stats, topn
 from wordloom.plans import inputs
@@ -33,11 +32,6 @@ def elements(df: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "pos", r6("x", "value"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors can reach, for the queries that store and read back."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # Vector columns
 
 

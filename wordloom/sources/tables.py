@@ -125,13 +125,43 @@ def state_name(model: str, k: int, runs: int, iteration: int) -> str:
     return f"{model}-kmeans-k-{k}-runs-{runs}-iteration-{iteration}.model"
 
 
+# Written into a state's folder behind all of its rows; a state without it was cut off.
+COMPLETE = "_complete"
+
+
+def _files(spark: SparkSession, path: str):
+    """A path and its file system, as Spark reaches it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def save_centroids(centroids: DataFrame, path: str, model: str, k: int, runs: int, iteration: int) -> str:
-    """Store a training state under its name in ``path``; returns where."""
+    """Store a training state under its name in ``path`` and mark it complete; returns where.
+
+    A state of that name loses its mark first, so a state that is written again and cut off is not taken for whole.
+    """
     target = f"{path}/{state_name(model, k, runs, iteration)}"
+    mark, files = _files(centroids.sparkSession, f"{target}/{COMPLETE}")
+    files.delete(mark, False)
     centroids.select("cluster", "center").write.mode("overwrite").parquet(target)
+    files.create(mark, True).close()
     return target
 
 
+def last_complete_step(spark: SparkSession, path: str, model: str, k: int, runs: int) -> tuple[int, DataFrame] | None:
+    """The iteration and centres of the last state in ``path`` that was stored whole, to resume from; None if there is none."""
+    place, files = _files(spark, path)
+    if not files.exists(place):
+        return None
+    named = re.compile(re.escape(state_name(model, k, runs, 0)).replace(r"iteration\-0", r"iteration\-(\d+)"))
+    steps = []
+    for status in files.listStatus(place):
+        found = named.fullmatch(status.getPath().getName())
+        if found and files.exists(_files(spark, f"{status.getPath()}/{COMPLETE}")[0]):
+            steps.append(int(found[1]))
+    return (max(steps), load_centroids(spark, path, model, k, runs, max(steps))) if steps else None
+
+
 def load_centroids(spark: SparkSession, path: str, model: str, k: int, runs: int, iteration: int) -> DataFrame:
     """A stored training state."""
     return spark.read.parquet(f"{path}/{state_name(model, k, runs, iteration)}").select("cluster", "center")
