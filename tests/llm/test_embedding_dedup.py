@@ -95,3 +95,45 @@ def test_forest():
 
 def test_empty(spark):
     assert dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_default_plan_at_the_threshold(spark):
+    """Pairs a little above the threshold, with the registered share that may be missed."""
+    rng = np.random.default_rng(8)
+    left = rng.standard_normal((1000, 32))
+    left /= np.linalg.norm(left, axis=1, keepdims=True)
+    side = rng.standard_normal((1000, 32))
+    side -= (side * left).sum(1, keepdims=True) * left
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    right = 0.9005 * left + math.sqrt(1 - 0.9005**2) * side
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([left, right]))], "vec_id long, embedding array<double>")
+    found = {(r["vec_id"], r["component_id"]) for r in dedup.near_duplicates(df).collect() if r["n_links"]}
+    assert sum((i + 1000, i) in found for i in range(1000)) >= 990
+
+
+@pytest.mark.parametrize("noise, block", [(0.05, 64), (0.22, 64), (0.22, 1024)])
+def test_crowded_places(spark, noise, block):
+    """One place wholly within a ball, and others beyond it, with vectors in neither; zeros and sizes of any scale."""
+    rng = np.random.default_rng(5)
+    center = rng.standard_normal(32)
+    rows = [(center + noise * rng.standard_normal(32)) * 10.0 ** rng.integers(-150, 150) for _ in range(300)]
+    rows += [center + 0.4 * rng.standard_normal(32) for _ in range(80)] + list(rng.standard_normal((60, 32))) + [rows[0]] * 3
+    rows = [list(map(float, r)) for r in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in dedup.near_duplicates(df, 0.9, 1e-6, block).collect()}
+    unit = [list(np.array(r) / np.abs(r).max()) for r in rows]
+    counts, label = plain(unit, 0.9)
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(rows))] == list(zip(counts, label))
+
+
+def test_repeated_buckets_over_batches_and_partitions():
+    def batch(*rows):
+        return dedup.pa.RecordBatch.from_arrays([dedup.pa.array(c) for c in zip(*rows)], ["rep", "at", "key"])
+
+    def kept(*batches):
+        return [r["rep"] for b in dedup._repeated(iter(batches)) for r in b.to_pylist()]
+
+    # The ends stay; inside, single rows go, also where a bucket goes on in the next batch.
+    assert kept(batch((1, 0, 1), (2, 0, 2), (3, 0, 3)), batch((4, 0, 3), (5, 0, 4)), batch((6, 1, 4), (7, 1, 5))) == [1, 3, 4, 7]
+    assert kept(batch((1, 0, 1))) == [1] and kept() == []
+    assert kept(batch((1, 0, 1), (2, 0, 2)), batch((3, 0, 2)), batch((4, 0, 2), (5, 0, 9), (6, 0, 9))) == [1, 2, 3, 4, 5, 6]

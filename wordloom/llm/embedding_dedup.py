@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.bounds import settled
+from wordloom.bounds import settled, small_or_settled
 from wordloom.llm.components import components
 
 COSINE = 0.9
@@ -24,6 +24,9 @@ SEED = 17
 # Largest group compared together with others, and tables in which a pair's earlier meetings are looked for at a time.
 SMALL = 64
 TABLES_AT_ONCE = 16
+# Tables whose buckets of at least so many vectors are looked at for balls of vectors that all link.
+LEAD_TABLES = 8
+CROWDED = 64
 
 
 def same_cell(distance: float, width: float = WIDTH) -> float:
@@ -81,8 +84,8 @@ def links(points: DataFrame, cosine: float = COSINE, missed: float = MISSED, blo
     """Of distinct vectors (``rep, copies, embedding``): ``rep, partners``, the rows at a cosine of at least ``cosine``
     without own copies, and edges ``a, b`` that connect what is linked.
 
-    The vectors of a bucket are compared by matrix products, in pairs of blocks when there are many. A pair counts in the
-    first table where both share a bucket, so partners are counted once without a list of pairs; sums per vector and a
+    Vectors of a crowded bucket that all link (``_balls``) are counted and connected without comparing them. The others of
+    a bucket are compared by matrix products, in pairs of blocks when there are many. A pair counts in the first table where both share a bucket, so partners are counted once without a list of pairs; sums per vector and a
     spanning forest per pair of blocks are all that leaves a task. Vectors of different lengths are never compared.
     """
     each, tables = table_plan(points.count(), cosine, missed)
@@ -102,17 +105,28 @@ def links(points: DataFrame, cosine: float = COSINE, missed: float = MISSED, blo
                     reps = np.repeat(some.column("rep").to_numpy(), tables)
                     yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(numbers), pa.array(keys.ravel())], ["rep", "at", "key"])
 
-    # Buckets are dealt as narrow rows; a vector goes only where another one is.
-    narrow = points.select("rep", "embedding").mapInArrow(buckets, "rep bigint, at int, key bigint")
-    narrow = settled(narrow)
-    held = narrow.groupBy("at", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    held = held.select("at", "key", F.ceil(F.col("held") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    met = narrow.join(held, ["at", "key"]).withColumn("own", own)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    met = met.withColumn("p", F.explode(pairs)).select("rep", "at", "key", "own", "p.i", "p.j")
+    # Buckets are dealt as narrow rows, by ranges that cut a crowded one; a vector goes only where another one is.
+    narrow = settled(points.select("rep", "embedding").mapInArrow(buckets, "rep bigint, at int, key bigint"))
+    dealt = narrow.repartitionByRange("key", "at", "rep").sortWithinPartitions("key", "at", "rep")
+    near = settled(dealt.mapInArrow(_repeated, narrow.schema))
+    balls = settled(_balls(points, near, cosine))
+    labelled = near.join(small_or_settled(balls.select("rep", "ball")), "rep", "left").withColumn("ball", F.coalesce("ball", "rep"))
+    labelled = settled(labelled)
+    held = labelled.groupBy("at", "key", "ball").agg(F.count(F.lit(1)).alias("c"))
+    held = held.groupBy("at", "key").agg(F.sum("c").alias("held"), F.max(F.struct("c", "ball")).alias("most")).filter("held > most.c")
+    # Blocks of the largest ball of a crowded bucket, which are not compared with one another, come before all others.
+    pure = F.when(F.col("most.c") > block, F.ceil(F.col("most.c") / block)).otherwise(0).cast("int")
+    other = F.ceil((F.col("held") - F.when(F.col("most.c") > block, F.col("most.c")).otherwise(0)) / block).cast("int")
+    held = held.select("at", "key", F.col("most.ball").alias("first"), pure.alias("pure"), other.alias("other"))
+    inside = (F.col("pure") > 0) & (F.col("ball") == F.col("first"))
+    number = F.xxhash64("rep")
+    own = F.when(inside, F.pmod(number, F.greatest("pure", F.lit(1)))).otherwise(F.col("pure") + F.pmod(number, F.col("other"))).cast("int")
+    met = labelled.join(held, ["at", "key"]).withColumn("own", own)
+    against = F.sequence(F.when(inside, F.col("pure")).otherwise(0), F.col("pure") + F.col("other") - 1)
+    pairs = F.transform(against, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    met = met.withColumn("p", F.explode(pairs)).select("rep", "ball", "at", "key", "own", "p.i", "p.j")
     group = ["at", "key", "i", "j"]
-    rows = met.join(points, "rep").select(*group, "own", "rep", "copies", "embedding")
+    rows = met.join(points, "rep").select(*group, "own", "ball", "rep", "copies", "embedding")
     dealt = rows.repartition(*group).sortWithinPartitions(*group)
 
     def compare(batches):
@@ -132,8 +146,58 @@ def links(points: DataFrame, cosine: float = COSINE, missed: float = MISSED, blo
             yield _compared(held, np.array([0, held.num_rows]), cosine, each, tables)
 
     found = settled(dealt.mapInArrow(compare, "rep bigint, partners bigint, other bigint"))
-    partners = found.filter("other is null").groupBy("rep").agg(F.sum("partners").alias("partners"))
-    return partners, found.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    # Members of a ball link with one another, whatever buckets they share.
+    sizes = balls.groupBy("ball").agg(F.sum("copies").alias("all"))
+    together = balls.join(sizes, "ball").select("rep", (F.col("all") - F.col("copies")).alias("partners"))
+    partners = found.filter("other is null").select("rep", "partners").unionByName(together).groupBy("rep").agg(F.sum("partners").alias("partners"))
+    edges = found.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    return partners, edges.unionByName(balls.filter("rep <> ball").select(F.col("rep").alias("a"), F.col("ball").alias("b")))
+
+
+def _repeated(batches):
+    """The rows, sorted by bucket, of buckets with more than one; the ends of a partition stay, as its neighbours may hold more."""
+    last, stays = None, True
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        key, at = batch.column("key").to_numpy(), batch.column("at").to_numpy()
+        same = (key[1:] == key[:-1]) & (at[1:] == at[:-1])
+        keep = np.zeros(n, bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if last is None:
+            keep[0] = True
+        else:
+            goes_on = last.column("key")[0].as_py() == key[0] and last.column("at")[0].as_py() == at[0]
+            keep[0] |= goes_on
+            if stays or goes_on:
+                yield last
+        yield batch.slice(0, n - 1).filter(pa.array(keep[:-1]))
+        last, stays = batch.slice(n - 1), keep[-1]
+    if last is not None:
+        yield last
+
+
+def _balls(points: DataFrame, near: DataFrame, cosine: float) -> DataFrame:
+    """``rep, ball, copies``: vectors of crowded buckets within half the threshold's angle of a bucket's smallest one.
+
+    Two such vectors are within the threshold's angle of one another, so all of a ball link and need no comparison. Only
+    the first tables are looked at; a vector in several balls counts in the one of the smallest leader. A crowded place
+    that one ball does not cover is compared as any other.
+    """
+    first = near.filter(F.col("at") < LEAD_TABLES)
+    crowded = first.groupBy("at", "key").agg(F.count(F.lit(1)).alias("held"), F.min("rep").alias("leader")).filter(F.col("held") >= CROWDED)
+    led = first.join(small_or_settled(crowded.select("at", "key", "leader")), ["at", "key"]).select("rep", "leader").distinct()
+    scaled = F.expr("transform(array(array_max(transform(embedding, x -> abs(double(x))))), m -> transform(embedding, x -> double(x) / m))[0]")
+    members = led.join(points, "rep").select("rep", "copies", "leader", scaled.alias("x"))
+    heads = points.select(F.col("rep").alias("leader"), scaled.alias("y")).join(led.select("leader").distinct(), "leader", "left_semi")
+    both = members.join(small_or_settled(heads), "leader").filter(F.size("x") == F.size("y"))
+    dot = "aggregate(zip_with({0}, {1}, (a, b) -> a * b), 0D, (t, p) -> t + p)"
+    angle = F.expr(f"{dot.format('x', 'y')} / sqrt({dot.format('x', 'x')} * {dot.format('y', 'y')})")
+    # Far more than rounding can change.
+    half = math.cos(math.acos(max(min(cosine, 1.0), -1.0)) / 2) + 1e-9
+    return both.filter(angle >= half).groupBy("rep").agg(F.min("leader").alias("ball"), F.first("copies").alias("copies"))
 
 
 def _pairs_within(unit: np.ndarray, ends: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +241,7 @@ def _compared(rows: pa.Table, starts: np.ndarray, cosine: float, each: int, tabl
     ``starts`` ends with the number of rows. Vectors of a group have one length; batches may hold several lengths.
     """
     rows = rows.combine_chunks()
-    at, i, j, own, reps, copies = (rows.column(c).to_numpy() for c in ("at", "i", "j", "own", "rep", "copies"))
+    at, i, j, own, ball, reps, copies = (rows.column(c).to_numpy() for c in ("at", "i", "j", "own", "ball", "rep", "copies"))
     vectors = rows.column("embedding").chunk(0)
     widths = np.diff(vectors.offsets.to_numpy())
     sizes, partners, forests = np.diff(starts), np.zeros(rows.num_rows, np.int64), []
@@ -200,6 +264,8 @@ def _compared(rows: pa.Table, starts: np.ndarray, cosine: float, each: int, tabl
             x, y = left[x], right[y]
             found.append(np.stack([x, y])[:, x < y] if i[start] == j[start] else np.stack([x, y]))
         x, y = np.concatenate(found, axis=1)
+        apart = ball[here[x]] != ball[here[y]]
+        x, y = x[apart], y[apart]
         new = _met_first_here(unit, x, y, at[here[x]], each, tables)
         x, y = here[x[new]], here[y[new]]
         partners += np.bincount(x, copies[y], rows.num_rows).astype(np.int64) + np.bincount(y, copies[x], rows.num_rows).astype(np.int64)
