@@ -20,7 +20,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+# Of a part of zeros alone nothing is left behind its leading zeros.
+PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])?"
 # What must be in a text for a kind to match: texts without it are not searched.
 HINTS = {"email": "b like '%@%'", "ip": "b like '%.%.%.%'", "card": "b rlike '[0-9]'", "phone": "b like '%+%'"}
 DIGITS = "regexp_replace(m, '[^0-9]', '')"
@@ -34,33 +35,48 @@ VALID = {
     "phone": f"char_length({DIGITS}) between 10 and 15",
 }
 
-# Terms are words of letters, of any length, anywhere in the texts that hold a value: REACH, the code points around a
-# value in which they count, is more than a text can have. HIDDEN stands for letters of values; no text has it as a letter.
+# Terms are words of letters, of any length, anywhere in the texts that hold a value. HIDDEN stands for letters of values;
+# no text has it as a letter.
 TERM_PATTERN = r"[\p{L}]+"
-REACH = 1 << 31
 HIDDEN = "\ufdd0"
 # A value is disclosed by a term that occurs with it in at least SUPPORT different texts and carries at least
 # DISCLOSED of the value's information: pointwise mutual information over information content.
 SUPPORT = 3
 DISCLOSED = 0.9
+# Protected entities are values, the parts of values that recur in others, and the kinds. Of a part or a kind there must
+# be so many bits of information to disclose: one in more than 1 of 16 texts tells nothing of a person.
+INFORMATION = 4.0
 # A lower bound of a term's count is taken over one of so many classes of texts.
 CLASSES = 16
 
 
+# Sums and maxima over all earlier elements of an array are taken over whole runs of 256, then inside a run: Spark has no
+# running form, and appending to an array copies it each time.
+RUN, RUN_BITS = 256, 8
+NO_SPANS = "array_repeat(named_struct('s', 0, 'k', 0, 'e', 0, 'm', ''), 0)"
+
+
+def _located(gaps: str, matches: str, kind: int) -> str:
+    """SQL for structs ``s, k, e, m`` of start, kind, end and text of matches, from the gaps around them; code points."""
+    add = "0, (q, x) -> q + x"
+    return f"""transform(array(zip_with({gaps}, {matches}, (x, y) -> char_length(x) + coalesce(char_length(y), 0))), l ->
+      transform(array(transform(sequence(0, shiftright(size(l) - 1, {RUN_BITS})), c -> aggregate(slice(l, c * {RUN} + 1, {RUN}), {add}))), t ->
+        transform(array(transform(sequence(0, size(t) - 1), c -> aggregate(slice(t, 1, c), {add}))), o ->
+          transform({matches}, (m, i) -> transform(
+            array(o[shiftright(i, {RUN_BITS})] + aggregate(slice(l, i - i % {RUN} + 1, i % {RUN}), {add}) + char_length({gaps}[i])),
+            p -> named_struct('s', p, 'k', {kind}, 'e', p + char_length(m), 'm', m))[0]))[0])[0])[0]"""
+
+
 def _found(kind: int) -> str:
-    """SQL over ``b`` for the valid matches of a kind: structs ``s, k, e, m`` of start, kind, end and matched text.
+    """SQL over ``b`` for the valid matches of a kind: structs ``s, k, e, m``.
 
-    A split by the pattern gives the gaps between its matches, so starts are sums of lengths; one pass, code points.
+    A split by the pattern gives the gaps between its matches, so starts are sums of lengths.
     """
     name = KINDS[kind]
     pattern = PATTERNS[name]
     return f"""transform(array(if({HINTS[name]}, regexp_extract_all(b, r'{pattern}', 0), array_repeat('', 0))), f ->
-      transform(array(if(size(f) = 0, array_repeat('', 0), split(b, r'{pattern}', -1))), g ->
-        aggregate(sequence(0, size(f) - 1), named_struct('p', 0, 'o', array_repeat(named_struct('s', 0, 'k', 0, 'e', 0, 'm', ''), 0)),
-          (a, i) -> if(i < 0 or i >= size(f), a, transform(array(f[i]), m -> transform(array(a.p + char_length(g[i])), p -> named_struct(
-            'p', p + char_length(m),
-            'o', if({VALID[name]}, concat(a.o, array(named_struct('s', p, 'k', {kind}, 'e', p + char_length(m), 'm', m))), a.o)))[0])[0]),
-          a -> a.o))[0])[0]"""
+      if(size(f) = 0, {NO_SPANS}, transform(array(split(b, r'{pattern}', -1)), g ->
+        filter({_located("g", "f", kind)}, v -> transform(array(v.m), m -> {VALID[name]})[0]))[0]))[0]"""
 
 
 def base_spans(text: Column) -> Column:
@@ -96,21 +112,28 @@ def _terms(text: str) -> str:
 
 def _places(text: str, names: str) -> str:
     """SQL for every place of the named terms outside found values: structs ``s, k, e, m``; none where names are null."""
-    none = "array_repeat(named_struct('s', 0, 'k', 0, 'e', 0, 'm', ''), 0)"
-    return f"""if({names} is null, {none}, transform(array({_masked(text)}), c ->
-      transform(array(regexp_extract_all(c, r'{RUN_PATTERN}', 0)), f -> transform(array(split(c, r'{RUN_PATTERN}', -1)), g ->
-        aggregate(f, named_struct('i', 0, 'p', 0, 'o', {none}),
-          (a, m) -> transform(array(a.p + char_length(g[a.i])), p -> named_struct('i', a.i + 1, 'p', p + char_length(m), 'o',
-            if(array_contains({names}, lower(m)),
-              concat(a.o, array(named_struct('s', p, 'k', {len(KINDS)}, 'e', p + char_length(m), 'm', lower(m)))), a.o)))[0],
-          a -> a.o))[0])[0])[0])"""
+    return f"""if({names} is null, {NO_SPANS}, transform(array({_masked(text)}), c ->
+      transform(array(regexp_extract_all(c, r'{RUN_PATTERN}', 0)), f -> if(size(f) = 0, {NO_SPANS},
+        transform(array(split(c, r'{RUN_PATTERN}', -1)), g -> transform(
+          filter({_located("g", "f", len(KINDS))}, v -> array_contains({names}, lower(v.m))),
+          v -> named_struct('s', v.s, 'k', v.k, 'e', v.e, 'm', lower(v.m))))[0]))[0])[0])"""
+
+
+# What is protected, by kind: the value; parts that recur in other values; the kind itself, which says that a text holds one.
+ENTITIES = {
+    "email": "concat('email:', m), concat('email-host:', substring_index(m, '@', -1)), "
+    "concat('email-name:', regexp_replace(substring_index(m, '@', 1), '[^a-z]', '')), 'email'",
+    "ip": "concat('ip:', m), concat('ip-net:', substring_index(m, '.', 2)), 'ip'",
+    "card": f"concat('card:', m), concat('card-issuer:', left({DIGITS}, 6)), 'card'",
+    "phone": f"concat('phone:', m), concat('phone-area:', left({DIGITS}, 4)), 'phone'",
+}
 
 
 def _held(rows: DataFrame) -> DataFrame:
-    """``_h, entity``: the different values of the different texts."""
-    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    entities = F.expr(f"array_distinct(transform(_b, v -> concat({names}[v.k], ':', lower(v.m))))")
-    return rows.select("_h", F.explode(entities).alias("entity")).distinct()
+    """``_h, entity``: the different protected entities of the different texts; a part with nothing in it is none."""
+    cases = " ".join(f"when {i} then array({ENTITIES[k]})" for i, k in enumerate(KINDS))
+    entities = f"array_distinct(flatten(transform(_b, v -> transform(array(lower(v.m)), m -> case v.k {cases} end)[0])))"
+    return rows.select("_h", F.explode(F.expr(f"filter({entities}, v -> not endswith(v, ':'))")).alias("entity")).distinct()
 
 
 def _holding(texts: DataFrame, held: DataFrame, values: DataFrame) -> DataFrame:
@@ -140,7 +163,8 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, support: int = SUPPORT, d
     With p as the share of texts: information content IC(v) = -log2 p(v); PMI(t, v) = log2(p(t, v) / (p(t) p(v)));
     a pair is kept when PMI >= ``disclosed`` * IC and at least ``support`` different texts hold both. A text counts once
     however many copies of it there are. The condition on the PMI is a bound on the number of texts with the term, which
-    grows with that of texts with both, so values and terms that cannot pass are dropped by their own counts first.
+    grows with that of texts with both, so values and terms that cannot pass are dropped by their own counts first. Parts of
+    values and kinds are entities like values, where IC is at least ``INFORMATION``.
     """
     texts = docs.select(F.xxhash64(whole_text()).alias("_h"), whole_text().alias("text"))
     total = float(max(texts.select("_h").distinct().count(), 1))
@@ -149,7 +173,9 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, support: int = SUPPORT, d
         return F.col(both) * F.pow(total / F.col("with_value"), F.lit(1 - disclosed)) * (1 + 1e-9)
 
     values = held.groupBy("entity").agg(F.count(F.lit(1)).alias("with_value"))
-    values = settled(values.filter((F.col("with_value") >= support) & (F.col("with_value") < total)).withColumn("most", most("with_value")))
+    whole = F.col("entity").rlike("^[a-z]+:")
+    tells = (F.col("with_value") < total) & (whole | (F.col("with_value") * 2**INFORMATION <= total))
+    values = settled(values.filter((F.col("with_value") >= support) & tells).withColumn("most", most("with_value")))
     holding = settled(_holding(texts, held, values))
     # Texts with the term among those that hold such values are a part of all texts with the term.
     seen = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
@@ -208,11 +234,15 @@ def sanitized(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLO
     """
     found = find_personal(docs, support, disclosed)
     signs = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ", '')"
-    # Pieces between spans and signs for them; c is how far the text is copied.
-    rebuilt = f"""aggregate(_spans, named_struct('c', 0, 'o', array_repeat('', 0)),
-      (a, x) -> if(x.s < a.c, named_struct('c', greatest(a.c, x.e), 'o', a.o),
-        named_struct('c', x.e, 'o', concat(a.o, array(substring(_p_text, a.c + 1, x.s - a.c), {signs}[x.k])))),
-      a -> concat(array_join(a.o, ''), substring(_p_text, a.c + 1)))"""
+    # Runs of spans; b is how far the text is copied before each run, a before a span. A run's text p is cut out once.
+    rebuilt = f"""transform(array(transform(_spans, x -> x.e)), e ->
+      transform(array(transform(sequence(0, shiftright(size(e) - 1, {RUN_BITS})), c -> array_max(slice(e, c * {RUN} + 1, {RUN})))), t ->
+        transform(array(transform(sequence(0, size(t)), c -> coalesce(array_max(slice(t, 1, c)), 0))), b ->
+          concat(array_join(transform(sequence(0, size(t) - 1), c -> transform(array(substring(_p_text, b[c] + 1, b[c + 1] - b[c])), p ->
+            array_join(transform(slice(_spans, c * {RUN} + 1, {RUN}), (x, i) ->
+              transform(array(greatest(b[c], array_max(slice(e, c * {RUN} + 1, i)))), a ->
+                if(x.s < a, '', concat(substring(p, a - b[c] + 1, x.s - a), {signs}[x.k])))[0]), ''))[0]), ''),
+            substring(_p_text, b[size(t)] + 1)))[0])[0])[0]"""
     changed = F.size("_spans") > 0
     out = found.withColumn("_new", F.when(changed, F.expr(rebuilt)).otherwise(F.col("text")))
     columns = []
