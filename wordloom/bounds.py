@@ -62,13 +62,22 @@ def release(spark: SparkSession) -> int:
     For use between jobs: a DataFrame that still reads such a table fails afterwards.
     """
     paths = _stored.pop(id(spark.sparkContext), [])
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for path in paths:
-        place = hadoop.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
     return len(paths)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one path that ``scratch`` has given out, ahead of ``release``, once nothing reads it any more."""
+    _stored[id(spark.sparkContext)].remove(path)
+    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _bytes_of(value: Column, kind: T.DataType) -> Column:
     """Bytes of one value: lengths of strings, 8 for a number, with what lies inside arrays, maps and structs."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

@@ -229,8 +229,11 @@ def scan_block(bests: list[Best], block: Block) -> None:
                 best.add(block.without_surplus_copies(best.n), chosen)
 
 
-def nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position of the nearest centre of each row and the squared distance to it; the first centre wins a tie."""
+def nearest_centre(vectors: np.ndarray, centres: np.ndarray, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the nearest centre of each row and the squared distance to it; the first centre wins a tie.
+
+    ``rest``, when given, is filled with a lower bound of the squared distance to every other centre.
+    """
     rows = len(vectors)
     nearest = np.zeros(rows, dtype=np.int64)
     squared = np.zeros(rows)
@@ -255,4 +258,7 @@ def nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray
         first = rank_in_group(row, distance, option) == 0
         choice[row[first]], exact[row[first]] = option[first], distance[first]
         nearest[part], squared[part] = choice, exact
+        if rest is not None:
+            rough[np.arange(len(x)), choice] = np.inf
+            rest[part] = np.maximum(rough.min(axis=1) + row_norms[part] ** 2 - margin, 0.0)
     return nearest, squared

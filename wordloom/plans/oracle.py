@@ -486,6 +486,14 @@ ORACLE: dict[str, str] = {
         lloyd("words", "c2", "c3"),
         center_elements("c3"),
     ),
+    "kmeans_bounded": with_(
+        WORDS,
+        CENTROIDS,
+        lloyd("words", "centroids", "c1"),
+        lloyd("words", "c1", "c2"),
+        lloyd("words", "c2", "c3"),
+        center_elements("c3"),
+    ),
     "kmeans_in_steps": with_(
         WORDS,
         CENTROIDS,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.bounds import scratch
 from wordloom.functions import vectors as V
-from wordloom.operators import analogy, clustering, lookup, nearest, stats, topn
+from wordloom.operators import analogy, bounded, clustering, lookup, nearest, stats, topn
 from wordloom.plans import inputs
 from wordloom.sources import analogies, binary, tables, text
 
@@ -364,6 +364,12 @@ def kmeans_warm_start(spark, d):
     return _center_elements(trained)
 
 
+def kmeans_bounded(spark, d):
+    """The warm start by steps that compare only rows whose cluster may have changed."""
+    trained, _ = bounded.kmeans_with_bounds(inputs.words(spark, d), inputs.label_centroids(spark, d), 3, tolerance=0.0, groups=3)
+    return _center_elements(trained)
+
+
 def kmeans_in_steps(spark, d):
     """Resumes from a stored state, stores each step and reads the states back."""
     path, k = scratch(spark, "states"), 10
@@ -582,6 +588,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cluster_quality,
         lloyd_step,
         kmeans_warm_start,
+        kmeans_bounded,
         kmeans_in_steps,
         kmeans_train,
         kmeans_trained_centers,
