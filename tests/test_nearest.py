@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import nearest, pruned, topn
+from wordloom.operators import kernels, nearest, pruned, topn
 from wordloom.operators.kernels import LOWER_IS_BETTER
 
 TABLE = "index long, word string, vector array<double>"
@@ -209,3 +210,73 @@ def test_top_n_beyond_the_limit_of_the_group_plan(spark):
     assert plan.count("Partial") == 2  # each partition gives its best only, to the parts and to their meeting
     rows = top.collect()
     assert len(rows) == 3000 and all(r["rank"] == (29_999 - r["v"]) // 2 + 1 for r in rows)
+
+
+@pytest.mark.parametrize("metric", sorted(LOWER_IS_BETTER))
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e90, 1e-140])
+def test_rough_products_lose_no_row(metric, scale):
+    # Lengths from tiny to large, rows without length, copies, and rows that differ by less than single precision shows.
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(3000, 7)) * np.exp(rng.normal(size=(3000, 1)) * 2)
+    vectors[::50] = 0.0
+    vectors[1::9] = vectors[1]
+    vectors[2::11] = vectors[2] * (1 + 1e-12 * np.arange(len(vectors[2::11])))[:, None]
+    queries = np.r_[vectors[:40] * 1.5, rng.normal(size=(40, 7)) * 3, -vectors[2:3]] * scale
+    vectors *= scale
+    held = kernels.Best(queries, 4, metric)
+    words = pa.array([f"w{i}" for i in range(3000)])
+    for start in range(0, 3000, 1000):
+        block = kernels.Block(np.arange(start, start + 1000), kernels.Words(words.slice(start, 1000)), vectors[start : start + 1000])
+        kernels.scan_block([held], block, held.directions())
+    norms, own = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+    for q, query in enumerate(queries):
+        with np.errstate(all="ignore"):
+            if "euclidean" in metric:
+                key = ((query - vectors) ** 2).sum(axis=1)
+                key = np.sqrt(key) if metric == "euclidean" else key
+            elif metric == "cosine":
+                key = np.where(norms > 0, -((query * vectors).sum(axis=1) / (own[q] * norms)), np.inf)
+            else:
+                key = -((query / own[q]) * vectors).sum(axis=1)
+        best = np.lexsort((np.arange(3000), key))[:4] if own[q] > 0 or "euclidean" in metric else []
+        assert held.index[q][: len(best)].tolist() == list(best)
+    query, _, index, word, _ = held.results()
+    assert word.tolist() == [f"w{i}" for i in index]
+
+
+def test_what_is_moved_does_not_grow_with_the_cells(spark):
+    # No bound helps among vectors without clusters, so every query is left with nearly every cell.
+    rng = np.random.default_rng(4)
+    vectors, queries = rng.normal(size=(3000, 16)), rng.normal(size=(200, 16))
+    df, q = table(spark, vectors), asked(spark, queries)
+    done = pruned.search(df, q, 3, ["euclidean", "cosine"], nearest._schema(q.schema["qid"].dataType), 20_000)
+    joined, every = done.pairs()
+    assert joined > 0.9 * every > 200 * 20
+    assert done.second.count() <= 200
+
+
+@pytest.mark.parametrize("metrics", [["euclidean", "cosine"], ["squared_euclidean"], ["normalized_cosine"]])
+def test_many_tiles_give_the_rows_of_the_scan(spark, monkeypatch, metrics):
+    monkeypatch.setattr(pruned, "LEAST_TILE_BYTES", 500)
+    monkeypatch.setattr(pruned, "TILE_BYTES", 30_000)
+    monkeypatch.setattr(pruned, "ROUND_BYTES", 20_000)
+    vectors = np.r_[clustered(1500), np.random.default_rng(1).normal(size=(500, 8))]
+    vectors[::3] = vectors[0]  # a cell that lies in several runs
+    queries = np.r_[clustered(60, seed=4), vectors[:40], np.zeros((1, 8))]
+    df, q = table(spark, vectors), asked(spark, queries)
+    scan = nearest.find_nearest_multi(df, q, 5, metrics).collect()
+    cells = nearest.find_nearest_multi(df, q, 5, metrics, broadcast_bytes=4000)
+    assert sorted(scan) == sorted(cells.collect())
+
+
+def test_runs_of_cells_are_even_and_hold_every_row():
+    held = np.array([5, 0, 700, 3, 92])
+    cells = pruned.Cells(np.arange(15.0).reshape(5, 3), held, np.zeros(5), np.ones(5), np.ones(5))
+    line = pruned._line(cells, 8)
+    places = np.concatenate([line.start[c] + np.arange(n) for c, n in enumerate(held)])
+    assert sorted(places) == list(range(800))
+    assert np.bincount(places * 8 // 800).tolist() == [100] * 8
+    cover = line.cover()
+    assert not cover[1].any()
+    for c, n in enumerate(held):
+        assert set(np.flatnonzero(cover[c])) == set(((line.start[c] + np.arange(n)) * 8 // 800).tolist())

@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.bounds import BROADCAST_BYTES, settled
+from wordloom.bounds import settled
 from wordloom.operators.kernels import LOWER_IS_BETTER, Best, matrix, scan_block
-from wordloom.operators.pruned import ANSWERS, best_answers, read_block, search
+from wordloom.operators.pruned import ANSWERS, best_answers, read_blocks, search
 from wordloom.operators.topn import top_n_per_group
 
+# Largest side of a batch search that is fetched to be copied to the tasks; every search of a job fetches its own.
+QUERY_BYTES = 32 * 1024 * 1024
+
 
 def _schema(qid: T.DataType) -> T.StructType:
     types = [qid, T.StringType(), T.IntegerType(), T.LongType(), T.StringType(), T.DoubleType()]
@@ -59,7 +62,7 @@ def find_nearest_multi(
     queries: DataFrame,
     n: int = 1,
     metric: str | Sequence[str] = "cosine",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """The ``n`` best rows for every query vector, as ``qid, metric, rank, index, word, score``.
 
@@ -129,8 +132,9 @@ def _scan_with_queries(df: DataFrame, queries: pa.Table, n: int, metrics: list[s
         if not len(vectors):
             return
         bests = [Best(vectors, n, m) for m in metrics]
-        for batch in batches:
-            scan_block(bests, read_block(batch, vectors.shape[1]))
+        asked = bests[0].directions()
+        for block in read_blocks(batches, vectors.shape[1]):
+            scan_block(bests, block, asked)
         yield from best_answers(bests, qids)
 
     return scan
@@ -140,13 +144,14 @@ def _scan_with_table(df: DataFrame, table: pa.Table, n: int, metrics: list[str])
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches):
-        blocks = [read_block(b, None) for b in shared.value.to_batches(max_chunksize=10_000) if b.num_rows]
+        blocks = list(read_blocks(shared.value.to_batches(), None))
         for batch in batches:
             if blocks and batch.num_rows:
                 vectors = matrix(batch.column("vector"), blocks[0].vectors.shape[1])
                 bests = [Best(vectors, n, m) for m in metrics]
+                asked = bests[0].directions()
                 for block in blocks:
-                    scan_block(bests, block)
+                    scan_block(bests, block, asked)
                 yield from best_answers(bests, batch.column("qid"))
 
     return scan

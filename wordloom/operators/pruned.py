@@ -2,7 +2,9 @@
 
 Rows are dealt to cells around pivots, rows that cannot be ranked left out. A cell is known by its pivot, the least and the greatest distance of its rows to
 it, and their number. Every query is first joined with the nearest cells that hold enough rows; the worst of its places then
-rules out, by the triangle inequality, most of the other cells, and only the rest is joined in a second round.
+rules out, by the triangle inequality, what it can of the other cells, and only the rest is joined in a second round. There rows
+and queries meet as tiles: runs of cells with chunks of queries. A vector is moved once for each tile of its row or column, of
+which there are ``SIDE`` however many cells are left, until a tile would be larger than a task should hold.
 """
 
 from __future__ import annotations
@@ -26,6 +28,17 @@ MOST_CELLS = 4096
 # Rows looked at for every pivot, and steps that move the pivots amid them. They set the speed, never the answer.
 SAMPLE_PER_CELL = 16
 PIVOT_STEPS = 4
+# What one task is given of the rows, and of the queries, in the first round and at most in the second.
+ROUND_BYTES = 16 * 1024 * 1024
+TILE_BYTES = 64 * 1024 * 1024
+# Tiles along each side, of sides that are large enough, and the partitions that tiles are dealt to, for each tile.
+SIDE = 8
+LEAST_TILE_BYTES = 256 * 1024
+PARTITIONS_PER_TILE = 2
+# Partitions of the first round, unless each had more than four of its tasks' shares.
+ROUND_PARTITIONS = 96
+# Rows that a task scores together, in bytes of their vectors.
+POOLED_BYTES = 16 * 1024 * 1024
 # Numbers that one routing step emits or compares at once.
 ROUTED_CELLS = 2_000_000
 # Inflation of every bound beyond the rounding of the sums behind it.
@@ -164,12 +177,12 @@ class Search:
     dealt: DataFrame
     queries: DataFrame
     first: DataFrame
-    second: DataFrame | None
+    second: DataFrame
     answers: DataFrame
 
     def pairs(self) -> tuple[int, int]:
         """Pairs of a query and a cell that were joined, and all there are."""
-        joined = self.first.count() + (self.second.count() if self.second is not None else 0)
+        joined = self.first.count() + (self.second.agg(F.sum("left")).head()[0] or 0)
         return joined, self.queries.count() * int((self.cells.held > 0).sum())
 
 
@@ -177,9 +190,10 @@ def search(table: DataFrame, queries: DataFrame, n: int, metrics: list[str], sch
     """Candidates (the columns of ``schema``) that hold the ``n`` best rows of every query.
 
     ``table`` has ``index, word, vector``, ``queries`` has ``qid, vector``; the keys are unique. The table is stored once with
-    its cells. A cell beyond ``block_bytes`` is cut into parts by hash of the index (it may hold many copies of one
-    vector), the queries of a cell beyond it into chunks by hash of the qid, and one task meets one part with one
-    chunk. What is copied to the tasks is one pivot per cell, at most a quarter of ``block_bytes``.
+    its cells. In the first round a cell beyond ``ROUND_BYTES`` is cut into parts by hash of the index (it may hold many
+    copies of one vector), the queries of a cell beyond it into chunks by hash of the qid, and one task meets one part with one
+    chunk; in the second, one run of cells with one chunk of the queries that reach it. What is copied to the tasks is one
+    pivot per cell, at most a quarter of ``block_bytes``.
     """
     size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).head()
     dimensions, spark = size["d"] or 0, table.sparkSession
@@ -209,10 +223,11 @@ def search(table: DataFrame, queries: DataFrame, n: int, metrics: list[str], sch
 
     routed = settled(queries.select("qid", "vector").mapInArrow(go_home, f"qid {kinds}, vector array<double>, home array<int>"))
     first = routed.select(F.col("qid").alias("asked_id"), F.col("vector").alias("asked"), F.explode("home").alias("cell"))
-    first = settled(first)
-    found = settled(_met(dealt, cells, first, n, metrics, schema, block_bytes, dimensions))
+    found = settled(_met(dealt, cells, first, n, metrics, schema, dimensions))
     worst = _worst_places(found, n)
     left = routed.join(worst, "qid", "left")
+    line = _line(cells, _sides(int(cells.held.sum()), dimensions))
+    cover = spark.sparkContext.broadcast(line.cover())
 
     def go_on(batches: Batches) -> Batches:
         cells = Cells(*shared.value)
@@ -231,20 +246,121 @@ def search(table: DataFrame, queries: DataFrame, n: int, metrics: list[str], sch
                 reached &= used
                 for row, home in enumerate(part.column("home").to_pylist()):
                     reached[row, home] = False
-                query, cell = np.nonzero(reached)
-                if len(query):
-                    rows = pa.array(query)
+                runs = (reached.astype(np.float32) @ cover.value) > 0
+                asks = np.flatnonzero(runs.any(axis=1))
+                if len(asks):
+                    kept, reached, runs = part.take(pa.array(asks)), reached[asks], runs[asks]
+                    ends = np.r_[0, np.cumsum(runs.sum(axis=1))].astype(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(runs)[1].astype(np.int32)))
+                    counts = pa.array(reached.sum(axis=1).astype(np.int64))
+                    bits = pa.array([row.tobytes() for row in np.packbits(reached, axis=1)], pa.binary())
+                    limits = [kept.column(f"worst{at}") for at in range(len(metrics))]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("qid").take(rows), part.column("vector").take(rows), pa.array(cell.astype(np.int32))],
-                        ["asked_id", "asked", "cell"],
+                        [kept.column("qid"), kept.column("vector"), bits, counts, listed, *limits],
+                        ["asked_id", "asked", "reached", "left", "runs", *[f"worst{at}" for at in range(len(metrics))]],
                     )
 
     limits = [F.col("worst")[m].alias(f"worst{at}") for at, m in enumerate(metrics)]
-    second = settled(left.select("qid", "vector", "home", *limits).mapInArrow(go_on, f"asked_id {kinds}, asked array<double>, cell int"))
-    more = _met(dealt, cells, second, n, metrics, schema, block_bytes, dimensions)
+    kinds = f"asked_id {kinds}, asked array<double>, reached binary, left long, runs array<int>"
+    kinds += "".join(f", worst{at} double" for at in range(len(metrics)))
+    second = settled(left.select("qid", "vector", "home", *limits).mapInArrow(go_on, kinds))
+    more = _met_in_tiles(dealt, line, second, n, metrics, schema, dimensions)
     return Search(cells, dealt, routed, first, second, found.unionByName(more))
 
 
+@dataclass
+class Line:
+    """All rows in a line, cell by cell, cut into ``runs`` of equal length; a large cell may lie in several."""
+
+    start: np.ndarray
+    held: np.ndarray
+    runs: int
+
+    @property
+    def rows(self) -> int:
+        return max(1, int(self.held.sum()))
+
+    def cover(self) -> np.ndarray:
+        """Which runs (columns) hold rows of which cells."""
+        first = self.start * self.runs // self.rows
+        last = (self.start + self.held - 1) * self.runs // self.rows
+        at = np.arange(self.runs)
+        return ((at >= first[:, None]) & (at <= last[:, None]) & (self.held > 0)[:, None]).astype(np.float32)
+
+
+def _line(cells: Cells, runs: int) -> Line:
+    """The cells in an order that keeps near pivots together: by their place along the direction in which pivots vary most."""
+    used = cells.held > 0
+    centred = np.where(used[:, None], cells.pivots - cells.pivots[used].mean(axis=0) if used.any() else 0.0, 0.0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if centred.size else np.zeros(len(used))
+    order = np.argsort(along, kind="stable")
+    start = np.empty(len(used), dtype=np.int64)
+    start[order] = np.cumsum(cells.held[order]) - cells.held[order]
+    return Line(start, cells.held, runs)
+
+
+def _sides(rows: int, dimensions: int) -> int:
+    """Into how many parts a side of so many rows is cut."""
+    held = rows * (8 * max(1, dimensions) + 64)
+    return max(1, min(SIDE, held // LEAST_TILE_BYTES), -(-held // TILE_BYTES))
+
+
+def _met_in_tiles(
+    dealt: DataFrame, line: Line, asked: DataFrame, n: int, metrics: list[str], schema: T.StructType, dimensions: int
+) -> DataFrame:
+    """The best rows of each run of cells for each chunk of the queries that reach it, none worse than the queries hold."""
+    spark, long = dealt.sparkSession, pa.int64()
+    cells = pa.table({"cell": pa.array(np.arange(len(line.held)), pa.int32()), "start": pa.array(line.start, long), "held": pa.array(line.held, long)})
+    cells = F.broadcast(spark.createDataFrame(cells, "cell int, start long, held long"))
+    each = asked.select(F.explode("runs").alias("run"))
+    counts = {r["run"]: r["count"] for r in each.groupBy("run").count().collect()}
+    # One row per run.
+    plan = [(run, _sides(count, dimensions)) for run, count in sorted(counts.items())]
+    tiles = max(1, sum(chunks for _, chunks in plan))
+    plan = F.broadcast(spark.createDataFrame(plan, "run int, chunks long"))
+    place = F.col("start") + F.pmod(F.xxhash64("index"), "held")
+    rows = dealt.join(cells, "cell").select("cell", "index", "word", "vector", place.alias("place"))
+    rows = rows.withColumn("run", F.expr(f"cast(place * {line.runs}L div {line.rows}L as int)")).drop("place").join(plan, "run")
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    limits = [f"worst{at}" for at in range(len(metrics))]
+    queries = asked.select("asked_id", "asked", "reached", *limits, F.explode("runs").alias("run")).join(plan, "run")
+    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("asked_id"), "chunks")).drop("chunks")
+    keys, parts = ["run", "chunk"], PARTITIONS_PER_TILE * tiles
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return _no_answers(right)
+        vectors = matrix(right.column("asked"))
+        limits = [right.column(f"worst{at}").to_numpy().astype(np.float64) for at in range(len(metrics))]
+        bests = [Best(vectors, n, m, limit) for m, limit in zip(metrics, limits)]
+        directions = bests[0].directions()
+        bits = np.frombuffer(b"".join(right.column("reached").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+        left = left.combine_chunks()
+        cell = left.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        present, starts = np.unique(cell[order], return_index=True)
+        asks = {c: np.flatnonzero(bits[:, c // 8] & (128 >> c % 8)) for c in present.tolist()}
+        shared = [c for c in asks if len(asks[c]) == len(vectors)]
+        # Cells that every query reaches are scored as one, so that their rows of near length lie together.
+        groups = [(np.flatnonzero(np.isin(cell, shared)), None)] if shared else []
+        for c, some in zip(present.tolist(), np.split(order, starts[1:])):
+            if c not in shared and len(asks[c]):
+                groups.append((some, asks[c]))
+        for some, chosen in groups:
+            for block in read_blocks(left.take(pa.array(some)).to_batches(), vectors.shape[1]):
+                scan_block(bests, block, directions, chosen)
+        return pa.Table.from_batches(list(best_answers(bests, right.column("asked_id").combine_chunks())))
+
+    # By number, so that small tables keep their tiles apart: their work is the product of their sides.
+    rows, queries = rows.repartition(parts, *keys), queries.repartition(parts, *keys)
+    return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(score, schema)
+
+
+def _no_answers(asked: pa.Table) -> pa.Table:
+    types = (asked.schema.field("asked_id").type, pa.string(), pa.int32(), pa.int64(), pa.string(), pa.float64())
+    return pa.table([pa.array([], t) for t in types], ANSWERS)
+
+
 def _worst_places(found: DataFrame, n: int) -> DataFrame:
     """``qid, worst``: per metric the score in the last of the ``n`` places; queries with free places have no entry."""
     key = F.when(F.col("metric").isin(*DISTANCES), F.col("score")).otherwise(-F.col("score"))
@@ -253,14 +369,14 @@ def _worst_places(found: DataFrame, n: int) -> DataFrame:
 
 
 def _met(
-    dealt: DataFrame, cells: Cells, pairs: DataFrame, n: int, metrics: list[str], schema: T.StructType, block_bytes: int, dimensions: int
+    dealt: DataFrame, cells: Cells, pairs: DataFrame, n: int, metrics: list[str], schema: T.StructType, dimensions: int
 ) -> DataFrame:
     """The best rows of each part of a cell for each chunk of the queries sent to it."""
     spark, row_bytes = dealt.sparkSession, 8 * max(1, dimensions) + 64
     asked = pairs.groupBy("cell").count().toArrow()
     cell = asked.column("cell").to_numpy()
-    parts = 1 + cells.held[cell] * row_bytes // block_bytes
-    chunks = 1 + asked.column("count").to_numpy() * row_bytes // block_bytes
+    parts = 1 + cells.held[cell] * row_bytes // ROUND_BYTES
+    chunks = 1 + asked.column("count").to_numpy() * row_bytes // ROUND_BYTES
     # One row per cell, of which there are at most MOST_CELLS.
     plan = pa.table({"cell": pa.array(cell.astype(np.int32)), "parts": pa.array(parts), "chunks": pa.array(chunks)})
     plan = F.broadcast(spark.createDataFrame(plan, "cell int, parts long, chunks long"))
@@ -273,31 +389,48 @@ def _met(
     keys = ["cell", "part", "chunk"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        batches = []
-        if left.num_rows and right.num_rows:
-            vectors = matrix(right.column("asked"))
-            bests = [Best(vectors, n, m) for m in metrics]
-            for batch in left.combine_chunks().to_batches(max_chunksize=10_000):
-                scan_block(bests, read_block(batch, vectors.shape[1]))
-            batches = list(best_answers(bests, right.column("asked_id").combine_chunks()))
-        if batches:
-            return pa.Table.from_batches(batches)
-        types = (right.schema.field("asked_id").type, pa.string(), pa.int32(), pa.int64(), pa.string(), pa.float64())
-        return pa.table([pa.array([], t) for t in types], ANSWERS)
-
+        if not (left.num_rows and right.num_rows):
+            return _no_answers(right)
+        vectors = matrix(right.column("asked"))
+        bests = [Best(vectors, n, m) for m in metrics]
+        directions = bests[0].directions()
+        for block in read_blocks(left.to_batches(), vectors.shape[1]):
+            scan_block(bests, block, directions)
+        return pa.Table.from_batches(list(best_answers(bests, right.column("asked_id").combine_chunks())))
+
+    # By number, so that small tables are not met by few tasks: the work is the product of the sides.
+    shares = int((parts * chunks).sum())
+    dealt_to = max(1, min(PARTITIONS_PER_TILE * shares, max(ROUND_PARTITIONS, shares // 4)))
+    rows, queries = rows.repartition(dealt_to, *keys), queries.repartition(dealt_to, *keys)
     return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(score, schema)
 
 
-def read_block(batch, dimensions: int | None) -> Block:
-    """A batch of the word table for scoring; words stay in Arrow until one of them is an answer.
+def read_blocks(batches: Batches, dimensions: int | None) -> Iterator[Block]:
+    """Batches of the word table for scoring, small ones pooled; words stay in Arrow until one of them is an answer.
 
     Rows with an element that is no finite number are never ranked.
     """
-    vectors = matrix(batch.column("vector"), dimensions)
+    pool, held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            pool.append(batch)
+            held += batch.column("vector").nbytes
+        if held >= POOLED_BYTES:
+            yield _block(pool, dimensions)
+            pool, held = [], 0
+    if pool:
+        yield _block(pool, dimensions)
+
+
+def _block(batches: list[pa.RecordBatch], dimensions: int | None) -> Block:
+    table = pa.Table.from_batches(batches).select(["index", "word", "vector"]).combine_chunks()
+    vectors = matrix(table.column("vector"), dimensions)
     finite = finite_rows(vectors)
     if not finite.all():
-        batch, vectors = batch.filter(pa.array(finite)), vectors[finite]
-    return Block(batch.column("index").to_numpy(zero_copy_only=False), Words(batch.column("word")), vectors)
+        table, vectors = table.filter(pa.array(finite)).combine_chunks(), vectors[finite]
+    words = table.column("word")
+    words = words.chunk(0) if words.num_chunks else pa.array([], pa.string())
+    return Block(table.column("index").to_numpy(), Words(words), vectors)
 
 
 def best_answers(bests: list[Best], qids: pa.Array) -> Iterator[pa.RecordBatch]:
