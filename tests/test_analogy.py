@@ -112,3 +112,22 @@ def test_evaluate_and_report(spark, words, problems, tmp_path):
     royal = stored["raw", "royal"]
     assert royal["test_count"] == 4 and royal["euclidean_performance"]["accuracy"] == 0.5
     assert royal["euclidean_performance"]["incorrect_stats"]["percentiles"]["50"] >= 0
+
+
+def test_vectors_are_not_fetched_to_be_copied(spark, monkeypatch):
+    # Neither the vectors of the problems' words nor, beyond the limit, those of the queries pass through the driver.
+    rows = [(i, f"w{i}", [float(i % 7), float(i % 5), 1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "index long, word string, vector array<double>")
+    asked = [(i, "c", f"w{i}", f"w{i + 1}", f"w{i + 2}", f"w{i + 3}") for i in range(200)]
+    problems = spark.createDataFrame(asked, "problem_id long, category string, a string, b string, c string, d string")
+    fetched, fetch = [], type(df).toArrow
+
+    def counted(self):
+        found = fetch(self)
+        fetched.extend([c for c in self.columns if c == "vector"] * found.num_rows)
+        return found
+
+    whole = sorted(analogy.solve_analogies(df, problems).collect())
+    monkeypatch.setattr(type(df), "toArrow", counted)
+    assert sorted(analogy.solve_analogies(df, problems, broadcast_bytes=1000).collect()) == whole
+    assert len(fetched) < 100  # pivots amid a sample

@@ -11,10 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.bounds import BROADCAST_BYTES, settled, small_or_settled
+from wordloom.bounds import settled, small_or_settled
 from wordloom.functions.vectors import UNIT_TOLERANCE, query_vector, vec_norm
 from wordloom.operators.lookup import find_words, folded
-from wordloom.operators.nearest import collected_within, find_nearest_multi, vector_size
+from wordloom.operators.nearest import QUERY_BYTES, find_nearest_multi
 from wordloom.operators.stats import PERCENTILES, describe
 
 METRICS = ("euclidean", "cosine")
@@ -41,12 +41,11 @@ def _query_vectors(found: DataFrame, problems: DataFrame) -> DataFrame:
 
 
 def _looked_up(df: DataFrame, words: DataFrame) -> DataFrame:
-    """The words with their rows, as a broadcast copy when that fits, else settled: Spark then shuffles and splits hot words."""
-    found = settled(find_words(df, words))
-    rows = collected_within(found, BROADCAST_BYTES, vector_size(df))
-    if rows is None:
-        return found
-    return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
+    """The words with their rows, settled: Spark copies them to the tasks when few, else shuffles them and splits hot words.
+
+    Vectors are joined three times, so they are never fetched to be copied.
+    """
+    return settled(find_words(df, words))
 
 
 def unsolvable_problems(df: DataFrame, problems: DataFrame) -> DataFrame:
@@ -65,7 +64,7 @@ def solve_analogies(
     problems: DataFrame,
     normalized: bool = False,
     exclude_inputs: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """The nearest word to each query vector by euclidean distance and by cosine similarity, from one pass.
 
@@ -166,7 +165,7 @@ def evaluate(
     """Every model against every category: the performance table and the wrongly answered problems."""
     words = small_or_settled(problem_words(problems))
     solved = [
-        _solved(df, problems, words, normalized, exclude_inputs, BROADCAST_BYTES).withColumn("model", F.lit(name))
+        _solved(df, problems, words, normalized, exclude_inputs, QUERY_BYTES).withColumn("model", F.lit(name))
         for name, df in models.items()
     ]
     results = settled(reduce(DataFrame.unionByName, solved))
