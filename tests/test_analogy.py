@@ -131,3 +131,8 @@ def test_vectors_are_not_fetched_to_be_copied(spark, monkeypatch):
     monkeypatch.setattr(type(df), "toArrow", counted)
     assert sorted(analogy.solve_analogies(df, problems, broadcast_bytes=1000).collect()) == whole
     assert len(fetched) < 100  # pivots amid a sample
+    # Nor do they within it: tasks read the queries where they are stored, and the words' vectors are shuffled.
+    fetched.clear()
+    assert sorted(analogy.solve_analogies(df, problems).collect()) == whole and not fetched
+    plan = analogy.query_vectors(df, problems)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

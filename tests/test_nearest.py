@@ -1,8 +1,11 @@
+import datetime
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom import bounds
 from wordloom.operators import kernels, nearest, pruned, topn
 from wordloom.operators.kernels import LOWER_IS_BETTER
 
@@ -280,3 +283,19 @@ def test_runs_of_cells_are_even_and_hold_every_row():
     assert not cover[1].any()
     for c, n in enumerate(held):
         assert set(np.flatnonzero(cover[c])) == set(((line.start[c] + np.arange(n)) * 8 // 800).tolist())
+
+
+@pytest.mark.parametrize("limit", [nearest.QUERY_BYTES, 500])
+def test_stored_side_is_not_fetched(spark, tmp_path, monkeypatch, limit):
+    # Both copied sides, queries and table, are read by the tasks; ids of any type and paths with blanks come through.
+    vectors = np.random.default_rng(3).normal(size=(6, 4))
+    ids = [datetime.datetime(1500 + 200 * i, 1, 2, 3, 4, 5, i) for i in range(20)]
+    queries = np.random.default_rng(4).normal(size=(20, 4))
+    rows = [(i, q.tolist()) for i, q in zip(ids, queries)]
+    df, asked_for = table(spark, vectors), spark.createDataFrame(rows, "qid timestamp_ntz, vector array<double>")
+    monkeypatch.setattr(bounds, "shared_dir", lambda _: f"{tmp_path}/a folder%20")
+    monkeypatch.delattr(type(df), "toArrow")
+    got = {}
+    for r in nearest.find_nearest_multi(df, asked_for, 2, "euclidean", limit).orderBy("qid", "rank").collect():
+        got.setdefault(f"q{ids.index(r['qid'])}", []).append(r["index"])
+    assert got == brute(vectors, queries, 2, "euclidean")

@@ -36,15 +36,13 @@ def _query_vectors(found: DataFrame, problems: DataFrame) -> DataFrame:
     joined = problems.select("problem_id", "a", "b", "c")
     for name in ("a", "b", "c"):
         side = found.select(F.col("query").alias(name), F.col("vector").alias(f"{name}_vector"))
-        joined = joined.join(side, name)
+        joined = joined.join(side.hint("merge"), name)
     return joined.select("problem_id", query_vector("a_vector", "b_vector", "c_vector").alias("vector"))
 
 
 def _looked_up(df: DataFrame, words: DataFrame) -> DataFrame:
-    """The words with their rows, settled: Spark copies them to the tasks when few, else shuffles them and splits hot words.
-
-    Vectors are joined three times, so they are never fetched to be copied.
-    """
+    """The words with their rows, settled. Vectors are joined three times, always by shuffle: the size of their files,
+    by which Spark would choose, is far below that of the rows it would fetch to copy them."""
     return settled(find_words(df, words))
 
 

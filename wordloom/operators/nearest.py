@@ -7,20 +7,23 @@ joined (``pruned``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wordloom.bounds import settled
 from wordloom.operators.kernels import LOWER_IS_BETTER, Best, matrix, scan_block
 from wordloom.operators.pruned import ANSWERS, best_answers, read_blocks, search
 from wordloom.operators.topn import top_n_per_group
+from wordloom.sources.binary import located
 
-# Largest side of a batch search that is fetched to be copied to the tasks; every search of a job fetches its own.
+# Largest side of a batch search that is copied to the tasks, which read it from where it is stored.
 QUERY_BYTES = 32 * 1024 * 1024
 
 
@@ -42,7 +45,8 @@ def find_nearest(df: DataFrame, query: Sequence[float], n: int, metric: str = "c
     if n < 1:
         raise ValueError("n must be at least 1")
     asked = pa.table({"qid": pa.array([0], pa.int64()), "vector": pa.array([[float(x) for x in query]], pa.list_(pa.float64()))})
-    candidates = df.select("index", "word", "vector").mapInArrow(_scan_with_queries(df, asked, n, [metric]), _schema(T.LongType()))
+    scan = _scan_with_queries(_broadcast_rows(df, asked), n, [metric])
+    candidates = df.select("index", "word", "vector").mapInArrow(scan, _schema(T.LongType()))
     return candidates.select("index", "word", "score").orderBy(order, "index").limit(n)
 
 
@@ -79,14 +83,12 @@ def find_nearest_multi(
     schema = _schema(queries.schema["qid"].dataType)
     dimensions = vector_size(table)
     queries = settled(queries)
-    small = collected_within(queries, _room(broadcast_bytes, n, dimensions, len(metrics)), dimensions)
-    if small is not None:
-        candidates = table.mapInArrow(_scan_with_queries(df, small, n, metrics), schema)
+    if fits(queries, _room(broadcast_bytes, n, dimensions, len(metrics)), dimensions):
+        candidates = table.mapInArrow(_scan_with_queries(_stored_rows(queries), n, metrics), schema)
         return _ranked(candidates, n)
-    small = collected_within(table, broadcast_bytes, dimensions)
-    if small is not None:
+    if fits(table, broadcast_bytes, dimensions):
         # Every query meets the whole table in one task: nothing is left to merge.
-        return queries.mapInArrow(_scan_with_table(df, small, n, metrics), schema)
+        return queries.mapInArrow(_scan_with_table(_stored_rows(settled(table)), n, metrics), schema)
     return _ranked(search(table, queries, n, metrics, schema, broadcast_bytes).answers, n)
 
 
@@ -102,17 +104,45 @@ def vector_size(df: DataFrame, column: str = "vector") -> int:
     return head["d"] if head is not None else 0
 
 
-def collected_within(df: DataFrame, limit_bytes: int, dimensions: int) -> pa.Table | None:
-    """The rows of a stored table as Arrow data when they fit in ``limit_bytes``, else None.
-
-    Rows and the bytes of their words are counted first, which reads no vector.
-    """
+def fits(df: DataFrame, limit_bytes: int, dimensions: int) -> bool:
+    """Whether the rows of a table take at most ``limit_bytes``. Rows and bytes of words are counted, no vector is read."""
     named = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     words = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in named), F.lit(0))
     held = df.agg(F.count(F.lit(1)).alias("n"), F.sum(words.cast("long")).alias("bytes")).head()
-    if held["n"] * (8 * max(1, dimensions) + 16) + (held["bytes"] or 0) > limit_bytes:
-        return None
-    return df.toArrow()
+    return held["n"] * (8 * max(1, dimensions) + 16) + (held["bytes"] or 0) <= limit_bytes
+
+
+def collected_within(df: DataFrame, limit_bytes: int, dimensions: int) -> pa.Table | None:
+    """The rows of a stored table as Arrow data when they fit in ``limit_bytes``, else None."""
+    return df.toArrow() if fits(df, limit_bytes, dimensions) else None
+
+
+def _broadcast_rows(df: DataFrame, rows: pa.Table) -> Callable[[], pa.Table]:
+    shared = df.sparkSession.sparkContext.broadcast(rows)
+    return lambda: shared.value
+
+
+def _stored_rows(stored: DataFrame) -> Callable[[], pa.Table]:
+    """For tasks: all rows of a stored table, read from its files, so that none of them passes through the driver.
+
+    Files that Arrow cannot reach are fetched and broadcast.
+    """
+    files, schema = sorted(stored.inputFiles()), to_arrow_schema(stored.schema)
+    try:
+        for file in files[:1]:
+            located(file)
+    except (pa.ArrowException, OSError):
+        return _broadcast_rows(stored, stored.toArrow())
+
+    def read() -> pa.Table:
+        parts = [schema.empty_table()]
+        for file in files:
+            system, inner = located(file)
+            found = pq.ParquetFile(inner, filesystem=system, coerce_int96_timestamp_unit="us").read()
+            parts.append(found.select(schema.names).cast(schema))
+        return pa.concat_tables(parts)
+
+    return read
 
 
 def _ranked(candidates: DataFrame, n: int) -> DataFrame:
@@ -123,28 +153,24 @@ def _ranked(candidates: DataFrame, n: int) -> DataFrame:
     return ranked.select(*ANSWERS)
 
 
-def _scan_with_queries(df: DataFrame, queries: pa.Table, n: int, metrics: list[str]):
-    vectors = matrix(queries.column("vector")) if queries.num_rows else np.zeros((0, 0))
-    shared = df.sparkSession.sparkContext.broadcast((queries.column("qid").combine_chunks(), vectors))
-
+def _scan_with_queries(rows: Callable[[], pa.Table], n: int, metrics: list[str]):
     def scan(batches):
-        qids, vectors = shared.value
-        if not len(vectors):
+        queries = rows()
+        if not queries.num_rows:
             return
+        vectors = matrix(queries.column("vector"))
         bests = [Best(vectors, n, m) for m in metrics]
         asked = bests[0].directions()
         for block in read_blocks(batches, vectors.shape[1]):
             scan_block(bests, block, asked)
-        yield from best_answers(bests, qids)
+        yield from best_answers(bests, queries.column("qid").combine_chunks())
 
     return scan
 
 
-def _scan_with_table(df: DataFrame, table: pa.Table, n: int, metrics: list[str]):
-    shared = df.sparkSession.sparkContext.broadcast(table)
-
+def _scan_with_table(rows: Callable[[], pa.Table], n: int, metrics: list[str]):
     def scan(batches):
-        blocks = list(read_blocks(shared.value.to_batches(), None))
+        blocks = list(read_blocks(rows().to_batches(), None))
         for batch in batches:
             if blocks and batch.num_rows:
                 vectors = matrix(batch.column("vector"), blocks[0].vectors.shape[1])
