@@ -36,6 +36,28 @@ def test_ids(library, encode, text):
     assert [i.tolist() for i in encode([text])] == [library.encode(text, add_special_tokens=False).ids]
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text("aé' \n\t\r\x0b\x0c\x85\xa0\x00\x1b\x1c7.", max_size=60))
+def test_ids_around_blanks(library, encode, text):
+    assert [i.tolist() for i in encode([text, "", text + "x"])] == [library.encode(t, add_special_tokens=False).ids for t in (text, "", text + "x")]
+
+
+def test_split_does_not_look_ahead(monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    given_to, plain = [], tiktoken.Encoding.__init__
+    monkeypatch.setattr(tiktoken.Encoding, "__init__", lambda self, *a, **k: given_to.append(k["pat_str"]) or plain(self, *a, **k))
+    ids = next(repair.library_encoder(PATH)(pa.array(["no  looking ahead"])))
+    assert len(given_to) == 1 and "(?" not in given_to[0] and ids.dtype == np.uint32
+
+
+@pytest.mark.parametrize("most", [3, 1 << 40])
+def test_ranks_follow_counts(most):
+    r = np.random.default_rng(5)
+    counts, kinds = r.integers(2, most, 5000, endpoint=True), r.permutation(np.arange(5000, dtype=np.uint64))
+    ranked = repair._ranked(counts, kinds)
+    assert sorted(ranked.tolist()) == list(range(5000)) and (np.diff(counts[ranked]) >= 0).all()
+
+
 @pytest.mark.parametrize("ids", [[2], [5, 2], [7] * 1001 + [2], [1, 2] * 500, random.Random(1).choices(range(50_000), k=3000) + [2]])
 def test_grammar(ids):
     data = np.array(ids, np.uint32)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from wordloom.llm.packed import CHUNK_BYTES, mixed
 END_ID = 2
 # Ids per block, on average.
 BLOCK_IDS = 1_000_000
+# Blanks of the vocabulary's split below the phonetic letters.
+BLANKS = "\t-\r \x85\xa0"
 # Numbers of ids and rules are stored in 16 bits where a block has at most so many, else in 32.
 NUMBERS = 1 << 16
 
@@ -29,13 +34,14 @@ FILES = """part int, block int, first_id {id}, last_id {id}, n_ids bigint, doc_i
 # Encoding
 
 
-def library_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
+def library_encoder(path: str) -> Callable[[list[str] | pa.Array], Iterator[np.ndarray]]:
     """Ids as the tokenizers library gives them for a byte-level vocabulary without added prefix.
 
     Texts that hold special tokens or letters from the phonetic ones on go through the library itself. For others both
-    libraries here cut words alike, so the faster one takes them with the same vocabulary.
+    libraries here cut words alike, so the faster one takes them with the same vocabulary. The vocabulary's split looks ahead
+    in one place only: the last of several blanks goes with the word behind them. Texts with such blanks are cut before
+    the last one, so that the split needs no looking ahead, which costs a quarter of the time.
     """
-    import regex
     import tiktoken
     import tokenizers
 
@@ -47,15 +53,25 @@ def library_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
     value = {c: b for b, c in enumerate(byte_letters())}
     special = {t["content"] for t in spec["added_tokens"]}
     ranks = {bytes(value[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    # The split of byte-level vocabularies.
-    words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    # The split of byte-level vocabularies, without (?!\S) for the blanks before the last one.
+    words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
     fast = tiktoken.Encoding("ids", pat_str=words, mergeable_ranks=ranks, special_tokens={})
-    rare = regex.compile(r"[\x1c-\x1f\u0250-\U0010ffff]|" + "|".join(map(regex.escape, special)))
-
-    def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            ids = library.encode(text, add_special_tokens=False).ids if rare.search(text) else fast.encode_ordinary(text)
-            yield np.array(ids, np.uint32)
+    rare = "|".join([r"[\x{1c}-\x{1f}\x{250}-\x{10ffff}]", *map(re.escape, special)])
+    before_last = re.compile(f"(?<=[{BLANKS}])(?=[{BLANKS}][^{BLANKS}])")
+
+    def encode(texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        by_library = pc.match_substring_regex(texts, rare).to_pylist()
+        in_parts = pc.match_substring_regex(texts, f"[{BLANKS}]{{2}}").to_pylist()
+        for text, odd, several in zip(texts, by_library, in_parts):
+            text = text.as_py()
+            if odd:
+                ids = library.encode(text, add_special_tokens=False).ids
+            elif several:
+                ids = [i for part in before_last.split(text) for i in fast.encode_ordinary(part)]
+            else:
+                ids = fast.encode_ordinary(text)
+            yield np.frombuffer(array("I", ids), np.uint32)
 
     return encode
 
@@ -82,72 +98,81 @@ def compress(ids: np.ndarray, end: int = END_ID) -> dict[str, np.ndarray]:
     while len(alive):
         used = len(lengths)
         bits = np.uint64(used.bit_length())
-        pairs = body[alive].astype(np.uint64) << bits | body[alive + 1]
-        free = _apart(alive, pairs, body)
-        order, starts, counts = _grouped(pairs[free], 2 * int(bits))
+        left, right = body[alive], body[alive + 1]
+        pairs = left.astype(np.uint64) << bits | right
+        waiting = _overlapping(alive, left, right)
+        counted = (np.delete(alive, waiting), np.delete(pairs, waiting)) if len(waiting) else (alive, pairs)
+        places, values, starts, counts = _grouped(*counted, 2 * int(bits), len(body))
         often = np.flatnonzero(counts >= 2)
         if not len(often):
             break
-        kinds = pairs[free][order[starts[often]]]
-        # Ranks by count, equal counts in scattered order so that few pairs in a row have rising ranks.
-        ranked = np.lexsort((mixed(kinds), counts[often]))
-        rank = np.zeros(len(often), np.int64)
-        rank[ranked] = np.arange(1, len(often) + 1)
-        members = order[_ranges(starts[often], counts[often])]
+        kinds = values[starts[often]]
+        ranked = _ranked(counts[often], kinds)
+        rank = np.zeros(len(counts), np.int32)
+        rank[often[ranked]] = np.arange(1, len(often) + 1)
+        # By place, so that all that follows reads in order; no place has rank 0.
         score = np.zeros(len(body) + 1, np.int32)
-        kind = np.repeat(np.arange(len(often)), counts[often])
-        at = alive[free[members]]
-        score[at] = rank[kind]
+        score[places] = np.repeat(rank, counts)
         # Neighbours differ in rank, and the most frequent pair gets all its places; a pair left with one place waits.
-        best = (score[at] > score[at - 1]) & (score[at] > score[at + 1])
-        uses = np.bincount(kind[best], minlength=len(often))
-        best &= uses[kind] >= 2
-        taken = np.flatnonzero(uses >= 2)
+        peaks = score[:-1] > score[1:]
+        peaks[1:] &= score[1:-1] > score[:-2]
+        new = np.flatnonzero(peaks)
+        uses = np.bincount(score[new], minlength=len(often) + 1)
+        new = new[uses[score[new]] >= 2]
+        of_kind = np.empty(len(often), np.int64)
+        of_kind[ranked] = uses[1:]
+        taken = np.flatnonzero(of_kind >= 2)
         named = np.zeros(len(often), np.uint32)
         named[taken] = np.arange(used, used + len(taken))
         made = np.stack([kinds[taken] >> bits, kinds[taken] & np.uint64((1 << int(bits)) - 1)], axis=1).astype(np.uint32)
         # What stays alive: places of pairs that occurred twice, of overlapping ones, and those at and before new numbers.
-        live = np.zeros(len(body) + 1, bool)
-        live[at] = True
-        live[np.delete(alive, free)] = True
-        new = at[best]
-        body[new] = named[kind[best]]
-        live[new] = True
+        live = score > 0
+        live[alive[waiting]] = True
         live[new - 1] = True
+        body[new] = named[ranked][score[new] - 1]
         keep = np.ones(len(body), bool)
         keep[new + 1] = False
-        body, live = body[keep], live[:-1][keep]
+        kept = np.flatnonzero(keep)
+        body, live = body[kept], live[kept]
         closes = np.concatenate([closes, closes[made[:, 1]]])
         rules.append(made)
         lengths = np.concatenate([lengths, lengths[made[:, 0]] + lengths[made[:, 1]]])
-        alive = np.flatnonzero(live[:-1] & ~closes[body[:-1]])
+        alive = np.flatnonzero(live[:-1])
+        alive = alive[~closes[body[alive]]]
     return {"terminals": terminals.astype(np.uint32), "rules": np.concatenate(rules), "lengths": lengths, "body": body}
 
 
-def _apart(at: np.ndarray, pairs: np.ndarray, body: np.ndarray) -> np.ndarray:
-    """Which of the sorted places to count: in a run of one number every second place from the left, else all."""
-    same = body[at] == body[at + 1]
-    if not same.any():
-        return np.arange(len(at))
-    runs = np.flatnonzero(same)
-    starts = np.flatnonzero((np.diff(at[runs], prepend=-2) > 1) | (np.diff(pairs[runs].astype(np.int64), prepend=-1) != 0))
+def _overlapping(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the sorted places are not counted: in a run of one number every second one."""
+    runs = np.flatnonzero(left == right)
+    if not len(runs):
+        return runs
+    starts = np.flatnonzero((np.diff(at[runs], prepend=-2) > 1) | (np.diff(left[runs].astype(np.int64), prepend=-1) != 0))
     odd = (np.arange(len(runs)) - np.repeat(starts, np.diff(np.append(starts, len(runs))))) & 1 == 1
-    free = np.ones(len(at), bool)
-    free[runs[odd]] = False
-    return np.flatnonzero(free)
+    return runs[odd]
 
 
-def _grouped(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that brings equal values together, where each group of it starts, and how many are in it."""
-    place = max(len(values) - 1, 1).bit_length()
+def _grouped(at: np.ndarray, values: np.ndarray, bits: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places below ``room`` with their values, equal ones together, where each group starts, and how many are in it."""
+    place = max(room - 1, 1).bit_length()
     if bits + place <= 64:
-        packed = np.sort(values << np.uint64(place) | np.arange(len(values), dtype=np.uint64))
-        order, counted = (packed & np.uint64((1 << place) - 1)).astype(np.int64), packed >> np.uint64(place)
+        packed = np.sort(values << np.uint64(place) | at.astype(np.uint64))
+        at, values = (packed & np.uint64((1 << place) - 1)).astype(np.int64), packed >> np.uint64(place)
     else:
         order = np.argsort(values)
-        counted = values[order]
-    starts = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return order, starts, np.diff(np.append(starts, len(counted)))
+        at, values = at[order], values[order]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return at, values, starts, np.diff(np.append(starts, len(values)))
+
+
+def _ranked(counts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Order by count, equal counts scattered so that few pairs in a row have rising ranks."""
+    low, high = int(len(counts)).bit_length(), int(counts.max()).bit_length()
+    if low + high > 48:
+        return np.lexsort((mixed(kinds), counts))
+    key = counts.astype(np.uint64) << np.uint64(64 - high) | mixed(kinds) >> np.uint64(high)
+    number = np.uint64((1 << low) - 1)
+    return (np.sort(key & ~number | np.arange(len(counts), dtype=np.uint64)) & number).astype(np.int64)
 
 
 def _width(numbers: int) -> str:
@@ -247,7 +272,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID,
         names, ids, held = [], [], 0
         for batch in batches:
             start = 0
-            for i, found in enumerate(encode(_texts(batch.column(1)))):
+            for i, found in enumerate(encode(batch.column(1))):
                 ids.append(np.append(found, np.uint32(end_id)))
                 held += len(ids[-1])
                 if held >= block_ids:
@@ -261,11 +286,6 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID,
     dealt.mapInArrow(run, FILES.format(id=kind.simpleString())).write.parquet(path)
 
 
-def _texts(column: pa.Array) -> Iterator[str]:
-    for text in column:
-        yield text.as_py()
-
-
 def read_ids(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
     """``part, block, place, doc_id, ids`` of the files' documents, of all or of those with the given ids.
 
